@@ -65,9 +65,8 @@ ENTRIES = {
         _on(mk.price_per_sqm_by_country),
         _sql("SELECT country, round(avg(price_usd / area_sqm), 2) AS avg_price_per_sqm FROM listings GROUP BY country")),
     "price_per_sqm": (
-        lambda s, d: round_out(with_price_per_sqm(view(s, d, "listings")).select("row_key", "price_per_sqm"),
-                               {"price_per_sqm": 4}),
-        _sql("SELECT row_key, round(price_usd / area_sqm, 4) AS price_per_sqm FROM listings")),
+        lambda s, d: with_price_per_sqm(view(s, d, "listings")).select("row_key", "price_per_sqm"),
+        _sql("SELECT row_key, price_usd / area_sqm AS price_per_sqm FROM listings")),
     "room_distribution": (
         _on(mk.value_counts, column="rooms", by="value"),
         _sql("SELECT rooms, count(*) AS n FROM listings GROUP BY rooms")),

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -19,19 +20,28 @@ def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).dropna().distinct().orderBy(*columns)
 
 
-def label_index(df: DataFrame, column: str, label: str = "label", index: str = "label_index") -> DataFrame:
-    """Distinct texts numbered from 0 in sorted order; null counts as the text 'nan'.
+def label_indexes(df: DataFrame, columns: Sequence[str], target: str | None = None) -> DataFrame:
+    """Distinct texts of each column numbered from 0 in sorted order; null counts as the text 'nan'.
 
-    The order is total but no task sees all labels: labels are numbered inside their two-letter
-    prefix, and the prefix counts, a small table, give each prefix its offset.
+    All columns share one aggregation, which also gives the rows and, with ``target``, the mean of
+    each label; rows without a value do not enter the mean. The order is total but no task sees all
+    labels: they are numbered inside their two-letter prefix, and the prefix counts, a small table,
+    give each prefix its offset.
     """
-    from pyspark.sql.window import Window
-
-    labels = df.select(F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias(label)).distinct()
-    labels = labels.withColumn("_prefix", F.substring(label, 1, 2))
-    before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (labels.groupBy("_prefix").agg(F.count("*").alias("_n"))
-               .select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
-    inside = F.row_number().over(Window.partitionBy("_prefix").orderBy(label))
-    return (labels.join(offsets, "_prefix")
-            .select(label, (F.col("_offset") + inside - 1).cast("double").alias(index)))
+    value = F.col(target).cast("double") if target else F.lit(None).cast("double")
+    items = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("label"),
+                      F.when(F.col(c).isNotNull(), value).alias("_v")) for c in columns]
+    labels = (df.select(F.inline(F.array(*items))).groupBy("column", "label")
+              .agg(F.avg("_v").alias("mean"), F.count("*").alias("n"), F.count("_v").alias("n_mean"))
+              .withColumn("_prefix", F.substring("label", 1, 2)))
+    before = Window.partitionBy("column").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (labels.groupBy("column", "_prefix").agg(F.count("*").alias("_n"))
+               .select("column", "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    inside = F.row_number().over(Window.partitionBy("column", "_prefix").orderBy("label"))
+    return labels.join(offsets, ["column", "_prefix"]).select(
+        "column", "label", (F.col("_offset") + inside - 1).cast("double").alias("label_index"), "mean", "n", "n_mean")
+
+
+def label_index(df: DataFrame, column: str) -> DataFrame:
+    """The numbered labels of one column."""
+    return label_indexes(df, [column]).select("label", "label_index")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from acreage.functions.scalars import finite, unit_hash
 from acreage.operators.cleaning import finite_rows
-from acreage.operators.combine import label_index
+from acreage.operators.combine import label_index, label_indexes
 from acreage.operators.quantiles import SMALL_VALUES, quantiles
 from acreage.session import durable
 
@@ -80,9 +80,10 @@ def target_encode_fit(train: DataFrame, key: str, target: str = "price_usd") ->
 
 def middle_of(means: DataFrame, column: str, train: DataFrame, key: str) -> float | None:
     """Median of the looked-up means over the training rows, each key weighted by its rows."""
-    keys = means.agg(F.count("*")).first()[0]
-    if keys <= SMALL_VALUES:
-        return means.agg(F.percentile(column, F.lit(0.5), F.col("n"))).first()[0]
+    small = means.limit(SMALL_VALUES + 1)  # a table of keys; only a huge one is not folded in one task
+    row = small.agg(F.count("*").alias("keys"), F.percentile(column, F.lit(0.5), F.col("n")).alias("middle")).first()
+    if row["keys"] <= SMALL_VALUES:
+        return row["middle"]
     return quantiles(train.join(means.select(key, column), key), {"m": (column, 0.5)})["m"]
 
 
@@ -210,20 +211,21 @@ class FittedFeatures:
 
 
 def fit_features(train: DataFrame, accuracy: int | None = None) -> FittedFeatures:
+    """Medians, then all labels and mean prices in one aggregation, then the scale of the features."""
     medians = fill_values(train, accuracy=accuracy)
-    filled = clip_low(fill_median(train, medians))
+    filled = fill_median(train, medians)
+    keyed = durable(label_indexes(filled, LABELLED, "price_usd"))
     tables, defaults = {}, {}
     for c in LABELLED:
-        table = label_encode_fit(train, c)
+        table = keyed.filter(F.col("column") == c)
         if c in ("city", "country"):
-            means = target_encode_fit(filled, c).withColumnRenamed(c, "label")
-            table = durable(table.join(means, "label", "left"))
-            column = f"{c}_avg_price"
-            defaults[c] = middle_of(table.filter(F.col(column).isNotNull()).withColumnRenamed("label", c),
-                                    column, filled, c)
+            name = f"{c}_avg_price"
+            tables[c] = table.select("label", "label_index", F.col("mean").alias(name))
+            known = table.filter(F.col("n_mean") > 0).select(F.col("label").alias(c), F.col("mean").alias(name),
+                                                             F.col("n_mean").alias("n"))
+            defaults[c] = middle_of(known, name, filled, c)
         else:
-            table = durable(table)
-        tables[c] = table
+            tables[c] = table.select("label", "label_index")
     fitted = FittedFeatures(medians, defaults, tables)
     fitted.scale = robust_scale_fit(engineer(train, fitted), accuracy=accuracy)
     return fitted

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from acreage.functions import geo
 from acreage.operators.market import place_intensity
 from acreage.operators.skew import salted_join
+from acreage.session import durable
 
 # Point types, search radius, defaults of missing records, result limits.
 POI_TYPES = ("metro", "school", "hospital", "it_park", "commercial")
@@ -117,10 +118,11 @@ def poi_with_fallback(points: DataFrame, pois: DataFrame, km: float = RADIUS_KM)
     """Nearest and number of points of interest by type for each distinct (lat, lng, city).
 
     Sites with none in the radius look at all points of interest of their city instead; ``source``
-    says which.
+    says which. The radius result is checkpointed, since both the answer and the choice of the sites
+    left over read it.
     """
     sites = points.select(*SITE, "city").distinct()
-    near = _nearest(within_radius(sites, _poi_places(pois, []), km))
+    near = durable(_nearest(within_radius(sites, _poi_places(pois, []), km)))
     alone = sites.join(near.select(*SITE, "city").distinct(), [*SITE, "city"], "left_anti")
     far = _nearest_in_city(alone, pois.filter(F.col("poi_type").isin(*POI_TYPES)), km)
     return near.withColumn("source", F.lit("radius")).unionByName(far.withColumn("source", F.lit("city")))

@@ -72,7 +72,7 @@ def fit_tuned(train: DataFrame, grid: Mapping[str, Sequence] = GRID_A, draws: in
                             evaluator=RegressionEvaluator(labelCol="label", metricName="r2"), parallelism=parallelism)
     scores = search.fit(train).avgMetrics
     best = max(range(len(scores)), key=scores.__getitem__)
-    return _gbt(seed, **settings[best]), settings[best], scores[best]
+    return _gbt(seed, **settings[best]), settings[best], float(scores[best])
 
 
 def gbt_a(train: DataFrame, **options) -> GBTRegressor:
