@@ -19,9 +19,9 @@ from acreage.session import durable, scratch_path
 
 _METRICS = {"mae": 3, "rmse": 3, "r2": 6, "r2_log": 6, "mape": 5, "medae": 3}
 _SMALL = TrainConfig(
-    grid_a={"maxIter": [3, 5], "maxDepth": [3, 4], "stepSize": [0.3]},
-    grid_b={"maxIter": [3, 5], "maxDepth": [2, 3], "stepSize": [0.3], "minInstancesPerNode": [10]},
-    settings_c={"maxIter": 5, "maxDepth": 4, "minInstancesPerNode": 5, "stepSize": 0.3, "subsamplingRate": 0.9},
+    grid_a={"maxIter": [2, 3], "maxDepth": [2, 3], "stepSize": [0.3]},
+    grid_b={"maxIter": [2, 3], "maxDepth": [2], "stepSize": [0.3], "minInstancesPerNode": [10]},
+    settings_c={"maxIter": 3, "maxDepth": 3, "minInstancesPerNode": 5, "stepSize": 0.3, "subsamplingRate": 0.9},
     draws=2, cv_folds=2)
 
 _FIXED = "(10.5::DOUBLE + 0.55::DOUBLE * ln(1 + area_sqm / 10))"
@@ -115,7 +115,7 @@ def _trained(spark, sf):
 
 def _one_model(spark, sf):
     """A small model, saved and read back."""
-    rows = durable(parts(spark, sf))
+    rows = durable(parts(spark, sf), spread=True)
     fitted = ft.fit_features(rows.filter("split = 'train'"))
     data = durable(ft.prepare(rows, fitted).select("split", "features", "label"))
     model = m.StackedModel([m._gbt(42, maxIter=3, maxDepth=3).fit(data.filter("split = 'train'"))])

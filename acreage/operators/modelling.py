@@ -106,7 +106,7 @@ def ridge(train: DataFrame, inputs: Sequence[str], label: str = "label", alpha:
     vector = VectorAssembler(inputCols=list(inputs), outputCol="_stacked").transform(train)
     return LinearRegression(featuresCol="_stacked", labelCol=label, predictionCol="prediction", elasticNetParam=0.0,
                             standardization=False, regParam=alpha * moments["sd"] / moments["n"], solver="l-bfgs",
-                            maxIter=500, tol=1e-12).fit(vector)
+                            maxIter=200, tol=1e-10).fit(vector)
 
 
 @dataclass
@@ -191,7 +191,7 @@ def cross_val(df: DataFrame, fit: Callable[[DataFrame], Model | StackedModel], k
               folds: int = CV_FOLDS, seed: int = 42) -> DataFrame:
     """R² on the log scale of each fold. Encoders and scaling are fitted inside the fold; ``fit`` gets
     the prepared rows with their stacking fold and hold-out mark."""
-    folded = durable(assign_fold(df, key, folds, seed))
+    folded = durable(assign_fold(df, key, folds, seed), spread=True)
     scored = []
     for f in range(folds):
         rest = folded.filter(F.col("fold") != f)

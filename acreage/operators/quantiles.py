@@ -2,202 +2,161 @@
 
 The built-in ``percentile`` keeps every distinct value in the memory of one task. It is used
 here only when the number of values is known to be small. Larger columns are narrowed down:
-a sketch gives an interval around each wanted rank, a histogram of the rows inside shrinks it
-until few rows are left, and only those are sorted. The sketch decides how much work is left,
-never the result, since every step counts the rows it leaves out.
+every pass counts the rows of an interval in equal-width buckets and keeps the buckets that hold
+a wanted rank, until few rows are left; only those are sorted. Each pass reads a value once,
+whatever the number of columns and probabilities, and sends one row for each bucket.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from acreage.functions.scalars import finite
-
 SMALL_VALUES = 5_000_000
 SORTED_ROWS = 1_000_000
-SKETCH_ACCURACY = 10_000
-BUCKETS = 1_024
+BUCKETS = 2_048
 
 
 @dataclass
-class _Rank:
-    """One wanted position in one sorted column, known to lie in [lo, hi]."""
+class _Interval:
+    """A closed range of one column whose ends are values of the column."""
 
-    column: str
-    rank: int
+    column: int
     lo: float
     hi: float
-    below: int = 0
-    inside: int = 0
-
-    @property
-    def settled(self) -> bool:
-        return self.lo == self.hi
+    below: int
+    rows: int
+    ranks: set[int] = field(default_factory=set)
 
     @property
     def half_width(self) -> float:
+        # halves keep the width of a huge interval finite
         return self.hi * 0.5 - self.lo * 0.5
 
 
-def _inside(r: _Rank) -> Column:
-    x = F.col(r.column)
-    return (x >= F.lit(r.lo)) & (x <= F.lit(r.hi))
-
-
-def _count_around(values: DataFrame, ranks: list[_Rank], extremes: Mapping[str, tuple[float, float]]) -> None:
-    """Count below and inside every interval; widen those the sketch placed wrongly."""
-    aggs = []
-    for i, r in enumerate(ranks):
-        aggs += [F.count_if(F.col(r.column) < F.lit(r.lo)).alias(f"b{i}"), F.count_if(_inside(r)).alias(f"i{i}")]
-    row = values.agg(*aggs).first()
-    totals = {}
-    for i, r in enumerate(ranks):
-        r.below, r.inside = row[f"b{i}"], row[f"i{i}"]
-        if r.rank < r.below:
-            r.lo, r.hi = extremes[r.column][0], r.lo
-        elif r.rank >= r.below + r.inside:
-            r.lo, r.hi = r.hi, extremes[r.column][1]
-        else:
-            continue
-        totals[i] = r
-    if totals:
-        again = list(totals.values())
-        row = values.agg(*[a for i, r in enumerate(again) for a in (
-            F.count_if(F.col(r.column) < F.lit(r.lo)).alias(f"b{i}"), F.count_if(_inside(r)).alias(f"i{i}"))]).first()
-        for i, r in enumerate(again):
-            r.below, r.inside = row[f"b{i}"], row[f"i{i}"]
-
-
-def _members(values: DataFrame, ranks: list[_Rank], extra) -> DataFrame:
-    """Rows inside an open interval, one per interval, as (rank id, value, extra)."""
-    tagged = [F.when(_inside(r), F.struct(F.lit(i).alias("id"), F.col(r.column).alias("x"), extra(r).alias("s")))
-              for i, r in enumerate(ranks)]
-    any_inside = None
-    for r in ranks:
-        any_inside = _inside(r) if any_inside is None else any_inside | _inside(r)
-    return values.filter(any_inside).select(F.inline(F.array_compact(F.array(*tagged))))
-
-
-def _narrow(values: DataFrame, ranks: list[_Rank], buckets: int) -> None:
-    """Replace each interval by the histogram bucket that holds its rank."""
-    def slot(r: _Rank) -> Column:
-        # halves keep the width of a huge interval finite; both ends are values of the column,
-        # so they fall into different buckets and every pass makes progress
-        share = (F.col(r.column) * 0.5 - F.lit(r.lo * 0.5)) / F.lit(r.half_width)
-        return F.least(F.lit(buckets - 1), F.floor(share * buckets)).cast("int")
-
-    found = (_members(values, ranks, slot).groupBy("id", "s")
-             .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-             .orderBy("id", "s").collect())  # at most ``buckets`` rows for each rank
-    for i, r in enumerate(ranks):
-        seen = r.below
-        for row in (f for f in found if f["id"] == i):
-            if r.rank < seen + row["n"]:
-                r.lo, r.hi, r.below, r.inside = row["lo"], row["hi"], seen, row["n"]
-                break
-            seen += row["n"]
-
+def _inside(long: DataFrame, intervals: list[_Interval]) -> DataFrame:
+    """The values of every interval, tagged with its number. The interval list has a row for each rank
+    at most, so Spark broadcasts it."""
+    rows = [(i, v.column, v.lo, v.hi) for i, v in enumerate(intervals)]
+    table = long.sparkSession.createDataFrame(rows, "iv int, id int, lo double, hi double")
+    return long.join(table, "id").filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
 
-def _finish(values: DataFrame, ranks: list[_Rank]) -> None:
-    """Sort the few rows left inside each interval and read the value at the rank."""
-    counted = _members(values, ranks, lambda r: F.lit(r.rank - r.below)).groupBy("id", "x", "s").agg(
-        F.count("*").alias("n"))
-    running = F.sum("n").over(Window.partitionBy("id").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    rows = (counted.withColumn("upto", running).filter(F.col("upto") > F.col("s"))
-            .groupBy("id").agg(F.min("x").alias("x")).collect())
-    for row in rows:
-        ranks[row["id"]].lo = ranks[row["id"]].hi = row["x"]
 
+def _narrow(long: DataFrame, intervals: list[_Interval], buckets: int) -> list[_Interval]:
+    """The buckets of each interval that hold its ranks.
 
-def _select(values: DataFrame, ranks: list[_Rank], sorted_rows: int, buckets: int) -> None:
-    pending = [r for r in ranks if not r.settled]
-    while pending:
-        wide = [r for r in pending if r.inside > sorted_rows and r.half_width > 0]
-        if not wide:
-            _finish(values, pending)
-            return
-        _narrow(values, wide, buckets)
-        pending = [r for r in ranks if not r.settled]
+    Both ends are values of the column, so they fall into different buckets and every pass makes
+    progress.
+    """
+    share = (F.col("x") * 0.5 - F.col("lo") * 0.5) / (F.col("hi") * 0.5 - F.col("lo") * 0.5)
+    slot = F.least(F.lit(buckets - 1), F.floor(share * buckets).cast("int"))
+    found = (_inside(long, intervals).groupBy("iv", slot.alias("slot"))
+             .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect())
+    out = []
+    for i, v in enumerate(intervals):
+        seen = v.below
+        for row in sorted((r for r in found if r["iv"] == i), key=lambda r: r["slot"]):
+            held = {k for k in v.ranks if seen <= k < seen + row["n"]}
+            if held:
+                out.append(_Interval(v.column, row["lo"], row["hi"], seen, row["n"], held))
+            seen += row["n"]
+    return out
 
 
-def quantiles(df: DataFrame, targets: Mapping[str, tuple[Column | str, float]], accuracy: int | None = None,
+def _sorted_values(long: DataFrame, intervals: list[_Interval]) -> dict[tuple[int, int], float]:
+    """Sort the few distinct values left in each interval and read those at the ranks."""
+    running = F.sum("n").over(Window.partitionBy("iv").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    upto = (_inside(long, intervals).groupBy("iv", "x").agg(F.count("*").alias("n")).withColumn("upto", running))
+    wanted = [(i, k, k - v.below) for i, v in enumerate(intervals) for k in v.ranks]
+    ranks = long.sparkSession.createDataFrame(wanted, "iv int, rank long, place long")
+    rows = (upto.join(ranks, "iv").filter(F.col("upto") > F.col("place"))
+            .groupBy("iv", "rank").agg(F.min("x").alias("x")).collect())
+    return {(intervals[r["iv"]].column, r["rank"]): r["x"] for r in rows}
+
+
+def _select(long: DataFrame, intervals: list[_Interval], sorted_rows: int, buckets: int) -> dict[tuple[int, int], float]:
+    done: dict[tuple[int, int], float] = {}
+    few: list[_Interval] = []
+    while intervals:
+        wide = []
+        for v in intervals:
+            if v.lo == v.hi:
+                done |= {(v.column, k): v.lo for k in v.ranks}
+            elif v.rows <= sorted_rows or v.half_width == 0:
+                few.append(v)
+            else:
+                wide.append(v)
+        intervals = _narrow(long, wide, buckets) if wide else []
+    return done | (_sorted_values(long, few) if few else {})
+
+
+def quantiles(df: DataFrame, targets: Mapping[object, tuple[Column | str, float]], accuracy: int | None = None,
               small_values: int = SMALL_VALUES, sorted_rows: int = SORTED_ROWS,
-              buckets: int = BUCKETS) -> dict[str, float | None]:
+              buckets: int = BUCKETS) -> dict[object, float | None]:
     """Quantiles by linear interpolation, nulls and NaN left out.
 
     ``targets`` names each wanted value as (column, probability). ``accuracy`` asks for one
     approximate pass instead of exact values.
     """
-    exprs, names = [], {}
-    wanted = {}
+    exprs: list[Column] = []
+    ids: dict[str, int] = {}
+    wanted: dict[object, tuple[int, float]] = {}
     for key, (c, p) in targets.items():
         label = c if isinstance(c, str) else str(c)
-        if label not in names:
-            names[label] = f"v{len(names)}"
+        if label not in ids:
+            ids[label] = len(exprs)
             raw = (F.col(c) if isinstance(c, str) else c).cast("double")
-            exprs.append(F.when(F.isnan(raw), None).otherwise(raw).alias(names[label]))
-        wanted[key] = (names[label], p)
+            exprs.append(F.when(~F.isnan(raw), raw).alias(f"v{ids[label]}"))
+        wanted[key] = (ids[label], float(p))
+    if not wanted:
+        return {}
     values = df.select(*exprs)
 
     if accuracy is not None:
-        row = values.agg(*[F.percentile_approx(c, F.lit(p), accuracy).alias(f"q{i}")
+        row = values.agg(*[F.percentile_approx(f"v{c}", F.lit(p), accuracy).alias(f"q{i}")
                            for i, (c, p) in enumerate(wanted.values())]).first()
         return {key: row[f"q{i}"] for i, key in enumerate(wanted)}
 
-    columns = list(names.values())
-    sizes = values.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
-    if sum(sizes.values()) <= small_values:
-        grouped = {c: sorted({p for col, p in wanted.values() if col == c}) for c in columns}
-        row = values.agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in ps])).alias(c)
-                           for c, ps in grouped.items()]).first()
-        return {key: row[c][grouped[c].index(p)] if row[c] is not None else None for key, (c, p) in wanted.items()}
+    long = values.select(F.inline(F.array(*[F.struct(F.lit(i).alias("id"), F.col(f"v{i}").alias("x"))
+                                            for i in range(len(exprs))]))).filter(F.col("x").isNotNull())
+    bounded = F.when(F.abs("x") < math.inf, F.col("x"))
+    stats = {r["id"]: r for r in long.groupBy("id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("x") == -math.inf).alias("neg"),
+        F.count_if(F.col("x") == math.inf).alias("pos"), F.min(bounded).alias("lo"), F.max(bounded).alias("hi")).collect()}
+    if sum(r["n"] for r in stats.values()) <= small_values:
+        probes = {c: sorted({p for i, p in wanted.values() if i == c}) for c in stats}
+        row = values.agg(*[F.percentile(f"v{c}", F.array(*[F.lit(p) for p in ps])).alias(f"v{c}")
+                           for c, ps in probes.items()]).first() if probes else None
+        return {key: row[f"v{c}"][probes[c].index(p)] if c in stats else None for key, (c, p) in wanted.items()}
 
     # infinities sit at the ends of the order; the search runs over the finite values between
-    ends = values.agg(*[F.count_if(F.col(c) == F.lit(e)).alias(f"{c}{tag}")
-                        for c in columns for tag, e in (("_neg", -math.inf), ("_pos", math.inf))]).first()
-    bounded = values.select(*[finite(F.col(c)).alias(c) for c in columns])
-    ranks: dict[tuple[str, int], _Rank] = {}
+    found: dict[tuple[int, int], float] = {}
+    search = {c: _Interval(c, s["lo"], s["hi"], s["neg"], s["n"] - s["neg"] - s["pos"]) for c, s in stats.items()}
     for c, p in wanted.values():
-        if sizes[c]:
-            position = p * (sizes[c] - 1)
+        if c in stats:
+            position = p * (stats[c]["n"] - 1)
             for k in {math.floor(position), math.ceil(position)}:
-                if k < ends[f"{c}_neg"]:
-                    ranks[(c, k)] = _Rank(c, k, -math.inf, -math.inf)
-                elif k >= sizes[c] - ends[f"{c}_pos"]:
-                    ranks[(c, k)] = _Rank(c, k, math.inf, math.inf)
+                if k < stats[c]["neg"]:
+                    found[(c, k)] = -math.inf
+                elif k >= stats[c]["n"] - stats[c]["pos"]:
+                    found[(c, k)] = math.inf
                 else:
-                    ranks.setdefault((c, k), _Rank(c, k - ends[f"{c}_neg"], 0.0, 0.0))
-    todo = [r for r in ranks.values() if not math.isinf(r.lo)]
-    by_column = {c: [r for r in todo if r.column == c] for c in columns}
-    by_column = {c: members for c, members in by_column.items() if members}
-    margin = 2.0 / SKETCH_ACCURACY
-    aggs = []
-    for c, members in by_column.items():
-        probes = [min(1.0, max(0.0, (r.rank / sizes[c]) + d)) for r in members for d in (-margin, margin)]
-        aggs += [F.percentile_approx(c, F.array(*[F.lit(x) for x in probes]), SKETCH_ACCURACY).alias(f"{c}_s"),
-                 F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
-    if aggs:
-        row = bounded.agg(*aggs).first()
-        extremes = {c: (row[f"{c}_min"], row[f"{c}_max"]) for c in by_column}
-        for c, members in by_column.items():
-            for i, r in enumerate(members):
-                r.lo, r.hi = row[f"{c}_s"][2 * i], row[f"{c}_s"][2 * i + 1]
-        _count_around(bounded, todo, extremes)
-        _select(bounded, todo, sorted_rows, buckets)
-
-    out: dict[str, float | None] = {}
+                    search[c].ranks.add(k)
+    finite_only = long.filter(F.abs("x") < math.inf)
+    found |= _select(finite_only, [v for v in search.values() if v.ranks], sorted_rows, buckets)
+
+    out: dict[object, float | None] = {}
     for key, (c, p) in wanted.items():
-        if not sizes[c]:
+        if c not in stats:
             out[key] = None
             continue
-        position = p * (sizes[c] - 1)
-        low, high = ranks[(c, math.floor(position))].lo, ranks[(c, math.ceil(position))].lo
+        position = p * (stats[c]["n"] - 1)
+        low, high = found[(c, math.floor(position))], found[(c, math.ceil(position))]
         out[key] = low if low == high else low + (high - low) * (position - math.floor(position))
     return out
 

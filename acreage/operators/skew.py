@@ -23,11 +23,11 @@ def salted_join(big: DataFrame, other: DataFrame, keys: Sequence[str], how: str
     be inner or left.
     """
     keys = list(keys)
-    hot = durable(big.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_task)
-                  .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts")))
+    hot = (big.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_task)
+           .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts")))
     if hot.isEmpty():
         return big.join(other, keys, how)
-    # at most one row for each ``rows_per_task`` rows of ``big``
+    hot = durable(hot)  # at most one row for each ``rows_per_task`` rows of ``big``
     left = (big.join(hot, keys, "left")
             .withColumn("_salt", F.pmod(F.xxhash64(*big.columns, F.spark_partition_id()),
                                         F.coalesce("_parts", F.lit(1))).cast("int"))

@@ -46,9 +46,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{os.urandom(8).hex()}")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+def durable(df: DataFrame, spread: bool = False) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder.
+
+    ``spread`` is for data that is read many times: when it came out in fewer partitions than there
+    are cores, it is dealt out evenly and written once more.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    cut = df.checkpoint(eager=True)
+    cores = context.defaultParallelism
+    if spread and cut.rdd.getNumPartitions() < cores:
+        return cut.repartition(cores).checkpoint(eager=True)
+    return cut
