@@ -13,7 +13,9 @@ class FixedModel:
         return df.withColumns({"predicted_price": F.col("area_sqm") * 100, "currency": F.lit("USD"), "accuracy_pct": F.lit(10.0)})
 
 
-SCHEMA = T.StructType.fromDDL("request_id int, user_id int, country string, city string, rooms string, area_sqm double")
+SCHEMA = T.StructType([T.StructField("request_id", T.IntegerType()), T.StructField("user_id", T.IntegerType()),
+                       T.StructField("country", T.StringType()), T.StructField("city", T.StringType()),
+                       T.StructField("rooms", T.StringType()), T.StructField("area_sqm", T.DoubleType())])
 ROWS = [(1, 7, "A", "a", "2", 50.0), (2, None, "A", "a", "2", 60.0), (3, 7, "A", None, "2", 50.0), (4, 8, "A", "a", "x", 50.0), (5, 8, "A", "b", "3", 70.0)]
 
 
