@@ -51,9 +51,7 @@ def _few_labels(spark, sf):
 
 def _engineered(spark, sf):
     """Features of every row from values fitted on the training rows."""
-    rows = durable(parts(spark, sf), spread=True)
-    fitted = ft.fit_features(rows.filter(F.col("split") == "train"))
-    made = ft.engineer(rows, fitted)
+    _, made = ft.fit_and_engineer(durable(parts(spark, sf), spread=True), F.col("split") == "train")
     return round_out(made.select("row_key", "split", *[F.col(c).cast("double").alias(c) for c in ft.FEATURES]),
                      {c: 3 for c in ft.FEATURES})
 

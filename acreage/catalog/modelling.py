@@ -115,9 +115,8 @@ def _trained(spark, sf):
 
 def _one_model(spark, sf):
     """A small model, saved and read back."""
-    rows = durable(parts(spark, sf), spread=True)
-    fitted = ft.fit_features(rows.filter("split = 'train'"))
-    data = durable(ft.prepare(rows, fitted).select("split", "features", "label"))
+    fitted, made = ft.fit_and_engineer(durable(parts(spark, sf), spread=True), F.col("split") == "train")
+    data = ft.vectorise(made, fitted).select("split", "features", "label")
     model = m.StackedModel([m._gbt(42, maxIter=3, maxDepth=3).fit(data.filter("split = 'train'"))])
     metrics = m.evaluate_all(model.transform(data))
     path = m.PriceModel(fitted, model, metrics).save(scratch_path(spark, "model"))

@@ -49,14 +49,14 @@ def num(c: Column) -> Column:
     Java would read '12d' and '12f' as numbers; those type suffixes are refused.
     """
     text = c.cast("string")
-    value = text.try_cast("double")
-    bad = F.isnan(value) | text.rlike(r"[0-9.][dDfF]\s*$")
-    return F.when(bad, None).otherwise(value)
+    value = F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
+    suffixed = F.substring(F.rtrim(text), -1, 1).isin("d", "D", "f", "F")  # also the end of "inf"
+    return F.when(suffixed & (F.abs(value) < float("inf")), None).otherwise(value)
 
 
 def money(c: Column) -> Column:
     """Amount written with thousands commas and a taka sign."""
-    return num(F.regexp_replace(c.cast("string"), "[,৳]", ""))
+    return num(F.translate(c.cast("string"), ",৳", ""))
 
 
 def sqft_to_sqm(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from acreage.functions.scalars import finite, unit_hash
 from acreage.operators.cleaning import finite_rows
 from acreage.operators.combine import label_index, label_indexes
-from acreage.operators.quantiles import SMALL_VALUES, quantiles
+from acreage.operators.quantiles import quantiles
 from acreage.session import durable
 
 # Columns, thresholds and the order of the feature vector.
@@ -34,6 +34,10 @@ SPLIT = {"train": 0.7, "val": 0.3 * (1 - 0.333), "test": 0.3 * 0.333}
 ARRAY_SPLIT = {"train": 0.9 * (1 - 0.222), "val": 0.9 * 0.222, "test": 0.1}
 
 
+# up to this many keys a weighted median is folded in one task
+SMALL_KEYS = 5_000_000
+
+
 # ---- splitting -------------------------------------------------------------------------------
 
 def split(df: DataFrame, key: Sequence[str | Column], seed: int = 42, fractions: Mapping[str, float] = SPLIT,
@@ -80,9 +84,9 @@ def target_encode_fit(train: DataFrame, key: str, target: str = "price_usd") ->
 
 def middle_of(means: DataFrame, column: str, train: DataFrame, key: str) -> float | None:
     """Median of the looked-up means over the training rows, each key weighted by its rows."""
-    small = means.limit(SMALL_VALUES + 1)  # a table of keys; only a huge one is not folded in one task
+    small = means.limit(SMALL_KEYS + 1)  # a table of keys; only a huge one is not folded in one task
     row = small.agg(F.count("*").alias("keys"), F.percentile(column, F.lit(0.5), F.col("n")).alias("middle")).first()
-    if row["keys"] <= SMALL_VALUES:
+    if row["keys"] <= SMALL_KEYS:
         return row["middle"]
     return quantiles(train.join(means.select(key, column), key), {"m": (column, 0.5)})["m"]
 
@@ -210,8 +214,8 @@ class FittedFeatures:
     scale: dict[str, tuple[float, float]] = field(default_factory=dict)
 
 
-def fit_features(train: DataFrame, accuracy: int | None = None) -> FittedFeatures:
-    """Medians, then all labels and mean prices in one aggregation, then the scale of the features."""
+def fit_tables(train: DataFrame, accuracy: int | None = None) -> FittedFeatures:
+    """Medians, then all labels and mean prices in one aggregation; the scale is still to be fitted."""
     medians = fill_values(train, accuracy=accuracy)
     filled = fill_median(train, medians)
     keyed = durable(label_indexes(filled, LABELLED, "price_usd"))
@@ -226,9 +230,22 @@ def fit_features(train: DataFrame, accuracy: int | None = None) -> FittedFeature
             defaults[c] = middle_of(known, name, filled, c)
         else:
             tables[c] = table.select("label", "label_index")
-    fitted = FittedFeatures(medians, defaults, tables)
-    fitted.scale = robust_scale_fit(engineer(train, fitted), accuracy=accuracy)
-    return fitted
+    return FittedFeatures(medians, defaults, tables)
+
+
+def fit_and_engineer(df: DataFrame, is_train: Column, accuracy: int | None = None) -> tuple[FittedFeatures, DataFrame]:
+    """Everything fitted on the training rows, and the features of all rows.
+
+    The features are checkpointed: the scale takes several passes over them and training many more.
+    """
+    fitted = fit_tables(df.filter(is_train), accuracy)
+    made = durable(engineer(df, fitted), spread=True)
+    fitted.scale = robust_scale_fit(made.filter(is_train), accuracy=accuracy)
+    return fitted, made
+
+
+def fit_features(train: DataFrame, accuracy: int | None = None) -> FittedFeatures:
+    return fit_and_engineer(train, F.lit(True), accuracy)[0]
 
 
 def engineer(df: DataFrame, fitted: FittedFeatures) -> DataFrame:
@@ -258,11 +275,15 @@ def assemble(df: DataFrame, scale: Mapping[str, tuple[float, float]], output: st
     return VectorAssembler(inputCols=list(names.values()), outputCol=output, handleInvalid="keep").transform(scaled).drop(*names.values())
 
 
-def prepare(df: DataFrame, fitted: FittedFeatures, with_target: bool = True) -> DataFrame:
+def vectorise(made: DataFrame, fitted: FittedFeatures, with_target: bool = True) -> DataFrame:
     """Feature vector and, for training, the log price; rows that are not all finite are dropped."""
-    made = engineer(df, fitted)
     checked = list(FEATURES)
     if with_target:
         made = made.withColumn("label", to_log(F.col("price_usd").cast("double")))
         checked.append("label")
     return assemble(finite_rows(made, checked), fitted.scale)
+
+
+def prepare(df: DataFrame, fitted: FittedFeatures, with_target: bool = True) -> DataFrame:
+    """From listings to feature vectors with values fitted before."""
+    return vectorise(engineer(df, fitted), fitted, with_target)

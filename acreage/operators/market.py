@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from acreage.functions.scalars import with_price_per_sqm
 from acreage.operators.quantiles import quantiles
+from acreage.session import local_frame
 
 # Edges and names of the price and area ranges.
 PRICE_EDGES = (100_000, 500_000, 1_000_000, 5_000_000)
@@ -37,8 +38,8 @@ CITY_COORDS = {
 
 def city_coords(spark) -> DataFrame:
     """The built-in city coordinates as a dimension."""
-    return spark.createDataFrame([(c, lat, lng) for c, (lat, lng) in CITY_COORDS.items()],
-                                 "city string, lat double, lng double")
+    return local_frame(spark, [(c, lat, lng) for c, (lat, lng) in CITY_COORDS.items()],
+                       "city string, lat double, lng double")
 
 
 def _place_rollup(df: DataFrame) -> DataFrame:

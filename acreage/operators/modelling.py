@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from acreage.functions.scalars import unit_hash
 from acreage.operators.combine import union_all
-from acreage.operators.features import (FittedFeatures, assign_fold, engineer, fit_features, assemble, from_log,
-                                        prepare)
+from acreage.operators.features import (FittedFeatures, assemble, assign_fold, engineer, fit_and_engineer, from_log,
+                                        vectorise)
 from acreage.operators.quantiles import quantiles
 from acreage.session import durable
 
@@ -151,8 +151,10 @@ def evaluate_all(predicted: DataFrame, by: str = "split", groups: Sequence[str]
     """Errors on the price scale for each group, and R² on the log scale as well."""
     y, p = from_log(F.col(label)), from_log(F.col(prediction))
     err = y - p
-    rows = predicted.select(by, F.col(label).alias("_yl"), F.col(prediction).alias("_pl"), y.alias("_y"),
-                            err.alias("_e"), F.abs(err).alias("_ae"))
+    # every pass below would score the rows again
+    rows = durable(predicted.select(by, F.col(label).alias("_yl"), F.col(prediction).alias("_pl"),
+                                    y.alias("_y"),
+                                    err.alias("_e"), F.abs(err).alias("_ae")))
     middles = quantiles(rows, {g: (F.when(F.col(by) == g, F.col("_ae")), 0.5) for g in groups})
     medae = F.create_map(*[F.lit(v) for g in groups for v in (str(g), middles[g])]) if groups else F.lit(None)
     return rows.groupBy(by).agg(
@@ -194,11 +196,11 @@ def cross_val(df: DataFrame, fit: Callable[[DataFrame], Model | StackedModel], k
     folded = durable(assign_fold(df, key, folds, seed), spread=True)
     scored = []
     for f in range(folds):
-        rest = folded.filter(F.col("fold") != f)
-        fitted = fit_features(rest)
-        rows = mark_hold_out(assign_fold(prepare(rest, fitted), key, STACK_FOLDS, seed + 2, "stack_fold"), key)
-        model = fit(durable(rows.select("features", "label", "stack_fold", "hold_out")))
-        held = prepare(folded.filter(F.col("fold") == f), fitted)
+        fitted, made = fit_and_engineer(folded, F.col("fold") != f)
+        rows = vectorise(made, fitted)
+        rest = mark_hold_out(assign_fold(rows.filter(F.col("fold") != f), key, STACK_FOLDS, seed + 2, "stack_fold"), key)
+        model = fit(rest.select("features", "label", "stack_fold", "hold_out"))
+        held = rows.filter(F.col("fold") == f)
         scored.append(model.transform(held).select("fold", "label", "prediction"))
     return (union_all(scored).groupBy("fold").agg(
         (1 - F.sum(F.pow(F.col("label") - F.col("prediction"), 2)) / (F.var_pop("label") * F.count("*"))).alias("r2"),

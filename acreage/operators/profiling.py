@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from acreage.operators.combine import union_all
 from acreage.operators.quantiles import quantiles
 from acreage.operators.ranking import top_per_group
+from acreage.session import local_frame
 
 # Thresholds of the findings.
 SPARSE_SHARE = 0.5
@@ -51,7 +52,7 @@ def _numbers(df: DataFrame, columns: Sequence[str] | None, first: int | None = N
 def shape(df: DataFrame, head: int = 5) -> tuple[DataFrame, DataFrame]:
     """Column list with types and the row count, and the first rows."""
     fields = [(i + 1, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    columns = df.sparkSession.createDataFrame(fields, "position int, column string, type string")
+    columns = local_frame(df.sparkSession, fields, "position int, column string, type string")
     return columns.withColumn("rows", df.agg(F.count("*")).scalar()), df.limit(head)
 
 
@@ -66,7 +67,7 @@ def cardinality(df: DataFrame, columns: Sequence[str] | None = None, approx: boo
         # (column, value) pairs are grouped with a partial count, so hot values shrink before the shuffle
         pairs = _stack(df, chosen).filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
         found = pairs.groupBy("column").agg(F.count("*").alias("n_distinct"))
-        names = df.sparkSession.createDataFrame([(c,) for c in chosen], "column string")
+        names = local_frame(df.sparkSession, [(c,) for c in chosen], "column string")
         counts = names.join(found, "column", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
     return counts.withColumn("maybe_categorical",
                              F.col("column").isin(numeric) & (F.col("n_distinct") < FEW_DISTINCT))
@@ -181,7 +182,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = H
         items.append(F.struct(F.lit(c).alias("column"), slot.alias("bin")))
         edges.append((c, float(lo), float(hi)))
     spark = df.sparkSession
-    grid = (spark.createDataFrame(edges, "column string, lo double, hi double")
+    grid = (local_frame(spark, edges, "column string, lo double, hi double")
             .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))))
     counts = (df.select(F.inline(F.array(*items))).filter(F.col("bin").isNotNull())
               .groupBy("column", "bin").agg(F.count("*").alias("n")))

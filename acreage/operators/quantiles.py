@@ -1,10 +1,10 @@
 """Exact quantiles at any size.
 
-The built-in ``percentile`` keeps every distinct value in the memory of one task. It is used
-here only when the number of values is known to be small. Larger columns are narrowed down:
-every pass counts the rows of an interval in equal-width buckets and keeps the buckets that hold
-a wanted rank, until few rows are left; only those are sorted. Each pass reads a value once,
-whatever the number of columns and probabilities, and sends one row for each bucket.
+The built-in ``percentile`` keeps every distinct value in the memory of one task. Here a column
+is narrowed down instead: every pass counts the rows of an interval in equal-width buckets and
+keeps the buckets that hold a wanted rank, until few rows are left; only those are sorted. Each
+pass reads a value once, whatever the number of columns and probabilities, and sends one row for
+each bucket. A column that is small from the start is sorted at once.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SMALL_VALUES = 5_000_000
-SORTED_ROWS = 1_000_000
+from acreage.session import local_frame
+SORTED_ROWS = 100_000
 BUCKETS = 2_048
 
 
@@ -43,7 +43,7 @@ def _inside(long: DataFrame, intervals: list[_Interval]) -> DataFrame:
     """The values of every interval, tagged with its number. The interval list has a row for each rank
     at most, so Spark broadcasts it."""
     rows = [(i, v.column, v.lo, v.hi) for i, v in enumerate(intervals)]
-    table = long.sparkSession.createDataFrame(rows, "iv int, id int, lo double, hi double")
+    table = local_frame(long.sparkSession, rows, "iv int, id int, lo double, hi double")
     return long.join(table, "id").filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
 
 
@@ -73,7 +73,7 @@ def _sorted_values(long: DataFrame, intervals: list[_Interval]) -> dict[tuple[in
     running = F.sum("n").over(Window.partitionBy("iv").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     upto = (_inside(long, intervals).groupBy("iv", "x").agg(F.count("*").alias("n")).withColumn("upto", running))
     wanted = [(i, k, k - v.below) for i, v in enumerate(intervals) for k in v.ranks]
-    ranks = long.sparkSession.createDataFrame(wanted, "iv int, rank long, place long")
+    ranks = local_frame(long.sparkSession, wanted, "iv int, rank long, place long")
     rows = (upto.join(ranks, "iv").filter(F.col("upto") > F.col("place"))
             .groupBy("iv", "rank").agg(F.min("x").alias("x")).collect())
     return {(intervals[r["iv"]].column, r["rank"]): r["x"] for r in rows}
@@ -96,8 +96,7 @@ def _select(long: DataFrame, intervals: list[_Interval], sorted_rows: int, bucke
 
 
 def quantiles(df: DataFrame, targets: Mapping[object, tuple[Column | str, float]], accuracy: int | None = None,
-              small_values: int = SMALL_VALUES, sorted_rows: int = SORTED_ROWS,
-              buckets: int = BUCKETS) -> dict[object, float | None]:
+              sorted_rows: int = SORTED_ROWS, buckets: int = BUCKETS) -> dict[object, float | None]:
     """Quantiles by linear interpolation, nulls and NaN left out.
 
     ``targets`` names each wanted value as (column, probability). ``accuracy`` asks for one
@@ -128,11 +127,6 @@ def quantiles(df: DataFrame, targets: Mapping[object, tuple[Column | str, float]
     stats = {r["id"]: r for r in long.groupBy("id").agg(
         F.count("*").alias("n"), F.count_if(F.col("x") == -math.inf).alias("neg"),
         F.count_if(F.col("x") == math.inf).alias("pos"), F.min(bounded).alias("lo"), F.max(bounded).alias("hi")).collect()}
-    if sum(r["n"] for r in stats.values()) <= small_values:
-        probes = {c: sorted({p for i, p in wanted.values() if i == c}) for c in stats}
-        row = values.agg(*[F.percentile(f"v{c}", F.array(*[F.lit(p) for p in ps])).alias(f"v{c}")
-                           for c, ps in probes.items()]).first() if probes else None
-        return {key: row[f"v{c}"][probes[c].index(p)] if c in stats else None for key, (c, p) in wanted.items()}
 
     # infinities sit at the ends of the order; the search runs over the finite values between
     found: dict[tuple[int, int], float] = {}
@@ -164,4 +158,4 @@ def quantiles(df: DataFrame, targets: Mapping[object, tuple[Column | str, float]
 def quantile_frame(df: DataFrame, targets: Mapping[str, tuple[Column | str, float]], **options) -> DataFrame:
     """The same values as a one-row frame."""
     found = quantiles(df, targets, **options)
-    return df.sparkSession.createDataFrame([tuple(found.values())], ", ".join(f"`{k}` double" for k in found))
+    return local_frame(df.sparkSession, [tuple(found.values())], ", ".join(f"{k} double" for k in found))

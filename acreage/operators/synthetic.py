@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from acreage.functions.scalars import unit_hash
 from acreage.operators.combine import union_all
+from acreage.session import local_frame
 from acreage.sources.specs import LISTING_SCHEMA
 
 # Cities each country should cover.
@@ -44,8 +45,8 @@ FURNISHING_STATES = ("Furnished", "Semi-Furnished", "Unfurnished")
 
 def city_catalogue(spark) -> DataFrame:
     """The built-in target cities as a dimension."""
-    return spark.createDataFrame([(c, city) for c, cities in TOP_CITIES.items() for city in cities],
-                                 "country string, city string")
+    return local_frame(spark, [(c, city) for c, cities in TOP_CITIES.items() for city in cities],
+                       "country string, city string")
 
 
 def country_moments(df: DataFrame) -> DataFrame:

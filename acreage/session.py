@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -60,3 +62,18 @@ def durable(df: DataFrame, spread: bool = False) -> DataFrame:
     if spread and cut.rdd.getNumPartitions() < cores:
         return cut.repartition(cores).checkpoint(eager=True)
     return cut
+
+
+# Arrow types of the columns a local frame may have
+_ARROW = {"int": "int32", "long": "int64", "double": "float64", "string": "string", "boolean": "bool_"}
+
+
+def local_frame(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A small frame from driver values whose size the planner knows, so that joins broadcast it.
+
+    A frame made from a list of rows counts as huge and would have the other side shuffled.
+    """
+    names, kinds = zip(*[part.split() for part in schema.split(",")])
+    columns = list(zip(*rows)) or [() for _ in names]
+    arrays = [pa.array(list(c), type=getattr(pa, _ARROW[k])()) for c, k in zip(columns, kinds)]
+    return spark.createDataFrame(pa.table(dict(zip(names, arrays))))

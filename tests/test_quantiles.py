@@ -26,7 +26,7 @@ def test_narrowing_equals_pandas(spark):
     df = spark.createDataFrame(pdf).repartition(5)
     targets = {(c, p): (c, p) for c in pdf for p in PROBS}
     small = quantiles(df, targets)
-    narrowed = quantiles(df, targets, small_values=0, sorted_rows=50, buckets=16)
+    narrowed = quantiles(df, targets, sorted_rows=50, buckets=16)
     for (c, p), found in narrowed.items():
         assert found == pytest.approx(pdf[c].quantile(p), rel=1e-9, abs=1e-320)
         assert small[(c, p)] == pytest.approx(found, rel=1e-12, abs=1e-320)
@@ -35,7 +35,7 @@ def test_narrowing_equals_pandas(spark):
 def test_gaps_infinities_and_empty_columns(spark):
     rows = [(float(i), None) for i in range(10)] + [(math.nan, None), (math.inf, None), (-math.inf, None)]
     df = spark.createDataFrame(rows, "x double, none double")
-    got = quantiles(df, {"lo": ("x", 0.0), "mid": ("x", 0.5), "hi": ("x", 1.0), "none": ("none", 0.5)}, small_values=0, sorted_rows=2, buckets=4)
+    got = quantiles(df, {"lo": ("x", 0.0), "mid": ("x", 0.5), "hi": ("x", 1.0), "none": ("none", 0.5)}, sorted_rows=2, buckets=4)
     assert got == {"lo": -math.inf, "mid": 4.5, "hi": math.inf, "none": None}
 
 
