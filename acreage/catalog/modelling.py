@@ -22,7 +22,7 @@ _SMALL = TrainConfig(
     grid_a={"maxIter": [2, 3], "maxDepth": [2, 3], "stepSize": [0.3]},
     grid_b={"maxIter": [2, 3], "maxDepth": [2], "stepSize": [0.3], "minInstancesPerNode": [10]},
     settings_c={"maxIter": 3, "maxDepth": 3, "minInstancesPerNode": 5, "stepSize": 0.3, "subsamplingRate": 0.9},
-    draws=2, cv_folds=2)
+    draws=2, cv_folds=0)
 
 _FIXED = "(10.5::DOUBLE + 0.55::DOUBLE * ln(1 + area_sqm / 10))"
 _FIXED_B = "(12::DOUBLE + 0.002::DOUBLE * area_sqm)"

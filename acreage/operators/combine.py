@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from acreage.session import stored
+
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """Frames one after the other, matched by column name, duplicates kept."""
@@ -24,16 +26,17 @@ def label_indexes(df: DataFrame, columns: Sequence[str], target: str | None = No
     """Distinct texts of each column numbered from 0 in sorted order; null counts as the text 'nan'.
 
     All columns share one aggregation, which also gives the rows and, with ``target``, the mean of
-    each label; rows without a value do not enter the mean. The order is total but no task sees all
-    labels: they are numbered inside their two-letter prefix, and the prefix counts, a small table,
-    give each prefix its offset.
+    each label; rows without a value do not enter the mean. Its result, one row for each label, is
+    written once, so the rows are not read again. The order is total but no task sees all labels:
+    they are numbered inside their two-letter prefix, and the prefix counts, a small table, give each
+    prefix its offset.
     """
     value = F.col(target).cast("double") if target else F.lit(None).cast("double")
     items = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("label"),
                       F.when(F.col(c).isNotNull(), value).alias("_v")) for c in columns]
-    labels = (df.select(F.inline(F.array(*items))).groupBy("column", "label")
-              .agg(F.avg("_v").alias("mean"), F.count("*").alias("n"), F.count("_v").alias("n_mean"))
-              .withColumn("_prefix", F.substring("label", 1, 2)))
+    labels = stored(df.select(F.inline(F.array(*items))).groupBy("column", "label")
+                    .agg(F.avg("_v").alias("mean"), F.count("*").alias("n"), F.count("_v").alias("n_mean"))
+                    .withColumn("_prefix", F.substring("label", 1, 2)), "labels")
     before = Window.partitionBy("column").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (labels.groupBy("column", "_prefix").agg(F.count("*").alias("_n"))
                .select("column", "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))

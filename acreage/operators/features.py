@@ -8,12 +8,13 @@ from dataclasses import dataclass, field
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from acreage.functions.scalars import finite, unit_hash
 from acreage.operators.cleaning import finite_rows
 from acreage.operators.combine import label_index, label_indexes
 from acreage.operators.quantiles import quantiles
-from acreage.session import durable
+from acreage.session import durable, stored
 
 # Columns, thresholds and the order of the feature vector.
 FILLED = ("rooms", "area_sqm", "balcony", "building_age", "price_usd")
@@ -101,14 +102,14 @@ def target_encode_apply(df: DataFrame, means: DataFrame, key: str, default: floa
 def target_encode_out_of_fold(train: DataFrame, key: str, fold: str, target: str = "price_usd") -> DataFrame:
     """Mean target of the key over the other folds, so no row sees its own price.
 
-    Totals come from the (key, fold) sums: one aggregation of the rows, joined back on a frame with
+    Totals come from the (key, fold) sums, so the rows are aggregated once; the frame joined back has
     at most one row for each key and fold.
     """
     name = f"{key}_avg_price"
     inner = train.groupBy(key, fold).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
-    whole = inner.groupBy(key).agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
-    rest = inner.join(whole, key).select(key, fold, F.try_divide(F.col("_ts") - F.col("_s"),
-                                                                 F.col("_tn") - F.col("_n")).alias(name))
+    whole = Window.partitionBy(key)  # one row for each fold
+    rest = inner.select(key, fold, F.try_divide(F.sum("_s").over(whole) - F.col("_s"),
+                                                F.sum("_n").over(whole) - F.col("_n")).alias(name))
     return train.join(rest, [key, fold], "left")
 
 
@@ -218,7 +219,7 @@ def fit_tables(train: DataFrame, accuracy: int | None = None) -> FittedFeatures:
     """Medians, then all labels and mean prices in one aggregation; the scale is still to be fitted."""
     medians = fill_values(train, accuracy=accuracy)
     filled = fill_median(train, medians)
-    keyed = durable(label_indexes(filled, LABELLED, "price_usd"))
+    keyed = stored(label_indexes(filled, LABELLED, "price_usd"), "labels")
     tables, defaults = {}, {}
     for c in LABELLED:
         table = keyed.filter(F.col("column") == c)

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from acreage.functions import geo
 from acreage.operators.market import place_intensity
@@ -103,9 +104,9 @@ def _nearest_in_city(sites: DataFrame, pois: DataFrame, cell_km: float = RADIUS_
     meet = meet.withColumns({
         "floor_km": geo.box_distance_floor_km(lat, lng, F.col("south"), F.col("north"), F.col("west"), F.col("east")),
         "member_km": geo.haversine_km(lat, lng, F.col("member.lat"), F.col("member.lng"))})
-    bound = meet.groupBy(*SITE, "city", "poi_type").agg(F.min("member_km").alias("bound_km"))
-    opened = meet.join(bound, [*SITE, "city", "poi_type"]).filter(F.col("floor_km") <= F.col("bound_km")).select(
-        *SITE, "city", "poi_type", "_band", "_cell")
+    per_site = Window.partitionBy(*SITE, "city", "poi_type")  # the occupied cells of one city
+    opened = (meet.withColumn("bound_km", F.min("member_km").over(per_site))
+              .filter(F.col("floor_km") <= F.col("bound_km")).select(*SITE, "city", "poi_type", "_band", "_cell"))
     members = placed.select("city", "poi_type", "_band", "_cell", F.col("lat").alias("_tlat"),
                             F.col("lng").alias("_tlng"), "poi_id")
     pairs = opened.join(members, ["city", "poi_type", "_band", "_cell"])

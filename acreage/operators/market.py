@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from acreage.functions.scalars import with_price_per_sqm
 from acreage.operators.quantiles import quantiles
@@ -138,8 +139,8 @@ def city_heatmap(df: DataFrame, coords: DataFrame, by_country: bool = False) ->
         F.avg("price_usd").alias("avg_price"), F.avg("area_sqm").alias("avg_area"),
         F.avg("rooms").alias("avg_rooms"), F.count("*").alias("property_count"))
     if not by_country:
-        counts = stats.groupBy("city").agg(F.sum("property_count").alias("property_count"))
-        stats = stats.drop("property_count").join(counts, "city")
+        same_name = Window.partitionBy("city")  # the countries that share a city name
+        stats = stats.withColumn("property_count", F.sum("property_count").over(same_name))
     return (stats.filter(F.col("country").isNotNull()).join(coords, "city")
             .select("city", "country", "lat", "lng", F.round("avg_price", 0).alias("avg_price"),
                     F.round("avg_area", 1).alias("avg_area"), F.round("avg_rooms", 1).alias("avg_rooms"),

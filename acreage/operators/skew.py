@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreage.session import durable
+from acreage.session import stored
 
 ROWS_PER_TASK = 2_000_000
 
@@ -27,7 +27,7 @@ def salted_join(big: DataFrame, other: DataFrame, keys: Sequence[str], how: str
            .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts")))
     if hot.isEmpty():
         return big.join(other, keys, how)
-    hot = durable(hot)  # at most one row for each ``rows_per_task`` rows of ``big``
+    hot = stored(hot, "hot-keys")  # at most one row for each ``rows_per_task`` rows of ``big``
     left = (big.join(hot, keys, "left")
             .withColumn("_salt", F.pmod(F.xxhash64(*big.columns, F.spark_partition_id()),
                                         F.coalesce("_parts", F.lit(1))).cast("int"))

@@ -64,6 +64,14 @@ def durable(df: DataFrame, spread: bool = False) -> DataFrame:
     return cut
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back. Unlike a checkpoint, a file tells the planner
+    its size, so a lookup table that is small enough is broadcast and a large one is not."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 # Arrow types of the columns a local frame may have
 _ARROW = {"int": "int32", "long": "int64", "double": "float64", "string": "string", "boolean": "bool_"}
 
