@@ -8,7 +8,8 @@ from acreage.functions import scalars as sc
 from acreage.operators import cleaning as cl
 from acreage.operators.accounts import normalise_keys
 from acreage.operators.combine import union_all
-from acreage.operators.synthetic import add_synthetic, missing_cities
+from acreage.operators.synthetic import add_synthetic, city_catalogue, missing_cities
+from acreage.plans.unify import assemble_listings
 from acreage.plans.views import view, with_views
 from acreage.sources import specs
 
@@ -142,6 +143,11 @@ def _with_synthetic(spark, sf):
     return both.groupBy("country").agg(F.count("*").alias("n"), F.count_distinct("city").alias("cities"))
 
 
+def _unified(spark, sf):
+    """All sources, made-up rows for the catalogue cities they lack, then every cleaning rule."""
+    return assemble_listings(union_all([standardised(spark, sf, n) for n in _SHAPES]), city_catalogue(spark))
+
+
 def _validated(spark, sf):
     return cl.validate(view(spark, sf, "requests"), cl.PREDICTION_RULES)
 
@@ -150,6 +156,7 @@ ENTRIES = {f"standardise_{name}": _source_entry(name) for name in _SHAPES} | {
     "union_sources": (
         lambda s, d: _rounded(union_all([standardised(s, d, n) for n in _SHAPES])),
         with_views(" UNION ALL ".join(_source_sql(n) for n in _SHAPES), "raw_listings")),
+    "unified_listings": (_unified, None),
     "lenient_numbers": (
         lambda s, d: view(s, d, "raw_listings").select(
             "row_key", sc.num(F.col("rooms_raw")).alias("rooms"), sc.money(F.col("price_raw")).alias("amount"),

@@ -8,6 +8,7 @@ from acreage.functions.scalars import round_out
 from acreage.operators import location as lo
 from acreage.operators.market import city_coords, place_intensity
 from acreage.plans.views import view, with_views
+from acreage.session import scratch_path
 
 
 def _views(spark, sf, *names):
@@ -148,6 +149,9 @@ ENTRIES = {
             {_RATING.format(x='livability_index')} AS livability_rating FROM z""", "points", "safety")),
     "location_features": (lambda s, d: _shown(_features(s, d)), _FEATURE_SQL),
     "refresh_features": (_refreshed, _FEATURE_SQL),
+    "refresh_all": (
+        lambda s, d: lo.refresh_all(view(s, d, "points"), lambda p: _features(s, d, p), scratch_path(s, "features")),
+        with_views("SELECT count(*) AS refreshed FROM points", "points")),
     "location_impact": (
         lambda s, d: round_out(lo.location_impact(_features(s, d), 250000.0), {"score": 4, "impact_pct": 4, "price_delta": 2}),
         with_views(_FEATURES + _IMPACT, *_FEATURE_VIEWS)),
