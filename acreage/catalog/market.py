@@ -100,11 +100,11 @@ ENTRIES = {
         , g AS (SELECT country, round(avg(price_usd), 2) AS a, count(*) AS n FROM listings GROUP BY country),
         t AS (SELECT count(*) AS n, count(DISTINCT country) AS c, avg(price_usd) AS p, avg(area_sqm) AS a, avg(rooms) AS r FROM listings)
         SELECT 0 AS line, format('Dataset contains {:,} properties across {} countries', n, c) AS insight FROM t
-        UNION ALL SELECT 1, format('Average property price is ${:,} USD', CAST(round(p) AS BIGINT)) FROM t
-        UNION ALL (SELECT 2, format('Most expensive market: {} (${:,} avg)', country, CAST(round(a) AS BIGINT)) FROM g ORDER BY a DESC, country LIMIT 1)
-        UNION ALL (SELECT 3, format('Most affordable market: {} (${:,} avg)', country, CAST(round(a) AS BIGINT)) FROM g ORDER BY a, country LIMIT 1)
+        UNION ALL SELECT 1, format('Average property price is ${:,} USD', CAST(round_even(p, 0) AS BIGINT)) FROM t
+        UNION ALL (SELECT 2, format('Most expensive market: {} (${:,} avg)', country, CAST(round_even(a, 0) AS BIGINT)) FROM g ORDER BY a DESC, country LIMIT 1)
+        UNION ALL (SELECT 3, format('Most affordable market: {} (${:,} avg)', country, CAST(round_even(a, 0) AS BIGINT)) FROM g ORDER BY a, country LIMIT 1)
         UNION ALL (SELECT 4, format('{} has the most listings ({:,} properties)', country, n) FROM g ORDER BY n DESC, country LIMIT 1)
-        UNION ALL SELECT 5, format('Average property size is {:,} sqm with {:.1f} rooms', CAST(round(a) AS BIGINT), r) FROM t""")),
+        UNION ALL SELECT 5, format('Average property size is {:,} sqm with {:.1f} rooms', CAST(round_even(a, 0) AS BIGINT), r) FROM t""")),
     "summary": (
         lambda s, d: round_out(mk.summary(view(s, d, "listings")), {c: 4 for c in (
             "price_mean", "price_median", "price_min", "price_max", "rooms_mean", "rooms_min", "rooms_max", "area_mean",
