@@ -38,7 +38,8 @@ def drop_common_lines(docs: DataFrame, scratch: Scratch, min_docs: int = 10, min
     common = scratch.put(found.groupBy("h1", "h2").agg(F.count_distinct(F.struct("_id")).alias("n"))
                          .filter(F.col("n") >= min_docs).select("h1", "h2"))
     drops = found.join(common, ["h1", "h2"]).groupBy("_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
-    rows = docs.join(scratch.put(drops), F.col(key).eqNullSafe(F.col("_id")), "left").drop("_id")
+    # the merge hint keeps one plan for every size: texts go by id, and are never met by a broadcast that grows with the input
+    rows = docs.join(scratch.put(drops).hint("merge"), F.col(key).eqNullSafe(F.col("_id")), "left").drop("_id")
     kept = F.when(F.col("_drops").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.transform(
         F.filter(F.arrays_zip(_lines(F.col(text)).alias("line"), _hashes(F.col(text), min_chars).alias("hash")),
                  lambda x: x["hash"].isNull() | ~F.array_contains(F.col("_drops"), x["hash"])), lambda x: x["line"]), "\n"))
