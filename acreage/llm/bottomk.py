@@ -129,13 +129,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, perce
     several = scratch.put(lists.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").select("value"))
     lists = scratch.put(lists.join(several, "value"))
 
-    # full sets of the classes in lists, from one document of each
+    # full sets of the classes in lists, from one document of each; the merge hints keep one plan for every size
     wanted = scratch.put(lists.select("cls").distinct().join(classes.drop("sketch"), "cls"))
-    full = scratch.put(rows.alias("r").join(wanted.alias("w"), F.col("r.text_key").eqNullSafe(F.col("w.text_key")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")))
+    full = scratch.put(rows.alias("r").join(wanted.hint("merge").alias("w"), F.col("r.text_key").eqNullSafe(F.col("w.text_key")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")))
                        .select("cls", "text").mapInArrow(lambda it: _full_sets(it, width), "cls binary, members binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(full.withColumnRenamed("cls", "a"), "a").join(full.select(F.col("cls").alias("b"), F.col("members").alias("hub_members")), "b")
+        near = pairs.hint("merge").join(full.withColumnRenamed("cls", "a"), "a").join(full.select(F.col("cls").alias("b"), F.col("members").alias("hub_members")).hint("merge"), "b")
         return scratch.put(near.select("a", "b", "members", "hub_members").mapInArrow(lambda it: _confirm(it, percent, size), "a binary, b binary"))
 
     def labelled() -> DataFrame:

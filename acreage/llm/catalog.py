@@ -23,7 +23,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "importance")).select(
-        "doc_id", "n_grams", "log_weight", "sample_key", "kept")
+        "doc_id", *(F.col(f"_{c}").alias(c) for c in ("n_grams", "log_weight", "sample_key", "kept")))
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +49,13 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mix_sources(table(spark, sf_dir, "documents"), Scratch(spark, "mixture")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixture.mix_sources(table(spark, sf_dir, "documents"), Scratch(spark, "mixture")).select(
+        "doc_id", *(F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target")), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contract(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("text_key")
+    return decontaminate.judged(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).select(
+        "doc_id", *(F.col(f"_{c}").alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

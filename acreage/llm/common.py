@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from acreage.session import scratch_path
 
@@ -132,12 +133,13 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def arrow_rows(schema: pa.Schema, columns: dict) -> Iterator[pa.RecordBatch]:
-    """One batch, if there are rows."""
-    if len(next(iter(columns.values()))):
-        yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+def with_columns(df: DataFrame, added: StructType, compute: Callable) -> DataFrame:
+    """``df`` with the columns of ``added``. ``compute()`` is called once in a task and gives a function from an Arrow batch to their arrays;
+    all other columns pass through."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = compute()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made(batch)], names=[*batch.schema.names, *added.names])
+    return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
 
 
-def small_frame(spark: SparkSession, columns: dict, schema: pa.Schema) -> DataFrame:
-    """A local table of bounded size; the planner knows its size."""
-    return spark.createDataFrame(pa.table({f.name: pa.array(columns[f.name], type=f.type) for f in schema}, schema=schema))

@@ -8,10 +8,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
-from acreage.llm.common import joined, text_key
+from acreage.llm.common import joined, with_columns
 
 WINDOW = 13
 # Text of benchmark items, in bytes, that is broadcast at once; a larger benchmark is scanned for part by part
@@ -20,8 +21,8 @@ BROADCAST_BYTES = 64_000_000
 # bytes of words stay (A-Z in lower case), all other ASCII bytes become blanks; bytes beyond ASCII belong to words
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
-_FOUND = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()),
-                    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+_SPANS = "array<struct<start:long,end:long>>"
+_ADDED = StructType().add("_n_words", "long").add("_spans", ArrayType(StructType().add("start", "long").add("end", "long"))).add("_items", ArrayType(StringType()))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -67,50 +68,45 @@ class Windows:
                     at += 1
 
 
-def _scan(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    windows: Windows = shared.value
-    for batch in batches:
-        lengths, numbers = [], []
-        for text in batch.column("text").to_pylist():
-            words = words_of(text)
-            lengths.append(len(words))
-            numbers.append(np.fromiter(map(windows.numbers.get, words, repeat(0)), np.uint64, len(words)))
-            numbers.append(np.zeros(1, np.uint64))  # windows never cross texts
-        starts = np.cumsum([0] + [n + 1 for n in lengths])
-        spans, items = [[] for _ in lengths], [set() for _ in lengths]
-        for start, n, names in windows.hits(np.concatenate(numbers) if numbers else np.zeros(0, np.uint64)):
-            row = int(np.searchsorted(starts, start, side="right")) - 1
-            spans[row].append((start - int(starts[row]), start - int(starts[row]) + n))
-            items[row] |= names
-        merged = []
-        for found in spans:
-            out: list[dict] = []
-            for a, b in sorted(found):
-                if out and a <= out[-1]["end"]:
-                    out[-1]["end"] = max(b, out[-1]["end"])
-                else:
-                    out.append({"start": a, "end": b})
-            merged.append(out)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(lengths, pa.int64()), pa.array(merged, _FOUND.field("spans").type),
-                                          pa.array([sorted(x) for x in items], pa.list_(pa.string()))], schema=_FOUND)
-
-
-_RESULT = "id long, text_key long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, key: str = "doc_id", text: str = "text",
+def _scan(batch: pa.RecordBatch, windows: Windows, text: str) -> list[pa.Array]:
+    lengths, numbers = [], []
+    for one in batch.column(text).cast(pa.binary()).to_pylist():
+        words = words_of(one)
+        lengths.append(len(words))
+        numbers.append(np.fromiter(map(windows.numbers.get, words, repeat(0)), np.uint64, len(words)))
+        numbers.append(np.zeros(1, np.uint64))  # windows never cross texts
+    starts = np.cumsum([0] + [n + 1 for n in lengths])
+    spans, items = [[] for _ in lengths], [set() for _ in lengths]
+    for start, n, names in windows.hits(np.concatenate(numbers) if numbers else np.zeros(0, np.uint64)):
+        row = int(np.searchsorted(starts, start, side="right")) - 1
+        spans[row].append((start - int(starts[row]), start - int(starts[row]) + n))
+        items[row] |= names
+    merged = []
+    for found in spans:
+        out: list[dict] = []
+        for a, b in sorted(found):
+            if out and a <= out[-1]["end"]:
+                out[-1]["end"] = max(b, out[-1]["end"])
+            else:
+                out.append({"start": a, "end": b})
+        merged.append(out)
+    return [pa.array(lengths, pa.int64()), pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+            pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, text: str = "text",
                   item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, text_key, n_words, spans, items) for each row: the word spans of ``docs`` that benchmark windows cover, and the items they come from.
+    """``docs`` with _n_words, _spans and _items: the word spans of each text that benchmark windows cover, and the items they come from.
 
     Words are runs of ASCII letters (A-Z in lower case), digits and characters beyond ASCII. A window is ``window`` consecutive words of an
     item; an item with fewer words is one window. Spans are merged, end exclusive; items are distinct ids as strings, sorted.
 
-    The set of windows is broadcast after its size was summed; a benchmark above ``broadcast_bytes`` of text is dealt into parts by the items' hash, each
-    below the bound, the documents are scanned once for each part, and the parts' spans are merged. Null and empty texts have no words; items without
-    an id or without words are ignored; rows that share an id are documents of their own; an empty table gives an empty table; other columns are not read.
+    The set of windows is broadcast after its size was summed. A benchmark above ``broadcast_bytes`` of text is dealt into parts by the items' hash, each
+    below the bound; the texts are scanned for one part after the other and spans and items merged. Null and empty texts have no words; items without
+    an id or without words are ignored; each row is judged by itself, also if rows share an id or are equal; further columns pass through; an empty table gives an
+    empty table. Nothing is shuffled.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("id"), text_key(F.col(text)).alias("text_key"), F.col(text).cast("binary").alias("text"))
     items = benchmark.select(F.col(item_key).cast("string").alias("name"), F.col(item_text).cast("binary").alias("text")).filter("name is not null and text is not null")
     total, largest = items.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
     parts = -(-2 * (total or 0) // broadcast_bytes) if (total or 0) > broadcast_bytes else 1
@@ -120,40 +116,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         if largest > broadcast_bytes:
             raise ValueError(f"a part of the benchmark has {largest} bytes; raise broadcast_bytes")
 
-    def scanned(number: int) -> DataFrame:
-        windows = Windows([(r["name"], bytes(r["text"])) for r in items.filter(part == number).collect()], window)
-        shared = spark.sparkContext.broadcast(windows)
-        return rows.mapInArrow(lambda it: _scan(it, shared), _RESULT)
+    def scanned(rows: DataFrame, number: int) -> DataFrame:
+        shared = spark.sparkContext.broadcast(Windows([(r["name"], bytes(r["text"])) for r in items.filter(part == number).collect()], window))
+        return with_columns(rows, _ADDED, lambda: lambda batch: _scan(batch, shared.value, text))
 
-    found = scanned(0)
-    if parts == 1:
-        return found
+    found = scanned(docs, 0)
     for number in range(1, parts):
-        found = found.unionAll(scanned(number))
-    # each row came once for each part; equal rows have equal spans
-    merged = found.groupBy("id", "text_key").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-                                                 F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-                                                 (F.count("*") / parts).cast("int").alias("_copies"))
-    joint = F.aggregate("spans", F.expr("cast(array() as array<struct<start:long,end:long>>)"), lambda done, s: F.when(
-        (F.size(done) > 0) & (s["start"] <= F.try_element_at(done, F.lit(-1))["end"]),
-        F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(
-            F.try_element_at(done, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(done, F.lit(-1))["end"], s["end"]).alias("end"))))
-    ).otherwise(F.concat(done, F.array(s))))
-    return merged.withColumn("spans", joint).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copy", "_copies")
-
-
-def contract(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts of a result of ``contamination``; contaminated if at least a twentieth of the words are hit."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select(F.col("id").alias(key), "text_key", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256")) \
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+        found = scanned(found.withColumnsRenamed({"_n_words": "_n", "_spans": "_s", "_items": "_i"}), number).withColumns({
+            "_spans": _merged(F.array_sort(F.concat("_s", "_spans"))), "_items": F.array_sort(F.array_union("_i", "_items"))}).drop("_n", "_s", "_i")
+    return found
+
 
+def _merged(spans: Column) -> Column:
+    """Sorted spans, those that touch as one."""
+    last = lambda done: F.try_element_at(done, F.lit(-1))
+    return F.aggregate(spans, F.expr(f"cast(array() as {_SPANS})"), lambda done, s: F.when(
+        s["start"] <= last(done)["end"], F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(
+            last(done)["start"].alias("start"), F.greatest(last(done)["end"], s["end"]).alias("end")))))
+        .otherwise(F.concat(done, F.array(s))))
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the contaminated rows; rows whose id is null are judged like others."""
-    bad = contract(contamination(docs, benchmark, key=key, **options)).filter("contaminated").select(F.col("doc_id").alias("_id"), "text_key").distinct()
-    text = options.get("text", "text")
-    return docs.join(bad, text_key(F.col(text)).eqNullSafe(F.col("text_key")) & F.col(key).eqNullSafe(F.col("_id")), "left_anti")
+
+def judged(found: DataFrame) -> DataFrame:
+    """Counts of a result of ``contamination``; contaminated if at least a twentieth of the words are hit."""
+    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.withColumns({"_n_hit": n_hit, "_n_items": F.size("_items").cast("long"), "_items_sha256": F.sha2(F.array_join("_items", ","), 256)}) \
+        .withColumn("_contaminated", (F.col("_n_hit") > 0) & (20 * F.col("_n_hit") >= F.col("_n_words")))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without the contaminated rows."""
+    return judged(contamination(docs, benchmark, **options)).filter(~F.col("_contaminated")).select(*docs.columns)

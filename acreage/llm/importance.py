@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from acreage.llm.common import Scratch, joined, text_key
+from acreage.llm.common import Scratch, joined, with_columns
 
 BUCKETS = 1 << 17  # half for words, half for pairs of words
 PRIOR, ERRORS, PLAIN = 2.0, 3.0, 0.5
@@ -71,16 +72,22 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    ratios, cache = shared.value, _Cache()
-    for batch in batches:
-        n, scores = [], []
-        for text in batch.column("text").to_pylist():
-            found = grams(text, cache)
-            n.append(len(found))
-            scores.append(float(ratios[found].sum() / np.sqrt(len(found))) if len(found) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(scores, pa.float64())],
-                                         names=["id", "text_key", "n_grams", "log_weight"])
+def _scored(docs: DataFrame, ratios, temperature: float, key: str, text: str) -> DataFrame:
+    """``docs`` with _n_grams, _log_weight and _sample_key; the latter two are null without grams."""
+    def score():
+        table, cache = ratios.value, _Cache()
+
+        def batch_scores(batch: pa.RecordBatch) -> list[pa.Array]:
+            n, scores = [], []
+            for one in batch.column(text).cast(pa.binary()).to_pylist():
+                found = grams(one, cache)
+                n.append(len(found))
+                scores.append(float(table[found].sum() / np.sqrt(len(found))) if len(found) else None)
+            return [pa.array(n, pa.int64()), pa.array(scores, pa.float64())]
+        return batch_scores
+    out = with_columns(docs, StructType().add("_n_grams", "long").add("_log_weight", "double"), score)
+    uniform = (F.xxhash64(key, text, F.lit(3)).cast("double") / 2.0**64 + 0.5) * (1 - 2.0**-40) + 2.0**-41
+    return out.withColumn("_sample_key", F.col("_log_weight") / temperature - F.log(-F.log(uniform)))
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
@@ -105,42 +112,39 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
 
 
 def resample(docs: DataFrame, labels: DataFrame, scratch: Scratch, temperature: float = TEMPERATURE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text_key, n_grams, log_weight, sample_key, kept) for each row: which documents resemble the target text.
+    """``docs`` with _n_grams, _log_weight, _sample_key and _kept: which documents resemble the target text.
 
-    Target text are the documents labelled quality 1 and toxic 0 (all labels of an id must agree; null is not 1 and counts as not toxic only next to 0);
+    Target text are the documents labelled quality 1 and toxic 0 (if an id has several labels, the lower quality and the higher toxicity count; a null is neither);
     raw text are all documents. Words, runs of signs and pairs of them are hashed into 2^17 buckets; over all documents it is counted
     how many have each. A document's weight is the sum of its buckets' log ratios, divided by the root of its number of grams, so that lengths compare.
 
-    The sample takes k documents with the largest log_weight / ``temperature`` + Gumbel noise, which draws without replacement in proportion to
-    exp(log_weight / temperature). The noise is a hash of the id and the text: reruns agree. k is the number of documents above the weight
+    The sample takes k documents with the largest weight / ``temperature`` + Gumbel noise, which draws without replacement in proportion to
+    exp(weight / temperature). The noise is a hash of the id and the text: reruns agree. k is the number of documents above the weight
     that separates target from other labelled documents with the least loss, see LOSS. The k-th largest key is found by counting.
 
-    Texts without grams (null, empty, white space) have no weight and are not kept. Without target labels, or with target labels only, nothing tells texts apart, and all with a weight are
-    kept. A null id has no label. Rows that share an id are documents of their own with the same label; equal rows share their fate.
-    Further columns are not read; an empty table gives an empty table. The counts (at most 2^17 rows) pass the driver and are broadcast; nothing else is.
+    Texts without grams (null, empty, white space) have no weight and are not kept. Without target labels, or with target labels only, nothing tells texts apart, and all with a
+    weight are kept. A null id has no label. Rows that share an id are documents of their own with the same label; equal rows share their fate. Further columns pass through;
+    an empty table gives an empty table. The counts (at most 2^17 rows) pass the driver and are broadcast, nothing else is; texts are shuffled
+    once, to meet their labels, and then scored where they are read.
     """
-    spark = docs.sparkSession
-    marks = labels.groupBy(F.col(key).alias("_id")).agg((F.coalesce(F.min("quality"), F.lit(0)) == 1).alias("_q"), F.max("toxic").alias("_t")) \
-        .filter("_id is not null").select("_id", (F.col("_q") & F.coalesce(F.col("_t") == 0, F.lit(False))).alias("target"))
-    marks = scratch.put(marks)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"), text_key(F.col(text)).alias("text_key"))
-    joined_rows = rows.select("id", "text").join(marks, F.col("id") == F.col("_id"), "left").select("text", "target")
-    found = joined_rows.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    marks = scratch.put(labels.groupBy(F.col(key).alias("_id")).agg((F.coalesce(F.min("quality"), F.lit(0)) == 1).alias("q"), F.coalesce(F.max("toxic") == 0, F.lit(False)).alias("t"))
+                        .filter("_id is not null").select("_id", (F.col("q") & F.col("t")).alias("target")))
+    # the merge hint keeps one plan for every size
+    met = docs.select(F.col(key).alias("_id"), F.col(text).cast("binary").alias("text")).join(marks.hint("merge"), "_id", "left").select("text", "target")
+    found = met.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     raw[found["bucket"]], target[found["bucket"]] = found["raw"], found["target"]
-    shared = spark.sparkContext.broadcast(log_ratios(raw, target))
-    scored = rows.mapInArrow(lambda it: _score(it, shared), "id long, text_key long, n_grams long, log_weight double")
-    uniform = (F.xxhash64("id", "text_key", F.lit(3)).cast("double") / 2.0**64 + 0.5) * (1 - 2.0**-40) + 2.0**-41
-    scored = scratch.put(scored.withColumn("sample_key", F.col("log_weight") / temperature - F.log(-F.log(uniform))))
-    edge = _separating(scored.join(marks, F.col("id") == F.col("_id")).filter("log_weight is not null"))
-    k = scored.filter("log_weight is not null" if edge is None else F.col("log_weight") >= edge).count()
-    least = kth_largest(scored, "sample_key", k)
-    return scored.withColumn("kept", F.coalesce(F.col("sample_key") >= F.lit(least).cast("double"), F.lit(False))).withColumnRenamed("id", key)
+    scored = _scored(docs, docs.sparkSession.sparkContext.broadcast(log_ratios(raw, target)), temperature, key, text)
+    weights = scratch.put(scored.filter("_log_weight is not null").select(F.col(key).alias("_id"), "_log_weight", "_sample_key"))
+    edge = _separating(weights.join(marks, "_id"))
+    k = weights.count() if edge is None else weights.filter(F.col("_log_weight") >= edge).count()
+    least = kth_largest(weights, "_sample_key", k)
+    return scored.withColumn("_kept", F.coalesce(F.col("_sample_key") >= F.lit(least).cast("double"), F.lit(False)))
 
 
 def _separating(labelled: DataFrame) -> float | None:
     """The weight between target and other documents with the least loss, errors of each kind in shares of its own size; null if one kind is missing."""
-    squashed = F.col("log_weight") / (1 + F.abs("log_weight"))  # -1 .. 1, finest near 0
+    squashed = F.col("_log_weight") / (1 + F.abs("_log_weight"))  # -1 .. 1, finest near 0
     counts = labelled.groupBy(F.floor((squashed + 1) * (BINS / 2)).cast("int").alias("bin"), "target").agg(F.count("*").alias("n")).collect()
     hist = {good: np.bincount([r["bin"] for r in counts if r["target"] == good], [r["n"] for r in counts if r["target"] == good], BINS + 2) for good in (True, False)}
     if not hist[True].sum() or not hist[False].sum():

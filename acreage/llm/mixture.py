@@ -40,15 +40,15 @@ def _same_source(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
 
 def mix_sources(docs: DataFrame, scratch: Scratch, weights=(5, 2, 1), share: float = 1.5, limit: float = 2.0, key: str = "doc_id",
                 source: str = "source", text: str = "text") -> DataFrame:
-    """How often the mix takes each document: (key, size, source_size, target, copies, taken).
+    """``docs`` with _size, _source_size, _target and _copies: how often the mix takes each document.
 
     A source whose target is q times its size takes each document floor(q) times and, for the rest, once more where the document's hash place
     is below the source's threshold. The threshold comes from histograms: words by source and hash bucket (2^12), then only
     the bucket in which the budget ends is dealt into 2^12 again, and once more; nothing is sorted but the at most 4,096 buckets of a source.
     The last bucket, 2^24 places wide, is taken if that brings the sum nearer to the target. No document is taken more than ``limit`` times, rounded up.
 
-    Null texts have size 0; null sources are one source; rows that share an id share the decision; a null id counts as the empty id. An empty table
-    gives an empty table. A source that holds most rows is only met in partial sums and in a join with one row for each source.
+    Null texts have size 0; null sources are one source; rows that share an id share the decision; a null id counts as the empty id. Further columns pass
+    through; an empty table gives an empty table. A source that holds most rows is only met in partial sums and in a join with one row for each source; texts stay where they are.
     """
     rows = scratch.put(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), hash_place(F.col(key)).alias("place")))
     bounds = scratch.put(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit)
@@ -67,5 +67,7 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights=(5, 2, 1), share: flo
     bounds = bounds.withColumn("threshold", F.shiftleft(F.when(F.col("after") - F.col("rest") < F.col("rest") - F.col("before"), F.col("prefix") + 1)
                                                         .otherwise(F.col("prefix")), ALL_BITS - BITS * LEVELS))
     more = (F.col("rest") > 0) & (F.col("threshold").isNull() | (F.col("place") < F.col("threshold")))
-    return (_same_source(rows, bounds).withColumn("copies", F.col("passes") + F.when(more, 1).otherwise(0))
-            .select(F.col("id").alias(key), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")))
+    bounds = scratch.put(bounds.select("source", *(F.col(c).alias(f"_{c}") for c in ("source_size", "target", "passes", "rest", "threshold"))).withColumnRenamed("source", "_source"))
+    more = (F.col("_rest") > 0) & (F.col("_threshold").isNull() | (hash_place(F.col(key)) < F.col("_threshold")))
+    return docs.join(bounds, F.col(source).eqNullSafe(F.col("_source")), "left").withColumns({
+        "_size": n_words(F.col(text)), "_copies": F.col("_passes") + F.when(more, 1).otherwise(0)}).drop("_source", "_passes", "_rest", "_threshold")

@@ -239,7 +239,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, widt
     whole = live.filter("n > 1").select("anchor", "context", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").cast("long").alias("b"))).alias("runs"))
     wanted = live.filter("contexts > 1").groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(
         F.collect_list(F.struct("context", "anchor", "start", "size")).alias("places"))
-    cut = rows.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key"))).select("text", "places") \
+    # the merge hints keep one plan for every size
+    cut = rows.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key"))).select("text", "places") \
         .mapInArrow(_cut, "context long, anchor long, bytes binary")
     pieces = scratch.put(cut.join(many.filter("contexts > 1"), "anchor").dropDuplicates(["anchor", "context"]))
     size = pieces.filter(F.col("contexts") <= hot).agg(F.sum(F.length("bytes"))).first()[0] or 0
@@ -255,5 +256,5 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, widt
     runs = places.select("id", "text_key", "anchor", "context", "start").join(marked, ["anchor", "context"]).select("id", "text_key", F.explode(F.transform(
         "runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))).alias("run"))
     spans = runs.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("run").alias("runs"))
-    return rows.join(spans, F.col("id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key")), "left").select("id", "text", "runs") \
+    return rows.join(spans.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key")), "left").select("id", "text", "runs") \
         .mapInArrow(_take_out, "id long, n_bytes long, n_removed long, spans array<struct<a:long,b:long>>, kept_sha256 string, kept binary").withColumnRenamed("id", key)

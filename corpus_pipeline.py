@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acreage.llm import bottomk, decontaminate, importance, line_dedup, mixture
@@ -13,16 +13,9 @@ from acreage.llm.common import Scratch, table, text_key
 
 
 
-def _same_row(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with rows named by (doc_id, text_key)."""
-    marks = marks.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & text_key(F.col("text")).eqNullSafe(F.col("_key")), how)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps."""
-    kept = importance.resample(docs, table(spark, sf_dir, "labels"), Scratch(spark, "quality")).filter("kept")
-    return _same_row(docs, kept, "left_semi")
+    return importance.resample(docs, table(spark, sf_dir, "labels"), Scratch(spark, "quality")).filter("_kept").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +25,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; of rows that share an id in a group, one."""
-    kept = bottomk.near_duplicates(docs, Scratch(spark, "groups")).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    single = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return single.dropDuplicates(["doc_id", "text"])
+    """The document with the smallest id of each group stays, equal rows once. A row without an id stays if its group has none."""
+    kept = bottomk.near_duplicates(docs, Scratch(spark, "groups")).filter("kept").select(_name(F.col("doc_id")).alias("_name")).distinct()
+    # equal rows meet where the join put them
+    return docs.withColumns({"_name": _name(F.col("doc_id")), "_key": text_key(F.col("text"))}).join(kept.hint("merge"), "_name", "left_semi") \
+        .dropDuplicates(["_name", "_key"]).select(*docs.columns)
+
+
+def _name(key: Column) -> Column:
+    """An id as text, empty for null, so that plain equality finds it."""
+    return F.coalesce(key.cast("string"), F.lit(""))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +44,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, with the number of the copy."""
-    taken = mixture.mix_sources(docs, Scratch(spark, "mix")).select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("copies"), "size").filter("copies > 0")
-    taken = taken.groupBy("_id").agg(F.max("copies").alias("copies"))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    taken = mixture.mix_sources(docs, Scratch(spark, "mix")).filter("_copies > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing)]

@@ -228,7 +228,9 @@ def test_passages(spark, docs, scratch, limit):
     rows = [(i, "  ".join(rng.choice(vocabulary, 40)) + ", " + items[i % 8][1].upper() + " - " + " ".join(rng.choice(vocabulary, int(rng.integers(0, 400))))) for i in range(30)] + EDGES
     frame = docs(rows)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.contract(decontaminate.contamination(frame, bench, broadcast_bytes=limit)).drop("text_key")
+    out = decontaminate.judged(decontaminate.contamination(frame, bench, broadcast_bytes=limit))
+    assert set(frame.columns) < set(out.columns)
+    out = out.select("doc_id", *(f"_{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
     assert sorted([tuple(r) for r in out.collect()], key=str) == passages_by_hand(rows, items)
     bad = {r[0] for r in passages_by_hand(rows, items) if r[5]}
     left = decontaminate.drop_contaminated(frame, bench)
@@ -260,14 +262,13 @@ def test_mixing(docs, scratch):
             budget -= target[s]
     taken, largest = Counter(), Counter()
     assert len(out) == len(rows)
-    for r, source in zip(sorted(out, key=lambda r: str(r["doc_id"])), (s for _, s in sorted(zip(rows, sources), key=lambda x: str(x[0][0])))):
-        assert r["taken"] <= 2 * r["size"]
     by_target = {round(t, 6): s for s, t in target.items()}
     for r in out:
-        source = by_target[round(r["target"], 6)]
-        assert r["source_size"] == size[source]
-        taken[source] += r["taken"]
-        largest[source] = max(largest[source], r["size"])
+        source = by_target[round(r["_target"], 6)]
+        assert r["_copies"] <= 2 and r["_size"] == len(words_of(r["text"])) and r["source"] == source
+        assert r["_source_size"] == size[source]
+        taken[source] += r["_size"] * r["_copies"]
+        largest[source] = max(largest[source], r["_size"])
     assert all(abs(taken[s] - target[s]) <= largest[s] for s in size)
 
 
@@ -288,11 +289,11 @@ def test_resample_keeps_what_resembles_the_target(spark, docs, scratch):
         if i % 3 == 0:
             labels.append((i, int(not bad), 0))
     marks = spark.createDataFrame([*labels, (None, 1, 0), (3, 1, None)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r["kept"] for r in importance.resample(docs(rows), marks, scratch).collect()}
+    got = {r["doc_id"]: r["_kept"] for r in importance.resample(docs(rows), marks, scratch).collect()}
     assert sum(got[i] == want[i] for i in want) >= 595
-    empty = {r["doc_id"]: r["kept"] for r in importance.resample(docs(rows + [(1000, None), (1001, ""), (None, "word1")]), marks, scratch).collect()}
+    empty = {r["doc_id"]: r["_kept"] for r in importance.resample(docs(rows + [(1000, None), (1001, ""), (None, "word1")]), marks, scratch).collect()}
     assert empty[1000] is False and empty[1001] is False and len(empty) == 603
-    assert all(r["kept"] for r in importance.resample(docs(rows[:20]), marks.limit(0), scratch).collect())
+    assert all(r["_kept"] for r in importance.resample(docs(rows[:20]), marks.limit(0), scratch).collect())
 
 
 def test_kth_largest(spark):
@@ -420,6 +421,6 @@ def test_empty_tables(spark, docs, scratch):
     assert katz.katz_scores(none, scratch).count() == 0
     assert mixture.mix_sources(none, scratch).count() == 0
     assert importance.resample(none, labels, scratch).count() == 0
-    assert decontaminate.contract(decontaminate.contamination(none, bench)).count() == 0
+    assert decontaminate.drop_contaminated(none, bench).count() == 0
     assert pii.find_personal_data(none).count() == 0
     assert decontaminate.contamination(docs(EDGES), bench).count() == len(EDGES)
