@@ -19,7 +19,7 @@ WIDTH, SKETCH = 5, 64
 AT_LEAST = 30
 # An estimate from the union sketch is 0.75 +- 0.054; pairs below this are not read
 ESTIMATE = 0.5
-ROUNDS, BLOCK = 4, 256
+ROUNDS, BLOCK = 6, 256
 
 _SKETCHED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
@@ -72,22 +72,31 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int, size: int) -> Iter
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def _candidates_in_block(group: pd.DataFrame, size: int) -> pd.DataFrame:
-    """Pairs of one part of an inverted list with another, or with itself, whose estimate passes and whose components differ."""
+def _candidates_in_block(group: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
+    """Pairs of one part of an inverted list with another, or with itself, whose estimate passes and whose components differ.
+
+    A pair that meets in several lists is named in the list of the smallest value only.
+    """
     rows = [np.asarray(x, np.int64).view(np.uint64) for x in group["sketch"]]
-    parts, keys = group["part"].to_numpy(), group["cls"].to_list()
+    own, keys, n = group["own"].to_numpy(), group["cls"].to_list(), group["n"].to_numpy()
+    value = np.int64(group["value"].iat[0]).view(np.uint64)
     _, comps = np.unique(group["comp"].to_numpy(), return_inverse=True)
     ks = np.array([len(x) for x in rows])
-    values, where, often = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(often > 1)
-    place = np.full(len(values), -1)
-    place[shared] = np.arange(len(shared))
-    held = np.zeros((len(rows), len(shared)), np.float32)
-    spots = place[where]
-    held[np.repeat(np.arange(len(rows)), ks)[spots >= 0], spots[spots >= 0]] = 1
-    fits = np.triu(held @ held.T >= ESTIMATE * np.maximum.outer(ks, ks), 1) & (comps[:, None] != comps)
+    prefix = np.concatenate([np.unpackbits(np.array([m], np.int64).view(np.uint8), bitorder="little")[:k].astype(bool) for m, k in zip(group["prefix"], ks)])
+    flat = np.concatenate(rows)
+    values, where, often = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[where]
+    who = np.repeat(np.arange(len(rows)), ks)
+
+    def shared(chosen: np.ndarray) -> np.ndarray:
+        chosen = chosen & (place >= 0)
+        held = np.zeros((len(rows), int((often > 1).sum())), np.float32)
+        held[who[chosen], place[chosen]] = 1
+        return held @ held.T
+    fits = np.triu(shared(np.ones(len(flat), bool)) >= ESTIMATE * np.maximum.outer(ks, ks), 1) & (comps[:, None] != comps) & (shared(prefix & (flat < value)) == 0)
+    fits &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
     if group["x"].iat[0] != group["y"].iat[0]:
-        fits &= parts[:, None] != parts
+        fits &= own[:, None] != own
     out = [(keys[i], keys[j]) for i, j in zip(*np.nonzero(fits)) if estimate(rows[i], rows[j], size) >= ESTIMATE]
     return pd.DataFrame(out, columns=["a", "b"])
 
@@ -106,8 +115,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, perce
        48 runs and has a chance of one in a million to lose a pair beyond, see AT_LEAST.
     3. In rounds, each list compares its members with one of them, a hub that its hash picks: candidates are linear in the list. Before each pair is read in full,
        the estimate from the union of both sketches must pass; the exact sets decide. Lists whose members are all connected are done.
-    4. What a few rounds leave, lists of different texts, is compared in blocks of 256 x 256 sketches; only pairs that the estimate passes leave a
-       block, and the exact sets decide.
+    4. What a few rounds leave is compared in blocks of 256 x 256 sketches: in each list, the members outside its largest component with all others. Only pairs
+       that the estimate passes leave a block, each once, and the exact sets decide.
 
     Texts without words (null, empty, white space) have 0 shingles and are linked with nothing; their component is their own id. Rows that share an
     id are documents of their own that show the same id. A null id takes part in linking, but never names a component unless nothing else does; its row is
@@ -116,8 +125,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, perce
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).cast("binary").alias("text"))
     sketched = scratch.put(rows.mapInArrow(lambda it: _sketch(it, width, size), "doc_id long, text_key long, n_shingles long, cls binary, sketch array<long>"))
     classes = scratch.put(sketched.filter("cls is not null").groupBy("cls").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("low"), F.first("sketch").alias("sketch")).select(
-            "cls", F.col("low.doc_id").alias("doc_id"), F.col("low.text_key").alias("text_key"), "sketch"))
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("low"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")).select(
+            "cls", F.col("low.doc_id").alias("doc_id"), F.col("low.text_key").alias("text_key"), "sketch", "n"))
 
     # inverted lists: values that two classes retain, then each class's values with the shortest lists
     posted = classes.select("cls", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
@@ -130,7 +139,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, perce
     lists = scratch.put(lists.join(several, "value"))
 
     # full sets of the classes in lists, from one document of each; the merge hints keep one plan for every size
-    wanted = scratch.put(lists.select("cls").distinct().join(classes.drop("sketch"), "cls"))
+    wanted = scratch.put(lists.select("cls").distinct().join(classes.drop("sketch", "n"), "cls"))
     full = scratch.put(rows.alias("r").join(wanted.hint("merge").alias("w"), F.col("r.text_key").eqNullSafe(F.col("w.text_key")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")))
                        .select("cls", "text").mapInArrow(lambda it: _full_sets(it, width), "cls binary, members binary"))
 
@@ -159,14 +168,21 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, perce
         links = links.unionAll(found)
         roots = scratch.put(components(links, scratch))
     if open_lists:
+        # in each list the members outside its largest component meet all others, part by part; inside a component nothing is open
         members = scratch.put(labelled())
-        mixed = members.groupBy("value").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi") \
-            .select("value", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-        dealt = members.join(scratch.put(mixed), "value").join(classes.select("cls", "sketch"), "cls") \
-            .withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")) \
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
-            .withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
-        found = confirmed(scratch.put(dealt.groupBy("value", "x", "y").applyInPandas(lambda g: _candidates_in_block(g, size), "a binary, b binary").distinct()))
+        shares = members.groupBy("value", "comp").agg(F.count("*").alias("n")).groupBy("value").agg(
+            F.max_by("comp", "n").alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n")).filter("inside < n") \
+            .select("value", "main", F.ceil((F.col("n") - F.col("inside")) / BLOCK).cast("int").alias("q"), F.ceil(F.col("inside") / BLOCK).cast("int").alias("p"))
+        chosen = lists.groupBy("cls").agg(F.collect_list("value").alias("values")).join(classes.select("cls", "sketch", "n"), "cls").select(
+            "cls", "sketch", "n", F.expr("aggregate(transform(sketch, (x, i) -> if(array_contains(values, x), shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)").alias("prefix"))
+        outside = F.col("comp") != F.col("main")
+        place = F.xxhash64("cls")
+        own = F.when(outside, F.pmod(place, F.col("q"))).otherwise(F.col("q") + F.pmod(place, F.col("p"))).cast("int")
+        others = F.when(outside, F.sequence(F.lit(0), F.col("q") + F.col("p") - 1)).otherwise(F.sequence(F.lit(0), F.col("q") - 1))
+        dealt = members.join(scratch.put(shares), "value").withColumn("own", own).withColumn("other", F.explode(others)) \
+            .select("value", "cls", "comp", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+        near = dealt.join(scratch.put(chosen), "cls").groupBy("value", "x", "y").applyInPandas(lambda g: _candidates_in_block(g, size, percent), "a binary, b binary")
+        found = confirmed(scratch.put(near))
         if not found.isEmpty():
             roots = scratch.put(components(links.unionAll(found), scratch))
 
