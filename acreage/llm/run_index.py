@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from acreage.llm.common import Scratch, mix, sha256, text_key
 
 LENGTH, ANCHOR = 200, 32
-# Contexts of one anchor that an index takes; the windows of a more frequent anchor's contexts are counted by their hashes
-HOT_CONTEXTS = 2_000
+# Contexts of one anchor that an index takes, as many as fill a part of INDEX_BYTES; the windows of a more frequent anchor's contexts are counted by their hashes
+HOT_CONTEXTS = 8_000
 INDEX_BYTES = 2_000_000
 BETWEEN, LAST = 0xFE, 0xFF  # bytes that UTF-8 never has
 

@@ -140,7 +140,7 @@ def test_repeats(docs, real, scratch):
     assert found_repeats(docs(edges), scratch) == repeats_by_hand(edges, 200)
 
 
-@pytest.mark.parametrize("hot,size", [(2000, 10**6), (2, 500), (1000, 300)])
+@pytest.mark.parametrize("hot,size", [(8000, 10**6), (2, 500), (1000, 300)])
 def test_repeats_with_short_strings(docs, scratch, hot, size):
     """Frequent anchors are counted window by window, many parts are indexed apart: the same result."""
     rng = np.random.default_rng(4)
