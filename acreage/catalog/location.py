@@ -166,6 +166,6 @@ ENTRIES = {
                                {"price": 4, "intensity": 6}),
         with_views(_SURFACE, "listings", "coords")),
     "price_surface_top": (
-        lambda s, d: lo.price_surface(place_intensity(view(s, d, "listings")).join(view(s, d, "coords"), "city")).agg(F.count("*").alias("n")),
-        with_views(_SURFACE.replace("\nSELECT (cy", ", o AS (SELECT (cy") + ") SELECT least(500, count(*)) AS n FROM o", "listings", "coords")),
+        lambda s, d: round_out(lo.price_surface(place_intensity(view(s, d, "listings")).join(view(s, d, "coords"), "city"), limit=500), {"price": 4, "intensity": 6}),
+        with_views(_SURFACE + " ORDER BY round(k.price / (SELECT max(price) FROM k), 9) DESC, lat, lng LIMIT 500", "listings", "coords")),
 }

@@ -6,7 +6,7 @@ parameters with documented defaults.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,6 @@ SAFETY_DEFAULTS = {"crime_index": 50.0, "traffic_index": 50.0, "aqi": 100.0, "gr
                    "noise_level": 50.0}
 DEMAND_DEFAULTS = {"search_frequency": 500, "prediction_requests": 150, "interaction_count": 1000,
                    "active_listings": 200, "new_developments": 15}
-SURFACE_LIMIT = 500
 HEAT_COLOURS = {"low": "#0000ff", "medium": "#ffff00", "high": "#ff0000"}
 
 # This project's own weights and full marks.
@@ -167,9 +166,16 @@ def proximity(points: DataFrame, pois: DataFrame, km: float = RADIUS_KM,
     return near.withColumn("proximity_score", score).withColumn("proximity_rating", rating(F.col("proximity_score")))
 
 
+def _in_order(fields: Iterable[str]) -> Column:
+    """A struct that sorts by its fields, nulls last."""
+    return F.struct(*[F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("x")).alias(c) for c in fields])
+
+
 def demand_lookup(points: DataFrame, metrics: DataFrame) -> DataFrame:
-    """The city's demand and supply record. No record gives the defaults, a missing field gives 0."""
-    joined = points.join(metrics.withColumn("_found", F.lit(True)), "city", "left")
+    """The city's demand and supply record. No record gives the defaults, a missing field gives 0. Of several records the first counts,
+    ordered by their own values, missing ones last."""
+    one = metrics.groupBy("city").agg(F.min(_in_order(DEMAND_DEFAULTS)).alias("_r")).select("city", *[F.col(f"_r.{c}.x").alias(c) for c in DEMAND_DEFAULTS])
+    joined = points.join(one.withColumn("_found", F.lit(True)), "city", "left")
     return joined.withColumns({c: F.when(F.col("_found"), F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(d))
                                for c, d in DEMAND_DEFAULTS.items()}).drop("_found")
 
@@ -221,13 +227,13 @@ def infrastructure(points: DataFrame, projects: DataFrame, km: float = RADIUS_KM
 def safety_lookup(points: DataFrame, safety: DataFrame) -> DataFrame:
     """The first safety record of a point's city, and area when the points have one.
 
-    "First" is by the record's own values, so the choice is stable. A city without a record gets the
+    "First" is by the record's own values, missing ones last, so the choice is stable. A city without a record gets the
     defaults, and so does a missing field.
     """
     keys = ["city", "area"] if "area" in points.columns and "area" in safety.columns else ["city"]
-    one = safety.groupBy(*keys).agg(F.min(F.struct(*SAFETY_DEFAULTS)).alias("_r"))
+    one = safety.groupBy(*keys).agg(F.min(_in_order(SAFETY_DEFAULTS)).alias("_r"))
     return points.join(one, keys, "left").withColumns(
-        {c: F.coalesce(F.col(f"_r.{c}"), F.lit(d)) for c, d in SAFETY_DEFAULTS.items()}).drop("_r")
+        {c: F.coalesce(F.col(f"_r.{c}.x"), F.lit(d)) for c, d in SAFETY_DEFAULTS.items()}).drop("_r")
 
 
 def safety_livability(points: DataFrame, safety: DataFrame) -> DataFrame:
@@ -323,11 +329,11 @@ def coords_or_default(listings: DataFrame, coords: DataFrame, defaults: DataFram
 
 
 def price_surface(places: DataFrame, value: str = "price_per_area", weight: str | None = None, cell: float = 0.25,
-                  bandwidth: float = 0.5, limit: int | None = SURFACE_LIMIT) -> DataFrame:
+                  bandwidth: float = 0.5, limit: int | None = None) -> DataFrame:
     """Kernel-weighted mean price over a grid, relative to the highest cell.
 
     Rows are first summed by cell, so the kernel spreads cells and not listings; every cell reaches
-    the cells within two bandwidths.
+    the cells within two bandwidths. With ``limit``, the highest cells only; those that agree in nine places go by their position.
     """
     reach = int(2 * bandwidth / cell)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -342,4 +348,4 @@ def price_surface(places: DataFrame, value: str = "price_per_area", weight: str
     peak = surface.agg(F.max("price")).scalar()
     out = surface.select(((F.col("_cy") + 0.5) * cell).alias("lat"), ((F.col("_cx") + 0.5) * cell).alias("lng"), "price",
                          F.try_divide(F.col("price"), peak).alias("intensity"))
-    return out if limit is None else out.orderBy(F.desc("intensity"), "lat", "lng").limit(limit)
+    return out if limit is None else out.orderBy(F.round("intensity", 9).desc(), "lat", "lng").limit(limit)

@@ -8,6 +8,7 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
@@ -203,7 +204,7 @@ def cross_val(df: DataFrame, fit: Callable[[DataFrame], Model | StackedModel], k
         held = rows.filter(F.col("fold") == f)
         scored.append(model.transform(held).select("fold", "label", "prediction"))
     return (union_all(scored).groupBy("fold").agg(
-        (1 - F.sum(F.pow(F.col("label") - F.col("prediction"), 2)) / (F.var_pop("label") * F.count("*"))).alias("r2"),
+        (1 - F.try_divide(F.sum(F.pow(F.col("label") - F.col("prediction"), 2)), F.var_pop("label") * F.count("*"))).alias("r2"),
         F.count("*").alias("rows")))
 
 
@@ -278,7 +279,9 @@ class PriceModel:
         meta = LinearRegressionModel.load(os.path.join(path, "meta")) if shape["stacked"]["value"] else None
         try:
             metrics = spark.read.parquet(os.path.join(path, "metrics"))
-        except Exception:  # a model may be saved before it is evaluated
+        except AnalysisException as error:  # a model may be saved before it is evaluated
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             metrics = None
         return cls(fitted, StackedModel(bases, meta), metrics)
 
@@ -287,4 +290,6 @@ def model_status(model: PriceModel) -> DataFrame:
     """Saved metrics with the number of countries and cities the model knows."""
     counts = {c: model.fitted.tables[c].filter(F.col(f"{c}_avg_price").isNotNull()).agg(F.count("*")).scalar()
               for c in ("country", "city")}
+    if model.metrics is None:
+        return model.fitted.tables["country"].sparkSession.range(1).select(F.lit(counts["country"]).alias("countries"), F.lit(counts["city"]).alias("cities"))
     return model.metrics.withColumn("countries", counts["country"]).withColumn("cities", counts["city"])

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from acreage.functions.scalars import finite, quoted
 from acreage.operators.combine import union_all
 from acreage.operators.quantiles import quantiles
 from acreage.operators.ranking import top_per_group
@@ -33,14 +34,14 @@ def column_kinds(df: DataFrame) -> tuple[list[str], list[str]]:
 
 
 def _null(df: DataFrame, column: str) -> Column:
-    missing = F.col(column).isNull()
+    missing = quoted(column).isNull()
     if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
-        missing = missing | F.isnan(column)
+        missing = missing | F.isnan(quoted(column))
     return missing
 
 
 def _number(column: str) -> Column:
-    x = F.col(column).cast("double")
+    x = quoted(column).cast("double")
     return F.when(F.isnan(x), None).otherwise(x)
 
 
@@ -56,13 +57,20 @@ def shape(df: DataFrame, head: int = 5) -> tuple[DataFrame, DataFrame]:
     return columns.withColumn("rows", df.agg(F.count("*")).scalar()), df.limit(head)
 
 
+def _by_column(df: DataFrame, columns: Sequence[str], measure: Callable[[str], Column], name: str, *whole: Column) -> DataFrame:
+    """(column, ``name``) for each column, and the aggregates ``whole`` of all rows. One scan, whatever the columns are called."""
+    wide = df.agg(*whole, *[measure(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias(name)) for i, c in enumerate(columns)]
+    return wide.select(*wide.columns[:len(whole)], F.inline(F.array(*rows))) if rows else wide.select(
+        *wide.columns[:len(whole)], F.lit("").alias("column"), F.lit(None).cast("double").alias(name)).limit(0)
+
+
 def cardinality(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Distinct values of each column; numeric columns with few are flagged."""
     numeric, text = column_kinds(df)
     chosen = list(columns) if columns is not None else [*numeric, *text]
     if approx:
-        wide = df.agg(*[F.approx_count_distinct(F.when(~_null(df, c), F.col(c))).alias(c) for c in chosen])
-        counts = wide.unpivot([], chosen, "column", "n_distinct")
+        counts = _by_column(df, chosen, lambda c: F.approx_count_distinct(F.when(~_null(df, c), quoted(c))), "n_distinct")
     else:
         # (column, value) pairs are grouped with a partial count, so hot values shrink before the shuffle
         pairs = _stack(df, chosen).filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
@@ -77,7 +85,7 @@ def _stack(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value as text) rows, NaN read as missing."""
     def as_text(c: str) -> Column:
         real = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
-        value = F.col(c) + F.lit(0.0) if real else F.col(c)  # one zero, whatever its sign
+        value = quoted(c) + F.lit(0.0) if real else quoted(c)  # one zero, whatever its sign
         return F.when(~_null(df, c), value.cast("string"))
     return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), as_text(c).alias("value"))
                                         for c in columns])))
@@ -85,8 +93,7 @@ def _stack(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def missing_counts(df: DataFrame) -> DataFrame:
     """Missing values of every column, complete columns included. One scan."""
-    wide = df.agg(F.count("*").alias("_rows"), *[F.count_if(_null(df, c)).alias(c) for c in df.columns])
-    return (wide.unpivot(["_rows"], df.columns, "column", "missing")
+    return (_by_column(df, df.columns, lambda c: F.count_if(_null(df, c)), "missing", F.count("*").alias("_rows"))
             .withColumn("missing_pct", F.try_divide(F.col("missing") * 100.0, F.col("_rows")))
             .withColumnRenamed("_rows", "rows"))
 
@@ -108,14 +115,14 @@ def drop_sparse(df: DataFrame, share: float = SPARSE_SHARE) -> DataFrame:
     """Without the columns whose missing share is above the limit. The schema depends on the data,
     so the counts, one number for each column, are read first."""
     sparse = [r["column"] for r in missing_counts(df).filter(F.col("missing_pct") > share * 100).collect()]
-    return df.drop(*sparse)
+    return df.select(*[quoted(c) for c in df.columns if c not in sparse])
 
 
 def impute_median(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """Numeric gaps filled with the column's median; whole-number columns become double."""
     chosen = _numbers(df, columns)
-    gaps = df.agg(*[F.count_if(_null(df, c)).alias(c) for c in chosen]).first().asDict() if chosen else {}
-    holes = [c for c in chosen if gaps[c]]
+    gaps = df.agg(*[F.count_if(_null(df, c)) for c in chosen]).first() if chosen else ()
+    holes = [c for c, n in zip(chosen, gaps) if n]
     if not holes:
         return df
     medians = quantiles(df, {c: (c, 0.5) for c in holes}, accuracy=accuracy)
@@ -136,24 +143,23 @@ def impute_mode(df: DataFrame, columns: Sequence[str] | None = None, default: st
     if not chosen:
         return df
     modes = {r["column"]: r["mode"] for r in column_modes(df, chosen).collect()}
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(modes.get(c, default))) for c in chosen})
+    return df.withColumns({c: F.coalesce(quoted(c), F.lit(modes.get(c, default))) for c in chosen})
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max, one row for each numeric column."""
     chosen = _numbers(df, columns)
     q = quantiles(df, {(c, p): (c, p) for c in chosen for p in (0.25, 0.5, 0.75)}, accuracy=accuracy)
-    row = df.agg(*[F.struct(F.count(_number(c)).alias("count"), F.avg(_number(c)).alias("mean"),
+    return _by_column(df, chosen, lambda c: F.struct(F.count(_number(c)).alias("count"), F.avg(_number(c)).alias("mean"),
                             F.stddev_samp(_number(c)).alias("std"), F.min(_number(c)).alias("min"),
                             F.lit(q[(c, 0.25)]).cast("double").alias("q25"),
                             F.lit(q[(c, 0.5)]).cast("double").alias("q50"),
                             F.lit(q[(c, 0.75)]).cast("double").alias("q75"),
-                            F.max(_number(c)).alias("max")).alias(c) for c in chosen])
-    return row.unpivot([], chosen, "column", "s").select("column", "s.*")
+                            F.max(_number(c)).alias("max")), "s").select("column", "s.*")
 
 
-def top_values(df: DataFrame, n: int = 5, columns: Sequence[str] | None = None, first: int | None = 5) -> DataFrame:
-    """The most frequent values of the leading text columns with their share of all rows."""
+def top_values(df: DataFrame, n: int = 5, columns: Sequence[str] | None = None, first: int | None = None) -> DataFrame:
+    """The most frequent values of the text columns (all, or the ``first`` few) with their share of all rows."""
     chosen = list(columns) if columns is not None else column_kinds(df)[1][:first]
     stacked = _stack(df, chosen).groupBy("column", "value").agg(F.count("*").alias("n"))
     total = stacked.groupBy("column").agg(F.sum("n").alias("rows"),
@@ -164,21 +170,21 @@ def top_values(df: DataFrame, n: int = 5, columns: Sequence[str] | None = None,
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = HISTOGRAM_BINS,
-              first: int | None = 9) -> DataFrame:
+              first: int | None = None) -> DataFrame:
     """Equal-width bins from the smallest to the largest value; the top edge is in the last bin.
 
-    A column with one single value is spread over half a unit on each side. Empty bins are shown.
+    A column with one single value is spread over half a unit on each side. Empty bins are shown. Infinite values are in no bin.
     """
     chosen = _numbers(df, columns, None if columns is not None else first)
-    ends = df.agg(*[a for c in chosen for a in (F.min(_number(c)).alias(f"{c}_lo"), F.max(_number(c)).alias(f"{c}_hi"))]).first()
+    ends = df.agg(*[a for c in chosen for a in (F.min(finite(quoted(c))), F.max(finite(quoted(c))))]).first()
     items, edges = [], []
-    for c in chosen:
-        lo, hi = ends[f"{c}_lo"], ends[f"{c}_hi"]
+    for c, lo, hi in zip(chosen, ends[::2], ends[1::2]):
         if lo is None:
             continue
         if lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
-        slot = F.least(F.lit(bins - 1), F.floor((_number(c) - lo) / (hi - lo) * bins)).cast("int")
+        x = finite(quoted(c))
+        slot = F.when(x.isNotNull(), F.least(F.lit(bins - 1), F.floor((x - lo) / (hi - lo) * bins))).cast("int")
         items.append(F.struct(F.lit(c).alias("column"), slot.alias("bin")))
         edges.append((c, float(lo), float(hi)))
     spark = df.sparkSession
@@ -202,18 +208,18 @@ def _fences(df: DataFrame, columns: Sequence[str], accuracy: int | None) -> dict
     return out
 
 
-def box_stats(df: DataFrame, columns: Sequence[str] | None = None, first: int | None = 9,
+def box_stats(df: DataFrame, columns: Sequence[str] | None = None, first: int | None = None,
               accuracy: int | None = None) -> DataFrame:
     """Quartiles, the whiskers that reach the last value inside the fences, and the rows beyond."""
     fences = _fences(df, _numbers(df, columns, None if columns is not None else first), accuracy)
-    aggs = []
-    for c, (q1, q2, q3, lo, hi) in fences.items():
-        x = _number(c)
-        aggs.append(F.struct(
+
+    def box(c: str) -> Column:
+        (q1, q2, q3, lo, hi), x = fences[c], _number(c)
+        return F.struct(
             F.lit(q1).alias("q1"), F.lit(q2).alias("median"), F.lit(q3).alias("q3"),
             F.min(F.when(x >= lo, x)).alias("whisker_low"), F.max(F.when(x <= hi, x)).alias("whisker_high"),
-            F.count_if((x < lo) | (x > hi)).alias("outliers")).alias(c))
-    return df.agg(*aggs).unpivot([], list(fences), "column", "s").select("column", "s.*")
+            F.count_if((x < lo) | (x > hi)).alias("outliers"))
+    return _by_column(df, list(fences), box, "s").select("column", "s.*")
 
 
 def box_outliers(df: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
@@ -225,13 +231,13 @@ def box_outliers(df: DataFrame, column: str, accuracy: int | None = None) -> Dat
     return df.filter((x < fence[3]) | (x > fence[4]))
 
 
-def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, first: int | None = 5,
+def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, first: int | None = None,
                  accuracy: int | None = None) -> DataFrame:
     """Rows beyond the quartile fences and whether they are more than the reported share."""
     fences = _fences(df, _numbers(df, columns, None if columns is not None else first), accuracy)
-    wide = df.agg(F.count("*").alias("_rows"), *[
-        F.count_if((_number(c) < lo) | (_number(c) > hi)).alias(c) for c, (_, _, _, lo, hi) in fences.items()])
-    return (wide.unpivot(["_rows"], list(fences), "column", "outliers")
+    beyond = _by_column(df, list(fences), lambda c: F.count_if((_number(c) < fences[c][3]) | (_number(c) > fences[c][4])), "outliers",
+                        F.count("*").alias("_rows"))
+    return (beyond
             .withColumn("outlier_pct", F.try_divide(F.col("outliers") * 100.0, F.col("_rows")))
             .withColumn("flagged", F.col("outliers") > F.col("_rows") * OUTLIER_SHARE).drop("_rows"))
 
@@ -252,7 +258,7 @@ def high_correlation(df: DataFrame, columns: Sequence[str] | None = None, above:
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row. Copies collapse in the partial count before the shuffle."""
-    copies = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_copies"))
+    copies = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*").alias("_copies"))
     return copies.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"),
                       F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates")).withColumn(
         "duplicate_pct", F.try_divide(F.col("duplicates") * 100.0, F.col("rows")))
@@ -264,13 +270,12 @@ def sample_skewness(x: Column) -> Column:
     return F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def skew_flags(df: DataFrame, columns: Sequence[str] | None = None, first: int | None = 5) -> DataFrame:
+def skew_flags(df: DataFrame, columns: Sequence[str] | None = None, first: int | None = None) -> DataFrame:
     chosen = _numbers(df, columns, None if columns is not None else first)
-    wide = df.agg(*[sample_skewness(_number(c)).alias(c) for c in chosen])
-    return wide.unpivot([], chosen, "column", "skewness").withColumn("flagged", F.abs("skewness") > HIGH_SKEW)
+    return _by_column(df, chosen, lambda c: sample_skewness(_number(c)), "skewness").withColumn("flagged", F.abs("skewness") > HIGH_SKEW)
 
 
-def category_flags(df: DataFrame, columns: Sequence[str] | None = None, first: int | None = 3) -> DataFrame:
+def category_flags(df: DataFrame, columns: Sequence[str] | None = None, first: int | None = None) -> DataFrame:
     """Text columns with very many values, or with exactly two."""
     chosen = list(columns) if columns is not None else column_kinds(df)[1][:first]
     rows = df.agg(F.count("*")).scalar()

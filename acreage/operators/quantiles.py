@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from acreage.functions.scalars import quoted
 from acreage.session import local_frame
 SORTED_ROWS = 100_000
 BUCKETS = 2_048
@@ -109,7 +110,7 @@ def quantiles(df: DataFrame, targets: Mapping[object, tuple[Column | str, float]
         label = c if isinstance(c, str) else str(c)
         if label not in ids:
             ids[label] = len(exprs)
-            raw = (F.col(c) if isinstance(c, str) else c).cast("double")
+            raw = (quoted(c) if isinstance(c, str) else c).cast("double")
             exprs.append(F.when(~F.isnan(raw), raw).alias(f"v{ids[label]}"))
         wanted[key] = (ids[label], float(p))
     if not wanted:

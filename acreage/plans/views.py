@@ -13,7 +13,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 LISTINGS = """
-SELECT l_orderkey * 2000 + l_partkey AS row_key, r_name AS country, n_name AS city,
+SELECT l_orderkey * 1000000000 + l_partkey AS row_key, r_name AS country, n_name AS city,
        CAST(l_linenumber AS DOUBLE) AS rooms, l_quantity * 10 AS area_sqm,
        CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS balcony, CAST(p_size AS DOUBLE) AS building_age,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'furnished' WHEN '2-HIGH' THEN 'Semi Furnished'
@@ -25,7 +25,7 @@ JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionke
 
 # text as a CSV delivers it: currency sign and comma, unparsable and missing numbers, flags as words
 RAW_LISTINGS = """
-SELECT l_orderkey * 2000 + l_partkey AS row_key, n_name AS city_raw,
+SELECT l_orderkey * 1000000000 + l_partkey AS row_key, n_name AS city_raw,
        CASE WHEN l_linenumber = 7 THEN 'n/a' WHEN l_linenumber = 6 THEN NULL
             ELSE CAST(l_linenumber AS VARCHAR(20)) END AS rooms_raw,
        CAST(CAST(FLOOR(l_quantity * 100) AS BIGINT) AS VARCHAR(20)) AS sqft_raw,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -29,18 +28,9 @@ def local_session(cpus: int | str = "*", memory: str = "12g", **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local master may run without the setting; it then gets a temporary folder.
-    """
+    """The folder every executor can reach, as named by ``spark.checkpoint.dir``; without the setting, one in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="acreage-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return configured or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

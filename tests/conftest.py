@@ -9,8 +9,8 @@ from acreage.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, memory="8g", spark__ui__showConsoleProgress="false")
+def spark(tmp_path_factory):
+    session = local_session(8, memory="8g", spark__ui__showConsoleProgress="false", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

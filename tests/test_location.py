@@ -128,3 +128,15 @@ def test_surface_peak_is_one(spark):
     rows = lo.price_surface(places).collect()
     assert max(r["intensity"] for r in rows) == 1.0 and min(r["price"] for r in rows) >= 10.0 - 1e-9
     assert len(lo.price_surface(places, limit=5).collect()) == 5
+
+
+def test_one_record_for_a_city(spark):
+    """Of several records of a city one counts, and an empty record never hides a full one."""
+    points = spark.createDataFrame([(1, "a"), (2, "b")], "point_id int, city string")
+    safety = spark.createDataFrame([("a", None, None, None, None, None), ("a", 10.0, 20.0, 30.0, 40.0, 50.0)],
+                                   "city string, " + ", ".join(f"{c} double" for c in lo.SAFETY_DEFAULTS))
+    got = {r["point_id"]: r["crime_index"] for r in lo.safety_lookup(points, safety).collect()}
+    assert got == {1: 10.0, 2: 50.0}
+    demand = spark.createDataFrame([("a", 5, 1, 1, 1, 1), ("a", 3, None, 2, 2, 2)], "city string, " + ", ".join(f"{c} int" for c in lo.DEMAND_DEFAULTS))
+    got = {r["point_id"]: r["search_frequency"] for r in lo.demand_lookup(points, demand).collect()}
+    assert got == {1: 3, 2: 500}

@@ -79,3 +79,18 @@ def test_whole_profile(spark, tmp_path):
     assert out["processed"].count() == 4 and out["missing"].count() == 2
     assert {r["kind"] for r in out["report"].select("kind").distinct().collect()} >= {"missing", "describe", "duplicates", "cardinality"}
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "numerical_statistics")).first()["column"] == "x"
+
+
+def test_odd_names_and_infinities(spark):
+    """Names with a dot or a blank, infinite values, and more columns than any short report."""
+    rows = [(float(i), "ab"[i % 2], float("inf") if i == 3 else i * 2.0, None if i < 2 else i) for i in range(20)]
+    df = spark.createDataFrame(rows, "`No. of rooms` double, `a.b c` string, `x.y` double, z int")
+    assert {r["column"]: r["missing"] for r in pf.missing_counts(df).collect()} == {"No. of rooms": 0, "a.b c": 0, "x.y": 0, "z": 2}
+    assert {r["column"] for r in pf.describe(df).collect()} == {"No. of rooms", "x.y", "z"}
+    assert sum(r["n"] for r in pf.histogram(df).collect() if r["column"] == "x.y") == 19
+    assert pf.impute_median(df).filter("z is null").isEmpty() and pf.impute_mode(df).columns == df.columns
+    assert pf.profile_report(df).count() and pf.drop_sparse(df, 0.05).columns == ["No. of rooms", "a.b c", "x.y"]
+    wide = df.select(*[pf.quoted("No. of rooms").alias(f"n{i}") for i in range(12)], *[pf.quoted("a.b c").alias(f"t{i}") for i in range(8)])
+    assert pf.histogram(wide).select("column").distinct().count() == 12
+    assert pf.skew_flags(wide).count() == pf.iqr_outliers(wide).count() == pf.box_stats(wide).count() == 12
+    assert pf.category_flags(wide).count() == 8 and pf.top_values(wide).select("column").distinct().count() == 8
