@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from acreage.llm.common import Scratch, WordHashes, joined, lower_words, pack, squeeze, unpack, unsqueeze
 
-BLOCK_TOKENS, BUCKET_GRAMS = 2_000_000, 2_000_000
+BLOCK_TOKENS, BUCKET_GRAMS = 1_000_000, 1_000_000
 ADD, KATZ_LIMIT = 0.1, 5
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # stand for no word; a word's hash meets them only by a 64-bit chance
 WORDS, PAIRS, TOTALS = 1, 2, -1
@@ -201,6 +201,8 @@ def katz_scores(docs: DataFrame, scratch: Scratch, limit: int = KATZ_LIMIT, bloc
     starts = docs.filter(F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(10)) != 0).count()
     scored = scratch.put(blocks.groupBy("block").cogroup(told.filter(F.col("block") != TOTALS).drop("totals").groupBy("block"))
                          .applyInPandas(lambda b, t: _score(b, t, n, v, d, starts), _SCORED))
+    scratch.drop(blocks)
+    scratch.drop(told)
     weights = scratch.put(scored.filter("kind = 1").groupBy("history").agg(
         F.log10((1 - F.sum("discounted")) / (1 - F.sum("covered"))).alias("weight")))
     backs = scored.filter("kind = 2").select("block", "doc", "history", "backoffs").join(weights, "history") \
