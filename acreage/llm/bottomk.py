@@ -20,6 +20,8 @@ AT_LEAST = 30
 # An estimate from the union sketch is 0.75 +- 0.054; pairs below this are not read
 ESTIMATE = 0.5
 ROUNDS, BLOCK = 6, 256
+# A round of hubs that links a smaller share of its pairs is the last; blocks decide the rest
+WORTH = 0.1
 
 _SKETCHED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
@@ -101,6 +103,22 @@ def _candidates_in_block(group: pd.DataFrame, size: int, percent: int) -> pd.Dat
     return pd.DataFrame(out, columns=["a", "b"])
 
 
+def _candidates(frames: Iterator[pd.DataFrame], size: int, percent: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by block, block by block; only the rows of an unfinished block are carried on to the next frame."""
+    rest = None
+    for frame in frames:
+        if not len(frame):
+            continue
+        rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        block = rest[["value", "x", "y"]].to_numpy()
+        bounds = [0, *(np.flatnonzero((block[1:] != block[:-1]).any(1)) + 1)]
+        if len(bounds) > 1:
+            yield pd.concat([_candidates_in_block(rest.iloc[a:b], size, percent) for a, b in zip(bounds, bounds[1:])], ignore_index=True)
+            rest = rest.iloc[bounds[-1]:]
+    if rest is not None:
+        yield _candidates_in_block(rest, size, percent)
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = 75, size: int = SKETCH, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept): the group of each document under links of near-equal texts.
@@ -113,7 +131,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, perce
     2. Each retained value has an inverted list of classes. Values are ordered by the length of their lists: two sketches that share at
        least t of their values share one among the (size - t + 1) with the shortest lists, so longer lists need not be read. t is exact for sets of up to
        48 runs and has a chance of one in a million to lose a pair beyond, see AT_LEAST.
-    3. In rounds, each list compares its members with one of them, a hub that its hash picks: candidates are linear in the list. Before each pair is read in full,
+    3. In rounds, as long as they link a tenth of their pairs, each list compares its members with one of them, a hub that its hash picks: candidates are linear in the list. Before each pair is read in full,
        the estimate from the union of both sketches must pass; the exact sets decide. Lists whose members are all connected are done.
     4. What a few rounds leave is compared in blocks of 256 x 256 sketches: in each list, the members outside its largest component with all others. Only pairs
        that the estimate passes leave a block, each once, and the exact sets decide.
@@ -167,6 +185,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, perce
             break
         links = links.unionAll(found)
         roots = scratch.put(components(links, scratch))
+        if found.count() < WORTH * pairs.count():
+            break
     if open_lists:
         # in each list the members outside its largest component meet all others, part by part; inside a component nothing is open
         members = scratch.put(labelled())
@@ -181,7 +201,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, perce
         others = F.when(outside, F.sequence(F.lit(0), F.col("q") + F.col("p") - 1)).otherwise(F.sequence(F.lit(0), F.col("q") - 1))
         dealt = members.join(scratch.put(shares), "value").withColumn("own", own).withColumn("other", F.explode(others)) \
             .select("value", "cls", "comp", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-        near = dealt.join(scratch.put(chosen), "cls").groupBy("value", "x", "y").applyInPandas(lambda g: _candidates_in_block(g, size, percent), "a binary, b binary")
+        near = dealt.join(scratch.put(chosen), "cls").repartition("value", "x", "y").sortWithinPartitions("value", "x", "y") \
+            .mapInPandas(lambda it: _candidates(it, size, percent), "a binary, b binary")
         found = confirmed(scratch.put(near))
         if not found.isEmpty():
             roots = scratch.put(components(links.unionAll(found), scratch))
