@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from acreage.llm import bottomk, decontaminate, importance, katz, licenses, line_dedup, mixture, pii, run_index
@@ -107,6 +108,24 @@ def test_groups_of_variants(docs, scratch, monkeypatch, block):
     assert found_groups(docs(rows), scratch) == groups_by_hand(rows)
 
 
+def test_blocks_that_span_frames_are_compared_whole():
+    rng = np.random.default_rng(4)
+    base = np.sort(rng.integers(-2**63, 2**63 - 1, 64))
+    rows = []
+    for value in (base[3], base[9]):
+        for i in range(9):
+            sketch = np.sort(np.r_[base[:50], rng.integers(-2**63, 2**63 - 1, 14)].view(np.uint64)).view(np.int64)
+            rows.append({"value": value, "cls": bytes([i]), "comp": bytes([i]), "own": 0, "x": 0, "y": 0, "sketch": sketch, "n": 500, "prefix": 1 << int(np.flatnonzero(sketch == value)[0])})
+    whole = pd.DataFrame(rows)
+
+    def found(width):
+        frames = [whole.iloc[a:a + width] for a in range(0, len(whole), width)] + [whole.iloc[:0]]
+        return sorted(pd.concat(list(bottomk._candidates(iter(frames), 64, 75))).itertuples(index=False, name=None))
+    one_by_one = pd.concat([bottomk._candidates_in_block(g, 64, 75) for _, g in whole.groupby("value")])
+    assert len(one_by_one) >= 36
+    assert found(len(whole)) == found(4) == found(9) == sorted(one_by_one.itertuples(index=False, name=None))
+
+
 def test_estimate_is_exact_for_whole_sets():
     rng = np.random.default_rng(0)
     a, b = (np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(2))
