@@ -339,6 +339,27 @@ def test_licenses(docs, real, scratch):
     assert licenses.scan_licenses(docs(EDGES).limit(0), scratch).count() == 0
 
 
+BSD = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"]
+LGPL = ["This library is free software; you can redistribute it and/or", "modify it under the terms of the GNU Lesser General Public",
+        "License as published by the Free Software Foundation; either", "version 2.1 of the License, or (at your option) any later version."]
+MIT = ['Permission is hereby granted, free of charge, to any person obtaining a copy', 'of this software and associated documentation files (the "Software"), to deal',
+       "in the Software without restriction, including without limitation the rights", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
+       "copies of the Software, and to permit persons to whom the Software is", "furnished to do so, subject to the following conditions:"]
+
+
+def test_wrapped_licenses(docs, real, scratch):
+    """Notices wrapped over lines, with and without comment marks, several in a text or a line; many wrapped notices do not spoil the training."""
+    plain = "\n".join
+    two = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    rows = [(1, "\n".join(["int x;", "", *BSD, "", "int y;"])), (2, "\n".join(f" * {x}" for x in LGPL)), (3, "\r\n".join(f"# {x}" for x in ["", *MIT])), (4, two),
+            (5, "\n".join(["Released under the MIT License."] * 3)), (6, plain([*BSD, *LGPL, *MIT])), (7, "Licensed under\nCC BY-NC 4.0."), (8, plain(BSD[1:]))]
+    want = [(1, 2, "BSD"), (2, 0, "LGPL"), (3, 1, "MIT"), (4, 0, "Apache-2.0"), (4, 0, "MIT"), (5, 0, "MIT"), (5, 1, "MIT"), (5, 2, "MIT"), (6, 0, "BSD"), (6, 3, "LGPL"), (6, 7, "MIT"), (7, 0, "CC-BY-NC")]
+    many = [(1000 + i, f"file {i}\n" + plain(f"// {x}" for x in (BSD, LGPL, MIT)[i % 3])) for i in range(60)]
+    prose = [(10_000 + i, text) for i, (_, text) in enumerate(real[1][:100])]
+    got = sorted((r["id"], r["line"], r["family"]) for r in licenses.scan_licenses(docs([*rows, *many, *prose]), scratch).collect() if r["id"] < 10_000)
+    assert got == want + [(1000 + i, 1, ("BSD", "LGPL", "MIT")[i % 3]) for i in range(60)]
+
+
 # personal data
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
