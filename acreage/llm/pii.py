@@ -18,6 +18,8 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 4_000, 700
 WINDOW, STRIDE, MARGIN = 64, 32, 24
 HIDDEN, CHARS, EMBEDDED = 16, 136, 10
 CERTAIN = 0.9
+# Padded characters that are decoded at once (a longer segment is decoded alone), and steps whose marginals are held
+CELLS, STEPS = 1 << 17, 1 << 14
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -83,6 +85,17 @@ def segments(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _groups(lengths: list[int]) -> list[list[int]]:
+    """Parts by length, in groups that have at most CELLS characters when each is padded to the longest; a longer part is a group of its own."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
+        if out and (len(out[-1]) + 1) * lengths[i] <= CELLS:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
 class Tagger:
     """Bidirectional LSTM over characters, a linear layer, and a CRF over outside, begin and inside of each kind."""
 
@@ -143,23 +156,45 @@ class Tagger:
         both = np.concatenate([forward, backward[::-1]], 2)
         return both @ self.p["o"].astype(x.dtype) + self.p["c"].astype(x.dtype), (x, both, hf, hb)
 
-    def _sums(self, emit: np.ndarray, live: np.ndarray):
-        """Marginals (time, rows, tags), pair factors, of scaled forward and backward sums; live: (time, rows), false past a row's end."""
+    def _forward(self, emit: np.ndarray, live: np.ndarray, before: np.ndarray | None = None):
+        """Scaled forward sums; before: those of the step ahead of the first, if there is one."""
         step = np.where(self.allowed, np.exp(self.p["t"]), 0)
         local = np.exp(emit - emit.max(2, keepdims=True)).astype(np.float64) + 1e-30
-        n = len(emit)
-        ahead, back, scale = np.empty_like(local), np.ones_like(local), np.empty(local.shape[:2])
-        now = local[0] * np.where(self.begin, np.exp(self.p["s"]), 0)
-        for t in range(n):
-            if t:
+        ahead, scale = np.empty_like(local), np.empty(local.shape[:2])
+        now = local[0] * np.where(self.begin, np.exp(self.p["s"]), 0) if before is None else before
+        for t in range(len(emit)):
+            if t or before is not None:
                 now = np.where(live[t][:, None], (now @ step) * local[t], now)
             scale[t] = now.sum(1)
             ahead[t] = now = now / scale[t][:, None]
-        for t in range(n - 2, -1, -1):
+        return ahead, local, scale, step
+
+    def _sums(self, emit: np.ndarray, live: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None):
+        """Marginals (time, rows, tags), pair factors, of scaled forward and backward sums; live: (time, rows), false past a row's end.
+        before and after: the sums that come in from the steps on both sides."""
+        ahead, local, scale, step = self._forward(emit, live, before)
+        back = np.ones_like(local)
+        if after is not None:
+            back[-1] = after
+        for t in range(len(emit) - 2, -1, -1):
             back[t] = np.where(live[t + 1][:, None], (back[t + 1] * local[t + 1]) @ step.T / scale[t + 1][:, None], back[t + 1])
         marginal = ahead * back
         return marginal / marginal.sum(2, keepdims=True), ahead, back, local, scale, step
 
+    def _certainty(self, emit: np.ndarray, live: np.ndarray, path: np.ndarray) -> np.ndarray:
+        """(time, rows): the probability of the kind that the path gives. Only the sums between blocks of steps are held for the whole length."""
+        starts = range(0, len(emit), STEPS)
+        entering, out, after = [None], np.empty(path.shape), None
+        for a in starts[:-1]:
+            entering.append(self._forward(emit[a:a + STEPS], live[a:a + STEPS], entering[-1])[0][-1])
+        for a, before in zip(reversed(starts), reversed(entering)):
+            part = slice(a, a + STEPS)
+            marginal, _, back, local, scale, step = self._sums(emit[part], live[part], before, after)
+            after = np.where(live[a][:, None], (back[0] * local[0]) @ step.T / scale[0][:, None], back[0])
+            first = np.maximum(path[part] - 1, 0) // 2 * 2 + 1
+            out[part] = np.take_along_axis(marginal, first[..., None], 2)[..., 0] + np.take_along_axis(marginal, first[..., None] + 1, 2)[..., 0]
+        return out
+
     def gradient(self, chars: np.ndarray, tags: np.ndarray) -> dict:
         emit, (x, both, hf, hb) = self.emissions(chars, True)
         live = np.ones(emit.shape[:2], bool)
@@ -213,31 +248,29 @@ class Tagger:
                 n = min(WINDOW, len(parts[i]) - a)
                 totals[i][a:a + n] += emit[:n, row] * place[:n]
                 weights[i][a:a + n] += place[:n]
-        return [t / w for t, w in zip(totals, weights)]
+        for t, w in zip(totals, weights):
+            t /= w
+        return totals
 
     def spans(self, parts: list[np.ndarray], certain: float = CERTAIN) -> list[list[tuple[int, int, int]]]:
         """(start, kind, end) in each part: windows' emissions are joined, then one best path over the whole part decides; a span stays if
         each of its characters has its kind with a probability of ``certain``."""
         out: list[list] = [[] for _ in parts]
-        emissions = self._windows(parts)
-        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
-        for at in range(0, len(order), 512):
-            some = order[at:at + 512]
+        for some in _groups([len(part) for part in parts]):
             n = len(parts[some[-1]])
             emit, live = np.zeros((n, len(some), self.tags), np.float32), np.zeros((n, len(some)), bool)
-            for row, i in enumerate(some):
-                emit[:len(parts[i]), row], live[:len(parts[i]), row] = emissions[i], True
-            marginal = self._sums(emit, live)[0]
+            for row, (i, e) in enumerate(zip(some, self._windows([parts[i] for i in some]))):
+                emit[:len(e), row], live[:len(e), row] = e, True
             path = self._best(emit, live)
+            certainty = self._certainty(emit, live, path)
             for row, i in enumerate(some):
                 tags = path[:len(parts[i]), row]
                 for start in np.flatnonzero(tags % 2 == 1):
                     end = start + 1
                     while end < len(tags) and tags[end] == tags[start] + 1:
                         end += 1
-                    kind = (tags[start] - 1) // 2
-                    if marginal[start:end, row, 1 + 2 * kind:3 + 2 * kind].sum(1).min() >= certain:
-                        out[i].append((int(start), int(kind), int(end)))
+                    if certainty[start:end, row].min() >= certain:
+                        out[i].append((int(start), int((tags[start] - 1) // 2), int(end)))
         return out
 
     def _best(self, emit: np.ndarray, live: np.ndarray) -> np.ndarray:
@@ -250,7 +283,7 @@ class Tagger:
             best = choice.argmax(1)
             back[t] = np.where(live[t][:, None], best, same)
             now = np.where(live[t][:, None], np.take_along_axis(choice, best[:, None], 1)[:, 0] + emit[t], now)
-        path = np.empty(emit.shape[:2], np.int64)
+        path = np.empty(emit.shape[:2], np.int8)
         path[-1] = now.argmax(1)
         for t in range(len(emit) - 1, 0, -1):
             path[t - 1] = back[t, np.arange(emit.shape[1]), path[t]]
@@ -323,7 +356,7 @@ def _scan(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
         for i, text in enumerate(texts):
             base.append(base_spans(text))
             for a, b in segments(text):
-                parts.append(codes(text[a:b]))
+                parts.append(codes(text[a:b]).astype(np.uint8))
                 whose.append((i, a))
         every = [list(x) for x in base]
         for (i, offset), found in zip(whose, tagger.spans(parts) if parts else ()):

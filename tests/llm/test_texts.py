@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -421,6 +422,33 @@ def test_tagger_learns(real):
     assert right / (right + wrong) > 0.8 and right / (right + missed) > 0.6
 
 
+def test_a_long_segment_is_decoded_alone():
+    """One digit-dense text among 600 short ones, in little memory; blocks of steps give what the whole gives."""
+    tagger, rng = pii.Tagger(), np.random.default_rng(4)
+    long = "".join(rng.choice(list("0123456789.;@ "), 1_000_000))
+    short = [f"call {rng.integers(10**9)} or write to a{i}@b{i}.org now" for i in range(600)]
+    assert pii.segments(long) == [(0, len(long))]
+    lengths = [len(long), *map(len, short)]
+    groups = pii._groups(lengths)
+    assert sorted(i for g in groups for i in g) == list(range(601)) and groups[-1] == [0]
+    assert all(len(g) * max(lengths[i] for i in g) <= pii.CELLS for g in groups[:-1])
+    parts = [pii.codes(t).astype(np.uint8) for t in [long[:20_000], *short]]
+    tracemalloc.start()
+    found = tagger.spans(parts, 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and found[0] == tagger.spans(parts[:1], 0.2)[0] and found[1:] == tagger.spans(parts[1:], 0.2)
+    emit = rng.normal(0, 1, (700, 3, tagger.tags)).astype(np.float32)
+    live = np.arange(700)[:, None] < [700, 650, 90]
+    path = tagger._best(emit, live)
+    whole = tagger._certainty(emit, live, path)
+    marginal, kind = tagger._sums(emit, live)[0], np.maximum(path - 1, 0) // 2
+    assert np.allclose(whole, np.take_along_axis(marginal[..., 1::2] + marginal[..., 2::2], kind[..., None].astype(int), 2)[..., 0])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pii, "STEPS", 64)
+        assert np.allclose(tagger._certainty(emit, live, path), whole)
+
+
 def test_gradient():
     """The model's gradient equals differences of its loss."""
     rng = np.random.default_rng(0)
