@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreage.llm.common import hash_bound, sha256, text_key
+from acreage.llm.common import WHITE, hash_bound, sha256, text_key
 
 KINDS = ("email", "ip", "card", "phone")
-# Documents whose rule-found spans train the model, and windows of them, at most
-SAMPLE_DOCS, SAMPLE_WINDOWS = 4_000, 700
+# Documents whose rule-found spans train the model, segments of each, and windows of all, at most
+SAMPLE_DOCS, SAMPLE_SEGMENTS, SAMPLE_WINDOWS = 4_000, 50, 700
 WINDOW, STRIDE, MARGIN = 64, 32, 24
 HIDDEN, CHARS, EMBEDDED = 16, 136, 10
 CERTAIN = 0.9
@@ -27,6 +27,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 # Every span the model may add has one of these; text without any is all outside
 _TRIGGER = re.compile(r"[0-9@]+|[\[({] ?at ?[\])}]| dot ")
+_BLANK = re.compile(f"[{WHITE}]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -74,12 +75,18 @@ def codes(text: str) -> np.ndarray:
 
 
 def segments(text: str) -> list[tuple[int, int]]:
-    """Parts of a text round each trigger, merged where they touch."""
+    """Parts of a text round each trigger, up to the next blanks, merged where they touch."""
     out: list[tuple[int, int]] = []
     for match in _TRIGGER.finditer(text):
+        done = out[-1][1] if out else -1
         a, b = max(0, match.start() - MARGIN), min(len(text), match.end() + MARGIN)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
+        if b > done:
+            blank = _BLANK.search(text, b)
+            b = blank.start() if blank else len(text)
+        if a > done:
+            a = max(text.rfind(blank, max(done, 0), a) for blank in WHITE) + 1
+        if a <= done:
+            out[-1] = (out[-1][0], max(b, done))
         else:
             out.append((a, b))
     return out
@@ -304,7 +311,7 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = []
         for text in batch.column("text").to_pylist():
             found = base_spans(text or "")
-            for a, b in segments(text or "")[:50]:
+            for a, b in segments(text or "")[:SAMPLE_SEGMENTS]:
                 windows.append(window_tags(text, found, max(0, (a + b - WINDOW) // 2)))
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in windows], pa.string()), pa.array([t for _, t in windows], pa.string())], names=["window", "tags"])
 
@@ -324,7 +331,7 @@ def made_up(rng: np.random.Generator, filler: list[str]) -> tuple[str, str]:
 
 
 def fit_tagger(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS, **options) -> Tagger:
-    """Train on windows round the triggers of a bounded sample of texts, labelled by the rules, and on made-up spans in the same texts' words."""
+    """Train on windows round the first ``SAMPLE_SEGMENTS`` segments of each of a bounded sample of texts, labelled by the rules, and on made-up spans in the same texts' words."""
     share = min(1.0, sample_docs / max(1, docs.count()))
     some = docs.filter(F.xxhash64(F.col(key), F.lit(13)) <= hash_bound(share))
     rows = some.select(F.col(text).alias("text")).mapInArrow(_training, "window string, tags string") \

@@ -422,6 +422,25 @@ def test_tagger_learns(real):
     assert right / (right + wrong) > 0.8 and right / (right + missed) > 0.6
 
 
+def test_segments_hold_whole_words():
+    text = "Write to firstname.middle.lastname.department (at) example (dot) org.or.a.long.host.name now, " + "word " * 20 + "a@b " + "x" * 100 + "1" + "y" * 100
+    parts = [text[a:b] for a, b in pii.segments(text)]
+    assert len(parts) == 2 and "firstname.middle.lastname.department (at) example (dot) org.or.a.long.host.name" in parts[0] and parts[1].endswith("x" * 100 + "1" + "y" * 100)
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        text = "".join(rng.choice(list("ab1@ \n"), 200, p=[.45, .4, .01, .01, .12, .01]))
+        want = set()
+        for m in re.finditer("[0-9@]", text):
+            a, b = max(0, m.start() - pii.MARGIN), min(len(text), m.end() + pii.MARGIN)
+            while a and text[a - 1] not in WHITE:
+                a -= 1
+            while b < len(text) and text[b] not in WHITE:
+                b += 1
+            want |= set(range(a, b))
+        parts = pii.segments(text)
+        assert sorted(want) == [i for a, b in parts for i in range(a, b)]
+
+
 def test_a_long_segment_is_decoded_alone():
     """One digit-dense text among 600 short ones, in little memory; blocks of steps give what the whole gives."""
     tagger, rng = pii.Tagger(), np.random.default_rng(4)
