@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acreage.llm import bottomk, decontaminate, importance, katz, licenses, line_dedup, mixture, pii, run_index, topk
+from acreage.llm import bottomk, decontaminate, filter_audit, importance, katz, licenses, line_dedup, mixture, periodic, pii, run_index, topk
 from acreage.llm.common import Scratch, table, text_key
 
 
@@ -62,6 +62,30 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), Scratch(spark, "topk"), k=5, every=50)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "audit"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the texts, by a hash of the id, repeat part of their words to the end. A null id leaves the text as it is."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    made = F.transform(F.array(F.struct(words.alias("w"), F.floor(h / 10).alias("g"))), lambda r: F.struct(
+        r["w"].alias("w"), F.size(r["w"]).alias("n"), F.pmod(r["g"], F.size(r["w"])).cast("int").alias("a"), (F.pmod(r["g"], F.lit(8)) + 3).alias("parts")))[0]
+    period = (F.floor((made["n"] - made["a"]) / made["parts"]) + 1).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice(made["w"], made["a"] + 1, period), F.ceil((made["n"] - made["a"]) / period).cast("int")))
+    repeated = F.array_join(F.concat(F.slice(made["w"], 1, made["a"]), F.slice(tail, 1, made["n"] - made["a"])), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]"), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_periods(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))  # equal lengths: the smallest start
+    length, start, period = best["length"], -best["col2"], -best["col3"]
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+                        F.floor(length * 1000 / period).cast("long").alias("exponent_milli"), "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -122,6 +146,50 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 5
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INT)
+             + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(w.doc_id > first, false) AS INT) AS mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+n AS (SELECT part, mask, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+bits AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(f, b)),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bs FROM bits a, bits b, bits c, bits d, bits e WHERE (a.b | b.b | c.b | d.b | e.b) = 31),
+steps AS (SELECT filter_order, CAST(s AS INT) AS step, bs[s] AS bit, CAST(coalesce(list_sum(bs[1:s - 1]), 0) AS INT) AS before FROM orders, range(1, 6) r(s)),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER ((mask & (before | bit)) = 0), 0) AS kept, coalesce(sum(n) FILTER ((mask & before) = 0 AND (mask & bit) > 0), 0) AS removed,
+             coalesce(sum(n) FILTER ((mask & before) > 0 AND (mask & bit) > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+             coalesce(sum(n) FILTER ((mask & before) = 0 AND (mask & bit) > 0 AND good), 0) AS good_lost, coalesce(sum(n) FILTER ((mask & before) = 0 AND (mask & bit) > 0 AND toxic), 0) AS toxic_lost
+      FROM n, steps GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+"""
+
+#: CRC-32 of a text of digits, bit by bit.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({} AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: " \
+         "list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v // 2, 3988292384 * (v % 2)))), 4294967295)"
+
+#: Places with equal words at each distance, gathered to stretches; a stretch inside one of a period that divides its own is no run.
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o, {_CRC32.format('doc_id')} AS h FROM documents),
+g AS (SELECT doc_id, o, len(o) AS n, h // 10 AS g, h % 10 = 0 AND len(o) > 0 AS made FROM d),
+p AS (SELECT *, CASE WHEN made THEN g % n END AS a, CASE WHEN made THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM g),
+t AS (SELECT doc_id, n, CASE WHEN made THEN list_transform(range(0, n), lambda i: o[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE o END AS w FROM p),
+x AS (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM t),
+e AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+s AS (SELECT doc_id, q, min(i) AS start, max(i) + 1 + q AS stop FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island
+      HAVING max(i) + 1 + q - min(i) >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, stop, stop - start AS length, q AS period FROM s WHERE NOT EXISTS
+      (FROM s z WHERE z.doc_id = s.doc_id AND z.q < s.q AND s.q % z.q = 0 AND z.start <= s.start AND z.stop >= s.stop)),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+lines AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, stop)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN best USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ENTRIES = {
     "op1_line_dedup": (op1_line_dedup, OP1_SQL),
     "op2_pii": (op2_pii, None),
@@ -133,4 +201,6 @@ ENTRIES = {
     "op8_mixing": (op8_mixing, OP8_SQL),
     "op9_decontamination": (op9_decontamination, OP9_SQL),
     "op10_exact_top_k": (op10_exact_top_k, OP10_SQL),
+    "op11_filter_audit": (op11_filter_audit, OP11_SQL),
+    "op12_periodic_runs": (op12_periodic_runs, OP12_SQL),
 }
