@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acreage.llm import bottomk, decontaminate, filter_audit, importance, katz, licenses, line_dedup, mixture, periodic, pii, run_index, topk
+from acreage.llm import bottomk, decontaminate, filter_audit, importance, katz, licenses, line_dedup, mixture, periodic, pii, run_index, topk, toxicity
 from acreage.llm.common import Scratch, table, text_key
 
 
@@ -86,6 +86,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.floor(length * 1000 / period).cast("long").alias("exponent_milli"), "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "toxicity"))
+    return found.select("doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows", "first_word", "last_word")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -203,4 +208,5 @@ ENTRIES = {
     "op10_exact_top_k": (op10_exact_top_k, OP10_SQL),
     "op11_filter_audit": (op11_filter_audit, OP11_SQL),
     "op12_periodic_runs": (op12_periodic_runs, OP12_SQL),
+    "op13_toxicity": (op13_toxicity, None),
 }
