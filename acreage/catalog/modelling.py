@@ -6,12 +6,14 @@ The fits run with few, shallow trees; the settings of a full run are the default
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from acreage.catalog.features import KEY, _SPLIT, _U, listings, parts
 from acreage.functions.scalars import round_out
 from acreage.operators import features as ft
 from acreage.operators import modelling as m
+from acreage.operators.boosting import Boosting, Settings
 from acreage.operators.market import coverage
 from acreage.plans.train import TrainConfig, prepared_splits, train
 from acreage.plans.views import with_views
@@ -19,8 +21,8 @@ from acreage.session import durable, scratch_path
 
 _METRICS = {"mae": 3, "rmse": 3, "r2": 6, "r2_log": 6, "mape": 5, "medae": 3}
 _SMALL = TrainConfig(
-    grid_a={"maxIter": [2, 3], "maxDepth": [2, 3], "stepSize": [0.3]},
-    grid_b={"maxIter": [2, 3], "maxDepth": [2], "stepSize": [0.3], "minInstancesPerNode": [10]},
+    grid_a={"trees": [2, 3], "max_depth": [2, 3], "rate": [0.3], "l1": [0.1], "row_share": [0.9], "column_share": [0.9]},
+    grid_b={"trees": [2, 3], "max_leaves": [5], "rate": [0.3], "least_rows": [10], "l2": [0.5]},
     settings_c={"maxIter": 3, "maxDepth": 3, "minInstancesPerNode": 5, "stepSize": 0.3, "subsamplingRate": 0.9},
     draws=2, cv_folds=0)
 
@@ -127,6 +129,51 @@ def _scored(spark, sf):
     return _one_model(spark, sf).score(listings(spark, sf).drop("price_usd"))
 
 
+_TREE = {"trees": 1, "rate": 1.0, "max_depth": 2, "least_rows": 30, "l1": 20.0, "l2": 1.5}
+_TREE_INPUTS = ("rooms", "area_sqm", "building_age", "balcony")
+
+
+def _tree(leaves=None):
+    """One tree on four columns of the listings, the price in 100,000 as target."""
+    def build(spark, sf):
+        rows = listings(spark, sf)
+        vectors = VectorAssembler(inputCols=list(_TREE_INPUTS), outputCol="features").transform(rows)
+        model = Boosting(Settings(**_TREE, max_leaves=leaves)).fit(vectors.select("features", (F.col("price_usd") / 100000).alias("label")))
+        names = F.array(*[F.lit(c) for c in _TREE_INPUTS])
+        return model.nodes(spark).select(F.lit(round(model.base, 6)).alias("base"), "path", F.try_element_at(names, F.nullif("feature", F.lit(-1)) + 1).alias("feature"), "threshold", F.round("value", 6).alias("value"))
+    return build
+
+
+def _tree_sql(leaves=None):
+    """Gradients as whole numbers; sums by value of each column; the best cut of the root, then of its children (of the better one only if there may be three leaves)."""
+    l1, l2, least = (f"{_TREE[k]}::DOUBLE" for k in ("l1", "l2", "least_rows"))
+
+    def part(g, h):
+        return f"(greatest(abs({g} / 1048576::DOUBLE) - {l1}, 0::DOUBLE) * greatest(abs({g} / 1048576::DOUBLE) - {l1}, 0::DOUBLE) / ({h} + {l2}))"
+
+    def level(rows, name):
+        values = " UNION ALL ".join(f"SELECT path, {i} AS f, CAST({c} AS DOUBLE) AS x, g FROM {rows}" for i, c in enumerate(_TREE_INPUTS))
+        return f"""{name}_sums AS (SELECT path, f, x, CAST(sum(g) AS BIGINT) AS g, count(*) AS h FROM ({values}) GROUP BY ALL),
+            {name}_cuts AS (SELECT *, CAST(sum(g) OVER upto AS BIGINT) AS lg, CAST(sum(h) OVER upto AS BIGINT) AS lh, CAST(sum(g) OVER (PARTITION BY path, f) AS BIGINT) AS ag, CAST(sum(h) OVER (PARTITION BY path, f) AS BIGINT) AS ah
+                FROM {name}_sums WINDOW upto AS (PARTITION BY path, f ORDER BY x)),
+            {name}_gains AS (SELECT *, CASE WHEN lh >= {least} AND ah - lh >= {least} THEN {part('lg', 'lh')} + {part('(ag - lg)', '(ah - lh)')} - {part('ag', 'ah')} ELSE 0 END AS gain FROM {name}_cuts),
+            {name} AS (SELECT * FROM {name}_gains WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY path ORDER BY gain DESC, f, x) = 1)"""
+
+    def below(name, source):
+        value = "CASE s.f " + " ".join(f"WHEN {i} THEN CAST({c} AS DOUBLE)" for i, c in enumerate(_TREE_INPUTS)) + " END"
+        return f"{name} AS (SELECT r.* EXCLUDE (path), CASE WHEN s.f IS NULL THEN r.path WHEN {value} <= s.x THEN 2 * r.path ELSE 2 * r.path + 1 END AS path FROM {source[0]} r LEFT JOIN {source[1]} s ON r.path = s.path)"
+    names = "CASE f " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_TREE_INPUTS)) + " END"
+    order = "WHERE path > 1" + (" QUALIFY row_number() OVER (ORDER BY gain DESC, path) = 1" if leaves == 3 else "")
+    return with_views(f""", y AS (SELECT *, price_usd / 100000 AS y FROM listings),
+        b AS (SELECT CAST(sum(CAST(round_even(y * 1048576, 0) AS BIGINT)) AS BIGINT) / 1048576::DOUBLE / count(*) AS base FROM y),
+        r0 AS (SELECT y.*, 1 AS path, CAST(round_even((base - y) * 1048576, 0) AS BIGINT) AS g FROM y, b),
+        {level('r0', 's0')}, {below('r1', ('r0', 's0'))}, {level('r1', 's1_all')}, s1 AS (SELECT * FROM s1_all {order}), {below('r2', ('r1', 's1'))},
+        leaf AS (SELECT path, CAST(sum(g) AS BIGINT) AS g, count(*) AS h FROM r2 GROUP BY path)
+        SELECT round(base, 6) AS base, path, feature, threshold, round(value, 6) AS value FROM b,
+            (SELECT path, {names} AS feature, x AS threshold, 0 AS value FROM s0 UNION ALL SELECT path, {names}, x, 0 FROM s1
+             UNION ALL SELECT path, NULL, NULL, -sign(g) * greatest(abs(g / 1048576::DOUBLE) - {l1}, 0::DOUBLE) / (h + {l2}) FROM leaf)""", "listings")
+
+
 def _coverage(spark, sf):
     train_rows = parts(spark, sf).filter("split = 'train'")
     return coverage(ft.target_encode_fit(train_rows, "city"), ft.target_encode_fit(train_rows, "country"))
@@ -166,6 +213,8 @@ ENTRIES = {
         SELECT round(slope, 4) AS slope, round(my - slope * mx, 4) AS intercept FROM b""", "listings")),
     "model_coverage": (_coverage, with_views(f""", t AS (SELECT * FROM listings WHERE {_SPLIT} = 'train')
         SELECT count(DISTINCT country) AS countries, count(DISTINCT city) AS cities FROM t""", "listings")),
+    "level_wise_tree": (_tree(), _tree_sql()),
+    "best_leaf_first_tree": (_tree(3), _tree_sql(3)),
     "tuned_trees_a": (_tuned(_SMALL.grid_a), None),
     "tuned_trees_b": (_tuned(_SMALL.grid_b), None),
     "early_stopped_trees": (_evaluated(_gbt_c), None),

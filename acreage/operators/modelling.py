@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import math
 import os
 import random
 from collections.abc import Callable, Mapping, Sequence
@@ -10,13 +10,12 @@ from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Model
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acreage.functions.scalars import unit_hash
+from acreage.operators.boosting import BoostedTrees, Boosting, Settings, search
 from acreage.operators.combine import union_all
 from acreage.operators.features import (FittedFeatures, assemble, assign_fold, engineer, fit_and_engineer, from_log,
                                         vectorise)
@@ -25,20 +24,25 @@ from acreage.session import durable
 
 # Search spaces, the settings of the third model and the earlier model's score.
 GRID_A = {
-    "maxIter": [200, 300, 500],
-    "maxDepth": [6, 8, 10, 12],
-    "stepSize": [0.05, 0.1, 0.15],
-    "minInstancesPerNode": [1, 3, 5],
-    "subsamplingRate": [0.8, 0.9, 1.0],
-    "featureSubsetStrategy": ["0.8", "0.9", "1.0"],
+    "trees": [200, 300, 500],
+    "max_depth": [6, 8, 10, 12],
+    "rate": [0.05, 0.1, 0.15],
+    "least_rows": [1, 3, 5],
+    "row_share": [0.8, 0.9, 1.0],
+    "column_share": [0.8, 0.9, 1.0],
+    "l1": [0, 0.1, 0.5],
+    "l2": [1, 1.5, 2],
 }
 GRID_B = {
-    "maxIter": [200, 300, 500],
-    "maxDepth": [6, 8, 10, 12],
-    "stepSize": [0.05, 0.1, 0.15],
-    "minInstancesPerNode": [10, 20, 30],
-    "subsamplingRate": [0.8, 0.9, 1.0],
-    "featureSubsetStrategy": ["0.8", "0.9", "1.0"],
+    "trees": [200, 300, 500],
+    "max_depth": [6, 8, 10, 12],
+    "rate": [0.05, 0.1, 0.15],
+    "max_leaves": [31, 50, 70],
+    "least_rows": [10, 20, 30],
+    "row_share": [0.8, 0.9, 1.0],
+    "column_share": [0.8, 0.9, 1.0],
+    "l1": [0, 0.1, 0.5],
+    "l2": [0, 0.1, 0.5],
 }
 SETTINGS_C = {"maxIter": 300, "maxDepth": 8, "minInstancesPerNode": 5, "stepSize": 0.1, "subsamplingRate": 0.9}
 SEARCH_DRAWS = 20
@@ -52,35 +56,39 @@ MAPE_EPSILON = 1e-10
 
 def draw_settings(grid: Mapping[str, Sequence], draws: int, seed: int = 42) -> list[dict]:
     """Distinct random combinations of a search space."""
-    combos = list(itertools.product(*grid.values()))
-    chosen = random.Random(seed).sample(combos, min(draws, len(combos)))
-    return [dict(zip(grid, c)) for c in chosen]
+    sizes = [len(v) for v in grid.values()]
+    chosen = random.Random(seed).sample(range(math.prod(sizes)), min(draws, math.prod(sizes)))
+    out = []
+    for number in chosen:
+        setting = {}
+        for name, values in grid.items():
+            number, place = divmod(number, len(values))
+            setting[name] = values[place]
+        out.append(setting)
+    return out
 
 
 def _gbt(seed: int, **settings) -> GBTRegressor:
     return GBTRegressor(featuresCol="features", labelCol="label", seed=seed, **settings)
 
 
-def fit_tuned(train: DataFrame, grid: Mapping[str, Sequence] = GRID_A, draws: int = SEARCH_DRAWS,
-              fold: str = "fold", folds: int = SEARCH_FOLDS, parallelism: int = 4,
-              seed: int = 42) -> tuple[GBTRegressor, dict, float]:
-    """Random search by cross-validated R². Returns the estimator with the best settings, the settings
-    and their score. Folds come from a column, so they do not depend on partitioning."""
-    estimator = _gbt(seed)
+def fit_tuned(train: DataFrame, grid: Mapping[str, Sequence] = GRID_A, draws: int = SEARCH_DRAWS, fold: str = "fold",
+              folds: int = SEARCH_FOLDS, seed: int = 42) -> tuple[Boosting, dict, float]:
+    """Random search by cross-validated R², all settings and folds grown side by side. Returns the estimator with the
+    best settings, the settings and their score. Folds come from a column, so they do not depend on partitioning."""
     settings = draw_settings(grid, draws, seed)
-    maps = [{estimator.getParam(k): v for k, v in s.items()} for s in settings]
-    search = CrossValidator(estimator=estimator, estimatorParamMaps=maps, foldCol=fold, numFolds=folds,
-                            evaluator=RegressionEvaluator(labelCol="label", metricName="r2"), parallelism=parallelism)
-    scores = search.fit(train).avgMetrics
+    scores = search(train, [Settings(**s, seed=seed) for s in settings], folds, fold)
     best = max(range(len(scores)), key=scores.__getitem__)
-    return _gbt(seed, **settings[best]), settings[best], float(scores[best])
+    return Boosting(Settings(**settings[best], seed=seed)), settings[best], scores[best]
 
 
-def gbt_a(train: DataFrame, **options) -> GBTRegressor:
+def gbt_a(train: DataFrame, **options) -> Boosting:
+    """The first model: trees grown level by level."""
     return fit_tuned(train, GRID_A, **options)[0]
 
 
-def gbt_b(train: DataFrame, **options) -> GBTRegressor:
+def gbt_b(train: DataFrame, **options) -> Boosting:
+    """The second model: trees grown best leaf first, up to a number of leaves."""
     return fit_tuned(train, GRID_B, **options)[0]
 
 
@@ -114,7 +122,7 @@ def ridge(train: DataFrame, inputs: Sequence[str], label: str = "label", alpha:
 class StackedModel:
     """Base models and, with two or more, a ridge over their scores."""
 
-    bases: list[Model]
+    bases: list[Model | BoostedTrees]
     meta: LinearRegressionModel | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -129,7 +137,7 @@ class StackedModel:
         return df.withColumn("prediction", score).drop(*columns)
 
 
-def fit_stack(train: DataFrame, estimators: Sequence[Estimator], fold: str = "stack_fold", folds: int = STACK_FOLDS,
+def fit_stack(train: DataFrame, estimators: Sequence[Estimator | Boosting], fold: str = "stack_fold", folds: int = STACK_FOLDS,
               alpha: float = RIDGE_ALPHA) -> StackedModel:
     """Base models on all rows, and a ridge on scores each row got from models that did not see it."""
     if len(estimators) < 2:
@@ -248,7 +256,11 @@ class PriceModel:
         """Models, keyed tables, numbers and metrics below one folder."""
         spark = self.fitted.tables["city"].sparkSession
         for i, base in enumerate(self.model.bases):
-            base.write().overwrite().save(os.path.join(path, f"base_{i}"))
+            where = os.path.join(path, f"base_{i}")
+            if isinstance(base, BoostedTrees):
+                base.save(spark, where)
+            else:
+                base.write().overwrite().save(where)
         if self.model.meta is not None:
             self.model.meta.write().overwrite().save(os.path.join(path, "meta"))
         for name, table in self.fitted.tables.items():
@@ -256,6 +268,7 @@ class PriceModel:
         rows = [("median", k, v, None) for k, v in self.fitted.medians.items()]
         rows += [("default", k, v, None) for k, v in self.fitted.defaults.items()]
         rows += [("scale", k, m, s) for k, (m, s) in self.fitted.scale.items()]
+        rows += [("boosted", str(i), float(isinstance(base, BoostedTrees)), None) for i, base in enumerate(self.model.bases)]
         rows += [("bases", "count", float(len(self.model.bases)), None),
                  ("bases", "stacked", float(self.model.meta is not None), None)]
         spark.createDataFrame(rows, "kind string, name string, value double, extra double").coalesce(1).write.mode(
@@ -275,7 +288,9 @@ class PriceModel:
             {c: spark.read.parquet(os.path.join(path, f"table_{c}")) for c in LABELLED},
             {n: (r["value"], r["extra"]) for n, r in kind("scale").items()})
         shape = kind("bases")
-        bases = [GBTRegressionModel.load(os.path.join(path, f"base_{i}")) for i in range(int(shape["count"]["value"]))]
+        boosted = kind("boosted")
+        bases = [BoostedTrees.load(spark, os.path.join(path, f"base_{i}")) if boosted[str(i)]["value"] else GBTRegressionModel.load(os.path.join(path, f"base_{i}"))
+                 for i in range(int(shape["count"]["value"]))]
         meta = LinearRegressionModel.load(os.path.join(path, "meta")) if shape["stacked"]["value"] else None
         try:
             metrics = spark.read.parquet(os.path.join(path, "metrics"))

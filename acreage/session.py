@@ -38,6 +38,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{os.urandom(8).hex()}")
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of scratch data that no later plan reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def durable(df: DataFrame, spread: bool = False) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder.
 

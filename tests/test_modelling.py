@@ -6,7 +6,7 @@ from acreage.operators import features as ft, modelling as m
 from acreage.plans.train import TrainConfig, train
 
 SMALL = TrainConfig(
-    key=("id",), grid_a={"maxIter": [4], "maxDepth": [3], "stepSize": [0.3]}, grid_b={"maxIter": [3], "maxDepth": [2], "stepSize": [0.5]},
+    key=("id",), grid_a={"trees": [4], "max_depth": [3], "rate": [0.3]}, grid_b={"trees": [3], "max_leaves": [4], "rate": [0.5]},
     settings_c={"maxIter": 4, "maxDepth": 3, "stepSize": 0.3, "minInstancesPerNode": 2}, draws=1, cv_folds=2)
 
 
