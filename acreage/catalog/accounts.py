@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from acreage.functions.scalars import round_out
 from acreage.operators import accounts as ac
+from acreage.operators.snapshot import Snapshot
 from acreage.plans.views import view, with_views
+from acreage.session import scratch_path
 
 
 def _on(operator, name: str, **options):
@@ -19,6 +23,24 @@ def _changed(spark, sf):
     return ac.apply_changes(view(spark, sf, "users"), view(spark, sf, "changes"))
 
 
+_CHANGED_SQL = with_views(""", l AS (SELECT id, arg_max(op = 'create', seq) FILTER (WHERE op IN ('create', 'delete')) AS active,
+            arg_max(full_name, seq) FILTER (WHERE full_name IS NOT NULL) AS name, arg_max(username, seq) FILTER (WHERE username IS NOT NULL) AS login
+        FROM changes GROUP BY id)
+    SELECT coalesce(u.id, l.id) AS id, coalesce(login, username) AS username, email, role, coalesce(active, is_active) AS is_active,
+           coalesce(name, full_name) AS full_name FROM users u FULL JOIN l ON u.id = l.id""", "users", "changes")
+
+
+def _in_batches(spark, sf):
+    """The stored user table after the changes came in three batches."""
+    table = Snapshot(spark, scratch_path(spark, "users"), "id", buckets=8)
+    table.apply(view(spark, sf, "users"), lambda _, users: users, 0)
+    changes = view(spark, sf, "changes")
+    last = changes.agg(F.max("seq")).first()[0] or 0
+    for number in range(3):
+        ac.update_users(table, changes.filter((F.col("seq") > last * number // 3) & (F.col("seq") <= last * (number + 1) // 3)), number + 1)
+    return table.read()
+
+
 ENTRIES = {
     "user_counts": (_on(ac.user_counts, "users"), with_views("""SELECT count(*) AS total_users,
         count(*) FILTER (WHERE is_active) AS active_users, count(*) FILTER (WHERE NOT is_active) AS inactive_users FROM users""", "users")),
@@ -38,10 +60,8 @@ ENTRIES = {
             UNION ALL SELECT id, 'username', 'batch' FROM n QUALIFY count(*) OVER (PARTITION BY username) > 1""", "signups", "users")),
     "apply_changes": (
         lambda s, d: _changed(s, d).select("id", "username", "email", "role", "is_active", "full_name"),
-        with_views(""", l AS (SELECT id, bool_or(op = 'delete') AS gone, arg_max(full_name, seq) FILTER (WHERE full_name IS NOT NULL) AS name
-                FROM changes GROUP BY id)
-            SELECT coalesce(u.id, l.id) AS id, username, email, role, CASE WHEN gone THEN false ELSE is_active END AS is_active,
-                   coalesce(name, full_name) AS full_name FROM users u FULL JOIN l ON u.id = l.id""", "users", "changes")),
+        _CHANGED_SQL),
+    "user_snapshot": (lambda s, d: _in_batches(s, d).select("id", "username", "email", "role", "is_active", "full_name"), _CHANGED_SQL),
     "public_users": (
         _on(ac.public_users, "users"),
         with_views("SELECT id, username, email, role, is_active, full_name FROM users", "users")),

@@ -18,6 +18,8 @@ _SPLIT = (f"CASE WHEN {_U} < 0.7::DOUBLE THEN 'train' WHEN {_U} < 0.7::DOUBLE +
 _THREE = (f"CASE WHEN {_U} < 0.9::DOUBLE * (1 - 0.222::DOUBLE) THEN 'train' WHEN {_U} < 0.9::DOUBLE * (1 - 0.222::DOUBLE) + "
           "0.9::DOUBLE * 0.222::DOUBLE THEN 'val' ELSE 'test' END")
 _TRAIN = f", s AS (SELECT *, {_SPLIT} AS split FROM listings), t AS (SELECT * FROM s WHERE split = 'train')\n"
+#: Prices have two decimal places, so their sums are exact and the means equal to the last bit; they are not rounded, as a mean may lie on a tie.
+_MEAN = "CAST(sum(CAST(price_usd AS DECIMAL(38, 2))) AS DOUBLE) / count(*)"
 _LABELS = """SELECT DISTINCT {c} AS label FROM t"""
 
 
@@ -53,7 +55,7 @@ def _engineered(spark, sf):
     """Features of every row from values fitted on the training rows."""
     _, made = ft.fit_and_engineer(durable(parts(spark, sf), spread=True), F.col("split") == "train")
     return round_out(made.select("row_key", "split", *[F.col(c).cast("double").alias(c) for c in ft.FEATURES]),
-                     {c: 3 for c in ft.FEATURES})
+                     {c: 3 for c in ft.FEATURES if not c.endswith("_avg_price")})
 
 
 def _scaled(spark, sf):
@@ -77,12 +79,12 @@ _DERIVED_NAMES = ("log_area", "area_squared", "sqrt_area", "area_per_room", "roo
 _SCALE = "(({c} - (SELECT quantile_cont({c}, 0.5) FROM listings)) / (SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM listings))"
 _INDEX = "(SELECT {c} AS label, CAST(row_number() OVER (ORDER BY {c}) - 1 AS DOUBLE) AS i{extra} FROM t GROUP BY {c})"
 _ENGINEERED = _TRAIN.rstrip() + f""",
-ci AS {_INDEX.format(c='city', extra=', avg(price_usd) AS a')}, co AS {_INDEX.format(c='country', extra=', avg(price_usd) AS a')},
+ci AS {_INDEX.format(c='city', extra=f', {_MEAN} AS a')}, co AS {_INDEX.format(c='country', extra=f', {_MEAN} AS a')},
 fu AS {_INDEX.format(c='furnishing_status', extra='')},
 e AS (SELECT row_key, split, co.i AS country_encoded, ci.i AS city_encoded, rooms, area_sqm, CAST(balcony AS DOUBLE) AS balcony, building_age,
     fu.i AS furnishing_status_encoded, ci.a AS city_avg_price, co.a AS country_avg_price, {_DERIVED}
     FROM s JOIN ci ON city = ci.label JOIN co ON country = co.label JOIN fu ON furnishing_status = fu.label)
-SELECT row_key, split, {', '.join(f'round(CAST({c} AS DOUBLE), 3) AS {c}' for c in ft.FEATURES)} FROM e"""
+SELECT row_key, split, {', '.join(c if c.endswith('_avg_price') else f'round(CAST({c} AS DOUBLE), 3) AS {c}' for c in ft.FEATURES)} FROM e"""
 
 ENTRIES = {
     "split_rows": (
@@ -97,23 +99,23 @@ ENTRIES = {
         greatest(2, coalesce(rooms, (SELECT quantile_cont(rooms, 0.5) FROM gaps))) AS rooms,
         coalesce(built, (SELECT quantile_cont(built, 0.5) FROM gaps)) AS built FROM gaps""", "raw_listings")),
     "city_mean_price": (
-        lambda s, d: round_out(ft.target_encode_fit(train_rows(s, d), "city"), {"city_avg_price": 3}),
-        _sql(_TRAIN + "SELECT city, round(avg(price_usd), 3) AS city_avg_price, count(*) AS n FROM t GROUP BY city")),
+        lambda s, d: ft.target_encode_fit(train_rows(s, d), "city"),
+        _sql(_TRAIN + f"SELECT city, {_MEAN} AS city_avg_price, count(*) AS n FROM t GROUP BY city")),
     "country_mean_price": (
-        lambda s, d: round_out(ft.target_encode_fit(train_rows(s, d), "country"), {"country_avg_price": 3}),
-        _sql(_TRAIN + "SELECT country, round(avg(price_usd), 3) AS country_avg_price, count(*) AS n FROM t GROUP BY country")),
+        lambda s, d: ft.target_encode_fit(train_rows(s, d), "country"),
+        _sql(_TRAIN + f"SELECT country, {_MEAN} AS country_avg_price, count(*) AS n FROM t GROUP BY country")),
     "city_mean_lookup": (
-        lambda s, d: round_out(ft.target_encode_apply(
+        lambda s, d: ft.target_encode_apply(
             listings(s, d), ft.target_encode_fit(listings(s, d).filter(F.col("country") == "ASIA"), "city"), "city", 7.0).select(
-                "row_key", "city", "city_avg_price"), {"city_avg_price": 3}),
-        _sql(""", m AS (SELECT city, avg(price_usd) AS a FROM listings WHERE country = 'ASIA' GROUP BY city)
-            SELECT row_key, city, round(coalesce(a, 7), 3) AS city_avg_price FROM listings LEFT JOIN m USING (city)""")),
+                "row_key", "city", "city_avg_price"),
+        _sql(f""", m AS (SELECT city, {_MEAN} AS a FROM listings WHERE country = 'ASIA' GROUP BY city)
+            SELECT row_key, city, coalesce(a, 7) AS city_avg_price FROM listings LEFT JOIN m USING (city)""")),
     "out_of_fold_mean": (
-        lambda s, d: round_out(ft.target_encode_out_of_fold(ft.assign_fold(listings(s, d), KEY, 3), "city", "fold").select(
-            "city", "fold", "city_avg_price").distinct(), {"city_avg_price": 3}),
+        lambda s, d: ft.target_encode_out_of_fold(ft.assign_fold(listings(s, d), KEY, 3), "city", "fold").select(
+            "city", "fold", "city_avg_price").distinct(),
         _sql(f""", f AS (SELECT *, least(2, CAST(floor({_U} * 3) AS INTEGER)) AS fold FROM listings),
             k AS (SELECT DISTINCT city, fold FROM f)
-            SELECT k.city, k.fold, round(avg(price_usd), 3) AS city_avg_price FROM k JOIN f ON f.city = k.city AND f.fold <> k.fold
+            SELECT k.city, k.fold, {_MEAN} AS city_avg_price FROM k JOIN f ON f.city = k.city AND f.fold <> k.fold
             GROUP BY k.city, k.fold""")),
     "derived_features": (
         lambda s, d: round_out(ft.derived(listings(s, d)).select("row_key", *[F.col(c).cast("double").alias(c) for c in _DERIVED_NAMES]),

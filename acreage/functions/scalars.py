@@ -110,6 +110,16 @@ def with_price_per_sqm(df: DataFrame) -> DataFrame:
     return df.withColumn("price_per_sqm", price_per_sqm(F.col("price_usd"), F.col("area_sqm")))
 
 
+def exact_sum(c: Column) -> Column:
+    """Sum to six decimal places in whole units of the last one, so that it does not depend on the order of the rows; what is no finite number is left out."""
+    return F.sum(c.try_cast("decimal(38,6)"))
+
+
+def exact_mean(c: Column) -> Column:
+    """Mean by :func:`exact_sum`."""
+    return F.try_divide(exact_sum(c).cast("double"), F.count(c.try_cast("decimal(38,6)")))
+
+
 def round_out(df: DataFrame, places: Mapping[str, int], half_even: bool = False) -> DataFrame:
     """Round the named columns; half up by default, half even on request."""
     rounder = F.bround if half_even else F.round

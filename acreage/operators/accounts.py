@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acreage.operators.ranking import top_per_group
+from acreage.operators.snapshot import Snapshot
 
 RECENT = 50
 PRIVATE = ("password",)
@@ -74,6 +75,11 @@ def apply_changes(users: DataFrame, changes: DataFrame, key: str = "id", order:
     return merged.select(key, *[F.coalesce(f"_new_{c}", F.col(c)).alias(c) for c in fields])
 
 
+def update_users(table: Snapshot, changes: DataFrame, number: int | None = None, order: str = "seq") -> int:
+    """:func:`apply_changes` on a stored user table: only the buckets of users with changes are read and written. Batches come in the order of their events."""
+    return table.apply(changes, lambda users, events: apply_changes(users, events, table.key, order), number)
+
+
 def public_users(users: DataFrame, private: Sequence[str] = PRIVATE) -> DataFrame:
     """The listing shown to others: everything but the secrets."""
     return users.select(*[c for c in users.columns if c not in private])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from acreage.functions.scalars import finite, unit_hash
+from acreage.functions.scalars import exact_mean, finite, unit_hash
 from acreage.operators.cleaning import finite_rows
 from acreage.operators.combine import label_index, label_indexes
 from acreage.operators.quantiles import quantiles
@@ -80,7 +80,7 @@ def clip_low(df: DataFrame, column: str = "rooms", lo: float = 1) -> DataFrame:
 def target_encode_fit(train: DataFrame, key: str, target: str = "price_usd") -> DataFrame:
     """Mean target and row count of each key, rows without a key left out."""
     return (train.filter(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.avg(target).alias(f"{key}_avg_price"), F.count("*").alias("n")))
+            .agg(exact_mean(F.col(target)).alias(f"{key}_avg_price"), F.count("*").alias("n")))
 
 
 def middle_of(means: DataFrame, column: str, train: DataFrame, key: str) -> float | None:
@@ -106,9 +106,10 @@ def target_encode_out_of_fold(train: DataFrame, key: str, fold: str, target: str
     at most one row for each key and fold.
     """
     name = f"{key}_avg_price"
-    inner = train.groupBy(key, fold).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
+    value = F.col(target).try_cast("decimal(38,6)")
+    inner = train.groupBy(key, fold).agg(F.coalesce(F.sum(value), F.lit(0).cast("decimal(38,6)")).alias("_s"), F.count(value).alias("_n"))
     whole = Window.partitionBy(key)  # one row for each fold
-    rest = inner.select(key, fold, F.try_divide(F.sum("_s").over(whole) - F.col("_s"),
+    rest = inner.select(key, fold, F.try_divide((F.sum("_s").over(whole) - F.col("_s")).cast("double"),
                                                 F.sum("_n").over(whole) - F.col("_n")).alias(name))
     return train.join(rest, [key, fold], "left")
 

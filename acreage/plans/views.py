@@ -98,10 +98,12 @@ SELECT c_custkey AS id, c_name AS username, CONCAT(' ', UPPER(c_name), '@Example
 FROM customer
 """
 
-# several per user; the latest wins
+# several per user; the latest wins. Some users are new, some come back or get another name after they were deleted
 CHANGES = """
-SELECT o_custkey AS id, o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 'delete' ELSE 'update' END AS op,
-       CASE WHEN o_orderstatus = 'P' THEN o_orderpriority ELSE NULL END AS full_name
+SELECT CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 3 = 0 THEN 10000000 + o_custkey ELSE o_custkey END AS id,
+       o_orderkey AS seq, CASE WHEN o_orderpriority = '1-URGENT' THEN 'create' WHEN o_orderstatus = 'F' THEN 'delete' ELSE 'update' END AS op,
+       CASE WHEN o_orderstatus = 'P' THEN o_orderpriority ELSE NULL END AS full_name,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN CONCAT('Again#', CAST(o_custkey AS VARCHAR(20))) ELSE NULL END AS username
 FROM orders
 """
 

@@ -80,3 +80,23 @@ def test_union_by_name(spark):
 def test_middle_of_weights_by_rows(spark):
     means = spark.createDataFrame([("a", 1.0, 5), ("b", 9.0, 1)], "city string, city_avg_price double, n long")
     assert ft.middle_of(means, "city_avg_price", means.select(F.col("city")), "city") == 1.0
+
+
+def test_labels_of_one_prefix_are_numbered_in_many_tasks(spark):
+    """All labels begin alike; they are in sorted order, and no task has more than a few times its share."""
+    n = 40_000
+    rows = spark.range(n).select(F.concat(F.lit("Customer#"), F.lpad(((F.col("id") * 7919) % n).cast("string"), 9, "0")).alias("name"), F.lit("one").alias("kind"), (F.col("id") % 100).cast("double").alias("v"))
+    got = label_indexes(rows.unionByName(rows.limit(10)), ["name", "kind"], "v")
+    numbered = {r["label"]: r["label_index"] for r in got.filter("column = 'name'").collect()}
+    assert [numbered[k] for k in sorted(numbered)] == list(map(float, range(n)))
+    assert got.filter("column = 'kind'").first()["label_index"] == 0.0
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    ranges = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in got.inputFiles()}).groupBy("_range").count().collect()
+    assert len(ranges) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(r["count"] for r in ranges) < 3 * n / len(ranges) and sum(sizes) == n + 1
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    values = [0.1, 1e15, -1e15, 0.2, 0.3, 7.25] * 50
+    for seed in range(3):
+        df = spark.createDataFrame([(v, "k") for v in values], "price_usd double, city string").repartition(seed + 2).orderBy(F.rand(seed))
+        assert ft.target_encode_fit(df, "city").first()["city_avg_price"] == pytest.approx(7.85 / 6, abs=1e-15)
