@@ -86,7 +86,7 @@ def test_labels_of_one_prefix_are_numbered_in_many_tasks(spark):
     """All labels begin alike; they are in sorted order, and no task has more than a few times its share."""
     n = 40_000
     rows = spark.range(n).select(F.concat(F.lit("Customer#"), F.lpad(((F.col("id") * 7919) % n).cast("string"), 9, "0")).alias("name"), F.lit("one").alias("kind"), (F.col("id") % 100).cast("double").alias("v"))
-    got = label_indexes(rows.unionByName(rows.limit(10)), ["name", "kind"], "v")
+    got = combine.label_indexes(rows.unionByName(rows.limit(10)), ["name", "kind"], "v")
     numbered = {r["label"]: r["label_index"] for r in got.filter("column = 'name'").collect()}
     assert [numbered[k] for k in sorted(numbered)] == list(map(float, range(n)))
     assert got.filter("column = 'kind'").first()["label_index"] == 0.0
