@@ -20,6 +20,7 @@ AT_LEAST = 30
 # An estimate from the union sketch is 0.75 +- 0.054; pairs below this are not read
 ESTIMATE = 0.5
 ROUNDS, BLOCK = 6, 256
+CROWD = 4
 # A round of hubs that links a smaller share of its pairs is the last; blocks decide the rest
 WORTH = 0.1
 
@@ -74,17 +75,15 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int, size: int) -> Iter
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def _candidates_in_block(group: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
-    """Pairs of one part of an inverted list with another, or with itself, whose estimate passes and whose components differ.
+def _fitting(group: pd.DataFrame, percent: int, once: bool) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Which pairs of one part of a list with another, or with itself, have different components, sizes that allow a link, and enough values in common; the sketches; the values in common.
 
-    A pair that meets in several lists is named in the list of the smallest value only.
+    ``once``: a pair that meets in several lists counts in the list of the smallest value only.
     """
     rows = [np.asarray(x, np.int64).view(np.uint64) for x in group["sketch"]]
-    own, keys, n = group["own"].to_numpy(), group["cls"].to_list(), group["n"].to_numpy()
-    value = np.int64(group["value"].iat[0]).view(np.uint64)
+    own, n = group["own"].to_numpy(), group["n"].to_numpy()
     _, comps = np.unique(group["comp"].to_numpy(), return_inverse=True)
     ks = np.array([len(x) for x in rows])
-    prefix = np.concatenate([np.unpackbits(np.array([m], np.int64).view(np.uint8), bitorder="little")[:k].astype(bool) for m, k in zip(group["prefix"], ks)])
     flat = np.concatenate(rows)
     values, where, often = np.unique(flat, return_inverse=True, return_counts=True)
     place = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[where]
@@ -95,16 +94,61 @@ def _candidates_in_block(group: pd.DataFrame, size: int, percent: int) -> pd.Dat
         held = np.zeros((len(rows), int((often > 1).sum())), np.float32)
         held[who[chosen], place[chosen]] = 1
         return held @ held.T
-    fits = np.triu(shared(np.ones(len(flat), bool)) >= ESTIMATE * np.maximum.outer(ks, ks), 1) & (comps[:, None] != comps) & (shared(prefix & (flat < value)) == 0)
+    common = shared(np.ones(len(flat), bool))
+    fits = np.triu(common >= ESTIMATE * np.maximum.outer(ks, ks), 1) & (comps[:, None] != comps)
     fits &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
+    if once:
+        value = np.int64(group["value"].iat[0]).view(np.uint64)
+        prefix = np.concatenate([np.unpackbits(np.array([m], np.int64).view(np.uint8), bitorder="little")[:k].astype(bool) for m, k in zip(group["prefix"], ks)])
+        fits &= shared(prefix & (flat < value)) == 0
     if group["x"].iat[0] != group["y"].iat[0]:
         fits &= own[:, None] != own
-    out = [(keys[i], keys[j]) for i, j in zip(*np.nonzero(fits)) if estimate(rows[i], rows[j], size) >= ESTIMATE]
+    return fits, rows, common
+
+
+def _candidates_in_block(group: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
+    """Pairs of a block whose estimate passes. A block with more than ``CROWD`` fitting pairs for each member names no pairs, but the members that have any, as a crowd: each with the first."""
+    fits, rows, _ = _fitting(group, percent, True)
+    keys = group["cls"].to_list()
+    if fits.sum() > CROWD * len(rows):
+        members = np.flatnonzero(fits.any(0) | fits.any(1))
+        out = [(keys[i], keys[members[0]], True) for i in members[1:]]
+    else:
+        out = [(keys[i], keys[j], False) for i, j in zip(*np.nonzero(fits)) if estimate(rows[i], rows[j], size) >= ESTIMATE]
+    return pd.DataFrame(out, columns=["a", "b", "crowd"])
+
+
+def _links_in_block(group: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
+    """Links between members of a block, by their whole sets; one for each two components that become one, those with the most common values first."""
+    fits, rows, common = _fitting(group, percent, False)
+    keys, packed, sets = group["cls"].to_list(), group["members"].to_list(), {}
+    _, comps = np.unique(group["comp"].to_numpy(), return_inverse=True)
+    root = list(range(len(rows)))
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+    out = []
+    i, j = np.nonzero(fits)
+    for at in np.argsort(-common[i, j], kind="stable"):
+        left, right = int(i[at]), int(j[at])
+        one, two = find(int(comps[left])), find(int(comps[right]))
+        if one == two or estimate(rows[left], rows[right], size) < ESTIMATE:
+            continue
+        for k in (left, right):
+            if k not in sets:
+                sets[k] = unpack(packed[k])
+        both = len(np.intersect1d(sets[left], sets[right], assume_unique=True))
+        if 100 * both >= percent * (len(sets[left]) + len(sets[right]) - both):
+            out.append((keys[left], keys[right]))
+            root[one] = two
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def _candidates(frames: Iterator[pd.DataFrame], size: int, percent: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by block, block by block; only the rows of an unfinished block are carried on to the next frame."""
+def _by_block(frames: Iterator[pd.DataFrame], judge) -> Iterator[pd.DataFrame]:
+    """``judge`` of each block of rows that come sorted by block; only the rows of an unfinished block are carried on to the next frame."""
     rest = None
     for frame in frames:
         if not len(frame):
@@ -113,10 +157,27 @@ def _candidates(frames: Iterator[pd.DataFrame], size: int, percent: int) -> Iter
         block = rest[["value", "x", "y"]].to_numpy()
         bounds = [0, *(np.flatnonzero((block[1:] != block[:-1]).any(1)) + 1)]
         if len(bounds) > 1:
-            yield pd.concat([_candidates_in_block(rest.iloc[a:b], size, percent) for a, b in zip(bounds, bounds[1:])], ignore_index=True)
+            yield pd.concat([judge(rest.iloc[a:b]) for a, b in zip(bounds, bounds[1:])], ignore_index=True)
             rest = rest.iloc[bounds[-1]:]
     if rest is not None:
-        yield _candidates_in_block(rest, size, percent)
+        yield judge(rest)
+
+
+def _candidates(frames: Iterator[pd.DataFrame], size: int, percent: int) -> Iterator[pd.DataFrame]:
+    return _by_block(frames, lambda block: _candidates_in_block(block, size, percent))
+
+
+def _dealt(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(value, cls, comp, own, x, y): in each list the members outside its largest component meet all others, part by part; inside a component nothing is open."""
+    shares = members.groupBy("value", "comp").agg(F.count("*").alias("n")).groupBy("value").agg(
+        F.max_by("comp", "n").alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n")).filter("inside < n") \
+        .select("value", "main", F.ceil((F.col("n") - F.col("inside")) / BLOCK).cast("int").alias("q"), F.ceil(F.col("inside") / BLOCK).cast("int").alias("p"))
+    outside = F.col("comp") != F.col("main")
+    place = F.xxhash64("cls")
+    own = F.when(outside, F.pmod(place, F.col("q"))).otherwise(F.col("q") + F.pmod(place, F.col("p"))).cast("int")
+    others = F.when(outside, F.sequence(F.lit(0), F.col("q") + F.col("p") - 1)).otherwise(F.sequence(F.lit(0), F.col("q") - 1))
+    return members.join(scratch.put(shares), "value").withColumn("own", own).withColumn("other", F.explode(others)) \
+        .select("value", "cls", "comp", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = 75, size: int = SKETCH, key: str = "doc_id",
@@ -135,6 +196,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, perce
        the estimate from the union of both sketches must pass; the exact sets decide. Lists whose members are all connected are done.
     4. What a few rounds leave is compared in blocks of 256 x 256 sketches: in each list, the members outside its largest component with all others. Only pairs
        that the estimate passes leave a block, each once, and the exact sets decide.
+    5. A block with more than ``CROWD`` such pairs for each member (many variants of one text, most of them too far apart) names its members instead. Crowds that share a member are one;
+       its blocks hold whole sets, the exact sets decide where they lie, and only links that join two components leave a block. So what is written is linear in a crowd's size.
 
     Texts without words (null, empty, white space) have 0 shingles and are linked with nothing; their component is their own id. Rows that share an
     id are documents of their own that show the same id. A null id takes part in linking, but never names a component unless nothing else does; its row is
@@ -188,22 +251,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, perce
         if found.count() < WORTH * pairs.count():
             break
     if open_lists:
-        # in each list the members outside its largest component meet all others, part by part; inside a component nothing is open
-        members = scratch.put(labelled())
-        shares = members.groupBy("value", "comp").agg(F.count("*").alias("n")).groupBy("value").agg(
-            F.max_by("comp", "n").alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n")).filter("inside < n") \
-            .select("value", "main", F.ceil((F.col("n") - F.col("inside")) / BLOCK).cast("int").alias("q"), F.ceil(F.col("inside") / BLOCK).cast("int").alias("p"))
-        chosen = lists.groupBy("cls").agg(F.collect_list("value").alias("values")).join(classes.select("cls", "sketch", "n"), "cls").select(
-            "cls", "sketch", "n", F.expr("aggregate(transform(sketch, (x, i) -> if(array_contains(values, x), shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)").alias("prefix"))
-        outside = F.col("comp") != F.col("main")
-        place = F.xxhash64("cls")
-        own = F.when(outside, F.pmod(place, F.col("q"))).otherwise(F.col("q") + F.pmod(place, F.col("p"))).cast("int")
-        others = F.when(outside, F.sequence(F.lit(0), F.col("q") + F.col("p") - 1)).otherwise(F.sequence(F.lit(0), F.col("q") - 1))
-        dealt = members.join(scratch.put(shares), "value").withColumn("own", own).withColumn("other", F.explode(others)) \
-            .select("value", "cls", "comp", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-        near = dealt.join(scratch.put(chosen), "cls").repartition("value", "x", "y").sortWithinPartitions("value", "x", "y") \
-            .mapInPandas(lambda it: _candidates(it, size, percent), "a binary, b binary")
-        found = confirmed(scratch.put(near))
+        chosen = scratch.put(lists.groupBy("cls").agg(F.collect_list("value").alias("values")).join(classes.select("cls", "sketch", "n"), "cls").select(
+            "cls", "sketch", "n", F.expr("aggregate(transform(sketch, (x, i) -> if(array_contains(values, x), shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)").alias("prefix")))
+        near = scratch.put(_dealt(scratch.put(labelled()), scratch).join(chosen, "cls").repartition("value", "x", "y").sortWithinPartitions("value", "x", "y")
+                           .mapInPandas(lambda it: _candidates(it, size, percent), "a binary, b binary, crowd boolean"))
+        found = confirmed(near.filter("not crowd").select("a", "b"))
+        crowds = near.filter("crowd").select("a", "b")
+        if not crowds.isEmpty():
+            # a crowd meets in many lists, but once here: in blocks of whole sets, of which only links leave
+            groups = scratch.put(components(crowds, scratch)).select(F.col("root").alias("value"), F.col("node").alias("cls"))
+            members = scratch.put(groups.join(roots, F.col("cls") == F.col("node"), "left").select("value", "cls", F.coalesce("root", "cls").alias("comp")))
+            blocks = _dealt(members, scratch).join(chosen.select("cls", "sketch", "n"), "cls").hint("merge").join(full, "cls")
+            found = found.unionAll(scratch.put(blocks.repartition("value", "x", "y").sortWithinPartitions("value", "x", "y").mapInPandas(
+                lambda it: _by_block(it, lambda block: _links_in_block(block, size, percent)), "a binary, b binary")))
         if not found.isEmpty():
             roots = scratch.put(components(links.unionAll(found), scratch))
 

@@ -100,10 +100,11 @@ def family(n, seed, length=120, edits=4):
     return out
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_groups_of_variants(docs, scratch, monkeypatch, block):
-    """With small parts, lists that stay mixed are compared part by part."""
+@pytest.mark.parametrize("block,crowd", [(256, 4), (8, 10_000), (8, 0), (256, 0)])
+def test_groups_of_variants(docs, scratch, monkeypatch, block, crowd):
+    """With small parts, lists that stay mixed are compared part by part; as crowds or pair by pair."""
     monkeypatch.setattr(bottomk, "BLOCK", block)
+    monkeypatch.setattr(bottomk, "CROWD", crowd)
     monkeypatch.setattr(bottomk, "ROUNDS", 1 if block == 8 else 4)
     rows = [(i, t) for i, t in enumerate(family(40, 1, edits=8) + family(30, 2, 60, 3) + family(10, 3, 12, 1))]
     assert found_groups(docs(rows), scratch) == groups_by_hand(rows)
