@@ -75,14 +75,17 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int, size: int) -> Iter
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def _fitting(group: pd.DataFrame, percent: int, once: bool) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+Block = dict[str, np.ndarray]  # the columns of a block's rows
+
+
+def _fitting(group: Block, percent: int, once: bool) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Which pairs of one part of a list with another, or with itself, have different components, sizes that allow a link, and enough values in common; the sketches; the values in common.
 
     ``once``: a pair that meets in several lists counts in the list of the smallest value only.
     """
     rows = [np.asarray(x, np.int64).view(np.uint64) for x in group["sketch"]]
-    own, n = group["own"].to_numpy(), group["n"].to_numpy()
-    _, comps = np.unique(group["comp"].to_numpy(), return_inverse=True)
+    own, n = group["own"], group["n"]
+    _, comps = np.unique(group["comp"], return_inverse=True)
     ks = np.array([len(x) for x in rows])
     flat = np.concatenate(rows)
     values, where, often = np.unique(flat, return_inverse=True, return_counts=True)
@@ -98,31 +101,33 @@ def _fitting(group: pd.DataFrame, percent: int, once: bool) -> tuple[np.ndarray,
     fits = np.triu(common >= ESTIMATE * np.maximum.outer(ks, ks), 1) & (comps[:, None] != comps)
     fits &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
     if once:
-        value = np.int64(group["value"].iat[0]).view(np.uint64)
+        value = np.int64(group["value"][0]).view(np.uint64)
         prefix = np.concatenate([np.unpackbits(np.array([m], np.int64).view(np.uint8), bitorder="little")[:k].astype(bool) for m, k in zip(group["prefix"], ks)])
         fits &= shared(prefix & (flat < value)) == 0
-    if group["x"].iat[0] != group["y"].iat[0]:
+    if group["x"][0] != group["y"][0]:
         fits &= own[:, None] != own
     return fits, rows, common
 
 
-def _candidates_in_block(group: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
+def _pairs_in_block(group: Block, size: int, percent: int) -> list[tuple]:
     """Pairs of a block whose estimate passes. A block with more than ``CROWD`` fitting pairs for each member names no pairs, but the members that have any, as a crowd: each with the first."""
     fits, rows, _ = _fitting(group, percent, True)
-    keys = group["cls"].to_list()
+    keys = group["cls"]
     if fits.sum() > CROWD * len(rows):
         members = np.flatnonzero(fits.any(0) | fits.any(1))
-        out = [(keys[i], keys[members[0]], True) for i in members[1:]]
-    else:
-        out = [(keys[i], keys[j], False) for i, j in zip(*np.nonzero(fits)) if estimate(rows[i], rows[j], size) >= ESTIMATE]
-    return pd.DataFrame(out, columns=["a", "b", "crowd"])
+        return [(keys[i], keys[members[0]], True) for i in members[1:]]
+    return [(keys[i], keys[j], False) for i, j in zip(*np.nonzero(fits)) if estimate(rows[i], rows[j], size) >= ESTIMATE]
+
+
+def _candidates_in_block(group: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
+    return pd.DataFrame(_pairs_in_block({c: group[c].to_numpy() for c in group}, size, percent), columns=["a", "b", "crowd"])
 
 
-def _links_in_block(group: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
+def _links_in_block(group: Block, size: int, percent: int) -> list[tuple]:
     """Links between members of a block, by their whole sets; one for each two components that become one, those with the most common values first."""
     fits, rows, common = _fitting(group, percent, False)
-    keys, packed, sets = group["cls"].to_list(), group["members"].to_list(), {}
-    _, comps = np.unique(group["comp"].to_numpy(), return_inverse=True)
+    keys, packed, sets = group["cls"], group["members"], {}
+    _, comps = np.unique(group["comp"], return_inverse=True)
     root = list(range(len(rows)))
 
     def find(c: int) -> int:
@@ -144,27 +149,30 @@ def _links_in_block(group: pd.DataFrame, size: int, percent: int) -> pd.DataFram
         if 100 * both >= percent * (len(sets[left]) + len(sets[right]) - both):
             out.append((keys[left], keys[right]))
             root[one] = two
-    return pd.DataFrame(out, columns=["a", "b"])
+    return out
 
 
-def _by_block(frames: Iterator[pd.DataFrame], judge) -> Iterator[pd.DataFrame]:
+def _by_block(frames: Iterator[pd.DataFrame], judge, names: list[str]) -> Iterator[pd.DataFrame]:
     """``judge`` of each block of rows that come sorted by block; only the rows of an unfinished block are carried on to the next frame."""
     rest = None
     for frame in frames:
         if not len(frame):
             continue
         rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        block = rest[["value", "x", "y"]].to_numpy()
-        bounds = [0, *(np.flatnonzero((block[1:] != block[:-1]).any(1)) + 1)]
+        columns = {c: rest[c].to_numpy() for c in rest}
+        new = np.zeros(len(rest) - 1, bool)
+        for c in ("value", "x", "y"):
+            new |= columns[c][1:] != columns[c][:-1]
+        bounds = [0, *(np.flatnonzero(new) + 1)]
         if len(bounds) > 1:
-            yield pd.concat([judge(rest.iloc[a:b]) for a, b in zip(bounds, bounds[1:])], ignore_index=True)
+            yield pd.DataFrame([row for a, b in zip(bounds, bounds[1:]) for row in judge({c: v[a:b] for c, v in columns.items()})], columns=names)
             rest = rest.iloc[bounds[-1]:]
     if rest is not None:
-        yield judge(rest)
+        yield pd.DataFrame(judge({c: rest[c].to_numpy() for c in rest}), columns=names)
 
 
 def _candidates(frames: Iterator[pd.DataFrame], size: int, percent: int) -> Iterator[pd.DataFrame]:
-    return _by_block(frames, lambda block: _candidates_in_block(block, size, percent))
+    return _by_block(frames, lambda block: _pairs_in_block(block, size, percent), ["a", "b", "crowd"])
 
 
 def _dealt(members: DataFrame, scratch: Scratch) -> DataFrame:
@@ -263,7 +271,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, perce
             members = scratch.put(groups.join(roots, F.col("cls") == F.col("node"), "left").select("value", "cls", F.coalesce("root", "cls").alias("comp")))
             blocks = _dealt(members, scratch).join(chosen.select("cls", "sketch", "n"), "cls").hint("merge").join(full, "cls")
             found = found.unionAll(scratch.put(blocks.repartition("value", "x", "y").sortWithinPartitions("value", "x", "y").mapInPandas(
-                lambda it: _by_block(it, lambda block: _links_in_block(block, size, percent)), "a binary, b binary")))
+                lambda it: _by_block(it, lambda block: _links_in_block(block, size, percent), ["a", "b"]), "a binary, b binary")))
         if not found.isEmpty():
             roots = scratch.put(components(links.unionAll(found), scratch))
 
