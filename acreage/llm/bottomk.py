@@ -188,12 +188,13 @@ def _dealt(members: DataFrame, scratch: Scratch) -> DataFrame:
         .select("value", "cls", "comp", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = 75, size: int = SKETCH, key: str = "doc_id",
-                    text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept): the group of each document under links of near-equal texts.
+def grouped(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = 75, size: int = SKETCH, key: str = "doc_id",
+            text: str = "text") -> DataFrame:
+    """(key, text_key, n_shingles, component_id, first): the group of each document under links of near-equal texts.
 
     A document's set are its distinct runs of ``width`` words (A-Z in lower case; a shorter text is one run). Two documents are linked if
-    100 * |intersection| >= ``percent`` * |union|; component_id is the smallest id that can be reached, kept says it is the row's own.
+    100 * |intersection| >= ``percent`` * |union|; component_id is the smallest id that can be reached. ``text_key``, a hash of the text, names a row together with the id; first marks one row
+    of each group (and its equals): of those with the smallest id, the one whose set comes first, in it the smallest text key. A text without words is a group of its own.
 
     1. One pass hashes the runs with one hash function and retains the smallest ``size`` values. Documents with equal sets become one class, so copies
        never meet in pairs.
@@ -209,7 +210,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, perce
 
     Texts without words (null, empty, white space) have 0 shingles and are linked with nothing; their component is their own id. Rows that share an
     id are documents of their own that show the same id. A null id takes part in linking, but never names a component unless nothing else does; its row is
-    kept if it has no other id. Further columns are not read. An empty table gives an empty table.
+    first, or kept, only if its group has no other id. Further columns are not read. An empty table gives an empty table.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).cast("binary").alias("text"))
     sketched = scratch.put(rows.mapInArrow(lambda it: _sketch(it, width, size), "doc_id long, text_key long, n_shingles long, cls binary, sketch array<long>"))
@@ -275,9 +276,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, perce
         if not found.isEmpty():
             roots = scratch.put(components(links.unionAll(found), scratch))
 
-    named = classes.select("cls", "doc_id").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("comp"))
-    lowest = scratch.put(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
-    answers = scratch.put(named.join(lowest, "comp").select("cls", "component_id"))
+    named = classes.select("cls", "doc_id", "text_key").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", "text_key", F.coalesce("root", "cls").alias("comp"))
+    lowest = scratch.put(named.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("low")))
+    answers = scratch.put(named.join(lowest, "comp").select("cls", F.col("low.doc_id").alias("component_id"), F.col("low.text_key").alias("first_key")))
+    alone = F.col("cls").isNull()
     return sketched.join(answers, "cls", "left").select(
-        F.col("doc_id").alias(key), "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+        F.col("doc_id").alias(key), "text_key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key")))).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = 75, size: int = SKETCH, key: str = "doc_id",
+                    text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id, kept) by :func:`grouped`: kept says that component_id is the row's own id."""
+    return grouped(docs, scratch, width, percent, size, key, text).select(key, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,35 @@ class Scratch:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like those wanted that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def apart(operator: Callable) -> Callable:
+    """For operators whose inner and added columns begin with an underscore: columns of the input that do so bear other names while the operator runs, and their own again afterwards, unless the
+    operator adds a column of that name, which then takes its place."""
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options):
+        clashing = [c for c in docs.columns if c.startswith("_")]
+        if not clashing:
+            return operator(docs, *args, **options)
+        away = dict(zip(clashing, free_names(docs, *[f"input{c}" for c in clashing])))
+        out = operator(docs.withColumnsRenamed(away), *args, **{k: away.get(v, v) if isinstance(v, str) else v for k, v in options.items()})
+        for name, other in away.items():
+            if other in out.columns:
+                out = out.drop(other) if name in out.columns else out.withColumnRenamed(other, name)
+        return out
+    return run
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from acreage.llm.common import joined, with_columns
+from acreage.llm.common import apart, joined, with_columns
 
 WINDOW = 13
 # Text of benchmark items, in bytes, that is broadcast at once; a larger benchmark is scanned for part by part
@@ -94,6 +94,7 @@ def _scan(batch: pa.RecordBatch, windows: Windows, text: str) -> list[pa.Array]:
             pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
 
 
+@apart
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, text: str = "text",
                   item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with _n_words, _spans and _items: the word spans of each text that benchmark windows cover, and the items they come from.

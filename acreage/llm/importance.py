@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from acreage.llm.common import Scratch, joined, with_columns
+from acreage.llm.common import Scratch, apart, joined, with_columns
 
 BUCKETS = 1 << 17  # half for words, half for pairs of words
 PRIOR, ERRORS, PLAIN = 2.0, 3.0, 0.5
@@ -111,6 +111,7 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
             k -= row["n"]
 
 
+@apart
 def resample(docs: DataFrame, labels: DataFrame, scratch: Scratch, temperature: float = TEMPERATURE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with _n_grams, _log_weight, _sample_key and _kept: which documents resemble the target text.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acreage.llm.common import WHITE, Scratch, ascii_lower
+from acreage.llm.common import WHITE, Scratch, apart, ascii_lower
 
 
 def _lines(text: Column) -> Column:
@@ -20,6 +20,7 @@ def _hashes(text: Column, min_chars: int) -> Column:
     return F.transform(_lines(ascii_lower(text)), one)
 
 
+@apart
 def drop_common_lines(docs: DataFrame, scratch: Scratch, min_docs: int = 10, min_chars: int = 1, key: str = "doc_id",
                       text: str = "text") -> DataFrame:
     """``docs`` without the lines found in at least ``min_docs`` documents.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreage.llm.common import Scratch, n_words
+from acreage.llm.common import Scratch, apart, n_words
 
 BITS, LEVELS, ALL_BITS = 12, 3, 60
 
@@ -38,6 +38,7 @@ def _same_source(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     return a.join(b.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
 
 
+@apart
 def mix_sources(docs: DataFrame, scratch: Scratch, weights=(5, 2, 1), share: float = 1.5, limit: float = 2.0, key: str = "doc_id",
                 source: str = "source", text: str = "text") -> DataFrame:
     """``docs`` with _size, _source_size, _target and _copies: how often the mix takes each document.

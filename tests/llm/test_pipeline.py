@@ -56,3 +56,47 @@ def test_run(spark, sf):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, sf)
     assert rows_of(cp.run(spark, sf)) == rows_of(docs)
+
+
+INNER = ("_id _h _drops _kept _log_weight _n_grams _sample_key _copies _passes _rest _size _source _threshold _contaminated _i _items _items_sha256 _n _n_hit _n_items _n_words _s _spans _name _key "
+         "_NAME row_id row_text id cls comp h1 h2 value run node part mask score size line").split()
+
+
+def odd_docs(spark, rows, names=INNER):
+    return spark.createDataFrame(pa.table({
+        "doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string()), "lang": pa.array(["en"] * len(rows)), "source": pa.array(["s"] * len(rows)),
+        "n_chars": pa.array([1] * len(rows), pa.int64()), **{n: pa.array([f"own {n}"] * len(rows)) for n in names if n != "_NAME"}}))
+
+
+def test_columns_named_like_inner_ones(spark, sf):
+    """Every stage keeps the input's columns and their values, whatever their names are."""
+    frame = odd_docs(spark, EDGES)
+    for name, stage in cp.STAGES:
+        out = stage(spark, frame, sf)
+        assert out.columns[:len(frame.columns)] == frame.columns, name
+        for r in out.collect():
+            assert all(r[n] == f"own {n}" for n in INNER if n != "_NAME"), name
+
+
+def test_operators_beside_columns_named_like_inner_ones(spark, sf, scratch):
+    from acreage.llm import bottomk, decontaminate, filter_audit, importance, katz, licenses, line_dedup, mixture, periodic, pii, run_index, toxicity
+    labels, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "benchmark"))
+    calls = {
+        "line_dedup": lambda d: line_dedup.drop_common_lines(d, scratch), "importance": lambda d: importance.resample(d, labels, scratch), "mixture": lambda d: mixture.mix_sources(d, scratch),
+        "decontaminate": lambda d: decontaminate.judged(decontaminate.contamination(d, items)), "bottomk": lambda d: bottomk.near_duplicates(d, scratch),
+        "run_index": lambda d: run_index.repeated_spans(d, scratch), "katz": lambda d: katz.katz_scores(d, scratch), "licenses": lambda d: licenses.scan_licenses(d, scratch),
+        "pii": lambda d: pii.find_personal_data(d), "audit": lambda d: filter_audit.audit(d, labels, scratch), "periodic": lambda d: periodic.periodic_runs(d),
+        "toxicity": lambda d: toxicity.toxicity(d, labels, scratch, steps=2)}
+    rows = [r for r in EDGES if len(r[1] or "") < 1000]
+    for name, call in calls.items():
+        plain, odd = call(odd_docs(spark, rows, ())), call(odd_docs(spark, rows))
+        added = [c for c in plain.columns if c not in odd_docs(spark, rows, ()).columns or c in ("doc_id", "text")]
+        assert len(set(odd.columns)) == len(odd.columns), name
+        assert sorted(map(str, odd.select(added).collect())) == sorted(map(str, plain.select(added).collect())), name
+
+
+def test_near_duplicates_keep_rows_not_ids(spark, sf):
+    text, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, text), (5, other), (5, text), (6, None), (6, ""), (6, None), (None, other), (7, text + " more"), (8, None)]
+    kept = rows_of(cp.near_duplicates(spark, odd_docs(spark, rows, ()), sf))
+    assert kept == sorted([(1, text), (5, other), (6, None), (6, ""), (8, None)], key=str)  # 3 of 4 runs in common are a link
