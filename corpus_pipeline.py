@@ -5,11 +5,13 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acreage.llm import bottomk, decontaminate, importance, line_dedup, mixture
-from acreage.llm.common import Scratch, table, text_key
+from acreage.llm.common import Scratch, free_names, table, text_key
 
 
 
@@ -25,11 +27,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays, equal rows once. A row without an id stays if its group has none."""
-    kept = bottomk.near_duplicates(docs, Scratch(spark, "groups")).filter("kept").select(_name(F.col("doc_id")).alias("_name")).distinct()
+    """One document of each group stays: of those with the smallest id the first by its text's hash; equal rows once. A document without an id stays if its group has none with one.
+
+    Rows are kept, not ids: a row that shares its id with a kept one goes if it belongs to another document's group.
+    """
+    name, digest = free_names(docs, "row_id", "row_text")
+    kept = bottomk.grouped(docs, Scratch(spark, "groups")).filter("first").select(_name(F.col("doc_id")).alias(name), F.col("text_key").alias(digest)).distinct()
     # equal rows meet where the join put them
-    return docs.withColumns({"_name": _name(F.col("doc_id")), "_key": text_key(F.col("text"))}).join(kept.hint("merge"), "_name", "left_semi") \
-        .dropDuplicates(["_name", "_key"]).select(*docs.columns)
+    return docs.withColumns({name: _name(F.col("doc_id")), digest: text_key(F.col("text"))}).join(kept.hint("merge"), [name, digest], "left_semi") \
+        .dropDuplicates([name, digest]).select(*docs.columns)
 
 
 def _name(key: Column) -> Column:
@@ -48,7 +54,17 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
 
 
-STAGES = [("quality classifier", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing)]
+def _own_names(stage):
+    """A stage whose input's columns that begin with an underscore, as inner columns of operators do, bear other names while it runs."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        clashing = [c for c in docs.columns if c.startswith("_")]
+        away = dict(zip(clashing, free_names(docs, *[f"input{c}" for c in clashing])))
+        return stage(spark, docs.withColumnsRenamed(away), sf_dir).withColumnsRenamed({other: name for name, other in away.items()})
+    return run
+
+
+STAGES = [(name, _own_names(stage)) for name, stage in [("quality classifier", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing)]]
 
 #: SQL expresses neither the sampled classifier nor the groups.
 ORACLE_SQL = None
