@@ -39,6 +39,15 @@ def box_distance_floor_km(lat: Column, lng: Column, south: Column, north: Column
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h))) * (1 - 1e-9)
 
 
+def box_distance_ceiling_km(lat: Column, lng: Column, south: Column, north: Column, west: Column, east: Column) -> Column:
+    """A distance no point of the box exceeds: each haversine term is as large as the box allows."""
+    lat_gap = F.greatest(F.abs(lat - south), F.abs(lat - north))
+    lng_gap = F.least(F.greatest(F.abs(lng - west), F.abs(lng - east)), F.lit(180.0))
+    cos_box = F.when((south <= 0) & (north >= 0), F.lit(1.0)).otherwise(F.greatest(F.cos(F.radians(south)), F.cos(F.radians(north))))
+    h = _hav(F.radians(lat_gap)) + F.cos(F.radians(lat)) * cos_box * _hav(F.radians(lng_gap))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h))) * (1 + 1e-9)
+
+
 def band_of(lat: Column, step_km: float) -> Column:
     """Index of the latitude band of the given height."""
     return F.floor(lat / F.lit(step_km / KM_PER_DEGREE)).cast("long")

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from acreage.functions import geo
+from acreage.operators.combine import union_all
 from acreage.operators.market import place_intensity
 from acreage.operators.skew import salted_join
-from acreage.session import durable
+from acreage.session import durable, stored
 
 # Point types, search radius, defaults of missing records, result limits.
 POI_TYPES = ("metro", "school", "hospital", "it_park", "commercial")
@@ -35,6 +36,10 @@ IMPACT_WEIGHTS = {"proximity_score": 0.12, "demand_score": 0.08, "infrastructure
                   "safety_index": 0.07, "livability_index": 0.05}
 SITE = ("lat", "lng")
 
+# a cell with more places is split, so many times at most
+CELL_ROOM = 64
+CELL_LEVELS = 10
+
 
 # ---- radius search ---------------------------------------------------------------------------
 
@@ -76,17 +81,83 @@ def poi_within(points: DataFrame, pois: DataFrame, km: float = RADIUS_KM) -> Dat
     return within_radius(points.select("point_id", "lat", "lng"), pois.select("poi_id", "poi_type", "lat", "lng"), km)
 
 
-def _nearest(pairs: DataFrame) -> DataFrame:
-    """Nearest point of interest of each type and how many there are, for each site."""
-    best = F.min(F.struct(F.col("distance_km").alias("km"), F.col("poi_id")))
-    return pairs.groupBy(*SITE, "city", "poi_type").agg(best.alias("b"), F.sum("copies").alias("n"))
-
-
 def _poi_places(pois: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Points of interest at the very same spot as one row with their number."""
     return pois.groupBy(*keys, "poi_type", "lat", "lng").agg(F.min("poi_id").alias("poi_id"), F.count("*").alias("copies"))
 
 
+def _split_cells(places: DataFrame, km: float, room: int, levels: int) -> tuple[DataFrame, DataFrame]:
+    """Cells of the places of each type, and the places with their cell.
+
+    A cell of about ``km`` with more than ``room`` places is split into four, and these again, up to ``levels`` times; so crowded spots have small cells and empty land has large ones. A cell has its
+    number of points, the box of its places, one of them, and whether it is a leaf.
+    """
+    n = geo.cells_in_band(geo.band_of(F.col("lat"), km), km) * (1 << levels)
+    fine = places.withColumns({
+        "_i": F.floor(F.col("lat") / F.lit(km / geo.KM_PER_DEGREE) * (1 << levels)).cast("long"),
+        "_j": F.pmod(F.floor((F.col("lng") + 180.0) / 360.0 * n).cast("long"), n)})
+    level = F.col("_level")
+    up = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda v: F.struct(
+        v.alias("_level"), F.call_function("shiftright", F.col("_i"), levels - v).alias("_ci"), F.call_function("shiftright", F.col("_j"), levels - v).alias("_cj")))
+    where = ["poi_type", "_level", "_ci", "_cj"]
+    every = stored(fine.select("poi_type", "lat", "lng", "copies", F.inline(up)).groupBy(*where).agg(
+        F.sum("copies").alias("n"), F.count("*").alias("spots"), F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lng").alias("west"), F.max("lng").alias("east"),
+        F.min(F.struct("lat", "lng")).alias("member")), "cells")
+    crowded = every.filter((F.col("spots") > room) & (level < levels)).select(
+        F.col("poi_type").alias("_t"), (level + 1).alias("_l"), F.col("_ci").alias("_pi"), F.col("_cj").alias("_pj"))
+    below = F.col("poi_type").eqNullSafe(F.col("_t")) & (level == F.col("_l")) & (F.call_function("shiftright", F.col("_ci"), F.lit(1)) == F.col("_pi")) \
+        & (F.call_function("shiftright", F.col("_cj"), F.lit(1)) == F.col("_pj"))
+    deeper = every.filter(level > 0).join(crowded, below, "left_semi")
+    cells = stored(every.filter(level == 0).unionByName(deeper).withColumn("leaf", (F.col("spots") <= room) | (level == levels)), "tree")
+    leaves = cells.filter("leaf").select(F.col("poi_type").alias("_t"), F.col("_level").alias("_l"), F.col("_ci").alias("_pi"), F.col("_cj").alias("_pj"))
+    exploded = fine.select("poi_type", "poi_id", "copies", F.col("lat").alias("_tlat"), F.col("lng").alias("_tlng"), F.inline(up))
+    same = F.col("poi_type").eqNullSafe(F.col("_t")) & (level == F.col("_l")) & (F.col("_ci") == F.col("_pi")) & (F.col("_cj") == F.col("_pj"))
+    return cells, exploded.join(leaves, same, "left_semi")
+
+
+def nearest_in_radius(sites: DataFrame, pois: DataFrame, km: float = RADIUS_KM, room: int = CELL_ROOM, levels: int = CELL_LEVELS) -> DataFrame:
+    """(lat, lng, city, poi_type, b, n): for each site and type with a point within ``km`` the nearest, as struct (km, poi_id), and how many there are.
+
+    Sites go down a tree of cells, level by level. A cell beyond the radius is left; one wholly inside adds its number of points without being opened. Only cells that the circle's edge crosses, or
+    that may hold something nearer than the nearest place known for the site, are split further, and only such leaves are opened. So a site reads a few cells and leaves, not all points around it.
+    """
+    cells, members = _split_cells(_poi_places(pois, []), km, room, levels)
+    site = [*SITE, "city", "poi_type"]
+    top = cells.filter("_level = 0")
+    # the circle of a site can touch the cells around its own; a cell is copied to these
+    reach = F.greatest(geo.longitude_reach(F.col("south"), km), geo.longitude_reach(F.col("north"), km))
+    bands = F.sequence(F.col("_ci") - 1, F.col("_ci") + 1)
+    spread = top.withColumn("_band", F.explode(bands))
+    around = geo.cells_in_band(F.col("_band"), km)
+    first = F.floor((F.col("west") - reach + 180.0) / 360.0 * around).cast("long")
+    last = F.floor((F.col("east") + reach + 180.0) / 360.0 * around).cast("long")
+    spread = spread.withColumn("_raw", F.explode(F.sequence(first, F.least(last, first + around - 1)))).withColumn("_cell", F.pmod("_raw", around)).drop("_raw")
+    frontier = salted_join(_home_cell(sites.select(*SITE, "city"), km), spread, ["_band", "_cell"]).drop("_band", "_cell") \
+        .withColumns({"counted": F.lit(False), "bound": F.lit(float("inf"))})
+    box = [F.col(c) for c in ("lat", "lng", "south", "north", "west", "east")]
+    counts, opened = [], []
+    for level in range(levels + 1):
+        here = frontier.withColumns({"floor_km": geo.box_distance_floor_km(*box), "inside": geo.box_distance_ceiling_km(*box) <= km,
+                                     "member_km": geo.haversine_km(F.col("lat"), F.col("lng"), F.col("member.lat"), F.col("member.lng"))}).filter(F.col("floor_km") <= km)
+        here = here.withColumn("bound", F.least("bound", F.min("member_km").over(Window.partitionBy(*site))))  # the cells that one site meets on one level
+        wanted = (~F.col("counted") & ~F.col("inside")) | (F.col("floor_km") <= F.col("bound"))
+        here = stored(here.select(*site, "_level", "_ci", "_cj", "leaf", "n", "counted", "inside", "bound", wanted.alias("wanted")), "frontier")
+        counts.append(here.filter("inside and not counted").select(*site, "n"))
+        opened.append(here.filter("leaf and wanted").select(*site, "_level", "_ci", "_cj", (F.col("counted") | F.col("inside")).alias("counted")))
+        down = here.filter("wanted and not leaf").select(*site, "bound", (F.col("counted") | F.col("inside")).alias("counted"), F.col("_ci").alias("_pi"), F.col("_cj").alias("_pj"))
+        if level == levels or down.isEmpty():
+            break
+        children = cells.filter(F.col("_level") == level + 1).withColumnRenamed("poi_type", "_t")
+        frontier = down.join(children, F.col("poi_type").eqNullSafe(F.col("_t")) & (F.call_function("shiftright", F.col("_ci"), F.lit(1)) == F.col("_pi"))
+                             & (F.call_function("shiftright", F.col("_cj"), F.lit(1)) == F.col("_pj"))).drop("_t", "_pi", "_pj")
+    leaves = union_all(opened).withColumnsRenamed({"poi_type": "_t", "_level": "_l", "_ci": "_pi", "_cj": "_pj"})
+    read = leaves.join(members, F.col("poi_type").eqNullSafe(F.col("_t")) & (F.col("_level") == F.col("_l")) & (F.col("_ci") == F.col("_pi")) & (F.col("_cj") == F.col("_pj")))
+    near = read.withColumn("km", geo.haversine_km(F.col("lat"), F.col("lng"), F.col("_tlat"), F.col("_tlng"))).filter(F.col("km") <= km)
+    found = near.groupBy(*site).agg(F.min(F.struct("km", "poi_id")).alias("b"), F.sum(F.when(~F.col("counted"), F.col("copies"))).alias("n"))
+    whole = union_all(counts).withColumn("b", F.lit(None).cast(found.schema["b"].dataType))
+    return found.unionByName(whole).groupBy(*site).agg(F.min("b").alias("b"), F.sum("n").alias("n"))
+
+
 def _nearest_in_city(sites: DataFrame, pois: DataFrame, cell_km: float = RADIUS_KM) -> DataFrame:
     """Nearest point of interest of each type in the site's own city, at any distance.
 
@@ -122,7 +193,7 @@ def poi_with_fallback(points: DataFrame, pois: DataFrame, km: float = RADIUS_KM)
     left over read it.
     """
     sites = points.select(*SITE, "city").distinct()
-    near = durable(_nearest(within_radius(sites, _poi_places(pois, []), km)))
+    near = durable(nearest_in_radius(sites, pois, km))
     alone = sites.join(near.select(*SITE, "city").distinct(), [*SITE, "city"], "left_anti")
     far = _nearest_in_city(alone, pois.filter(F.col("poi_type").isin(*POI_TYPES)), km)
     return near.withColumn("source", F.lit("radius")).unionByName(far.withColumn("source", F.lit("city")))

@@ -2,10 +2,12 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from acreage.functions import geo
 from acreage.operators import location as lo
 from acreage.operators.skew import salted_join
+from acreage.session import scratch_path
 
 
 def km(a, b):
@@ -140,3 +142,63 @@ def test_one_record_for_a_city(spark):
     demand = spark.createDataFrame([("a", 5, 1, 1, 1, 1), ("a", 3, None, 2, 2, 2)], "city string, " + ", ".join(f"{c} int" for c in lo.DEMAND_DEFAULTS))
     got = {r["point_id"]: r["search_frequency"] for r in lo.demand_lookup(points, demand).collect()}
     assert got == {1: 3, 2: 500}
+
+
+def brute_nearest(sites, pois, km):
+    def far(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, h)))
+    out = {}
+    for s in set(sites):
+        for t in {p[1] for p in pois}:
+            near = [(far(s, p[2:]), p[0]) for p in pois if p[1] == t and far(s, p[2:]) <= km]
+            if near:
+                out[(*s, t)] = (round(min(near)[0], 6), len(near), {i for d, i in near if d <= min(near)[0] + 1e-9})
+    return out
+
+
+@pytest.mark.parametrize("room,levels", [(3, 6), (64, 10), (1, 2)])
+def test_nearest_in_radius_equals_all_pairs(spark, room, levels):
+    rng = random.Random(room)
+    centres = [(20.0, 70.0), (0.0, 0.0), (10.0, 180.0), (-33.0, -179.99), (89.95, 10.0)]
+    def spot():
+        lat, lng = rng.choice(centres)
+        return round(max(-90.0, min(90.0, lat + rng.gauss(0, 0.06))), rng.choice([2, 6])), round((lng + rng.gauss(0, 0.06) + 180) % 360 - 180, rng.choice([2, 6]))
+    pois = [(i, rng.choice(["metro", "school", None]), *spot()) for i in range(400)]
+    sites = [spot() for _ in range(40)] + [(50.0, 50.0)]
+    got = lo.nearest_in_radius(spark.createDataFrame([(*s, "c") for s in sites], "lat double, lng double, city string").distinct(),
+                               spark.createDataFrame(pois, "poi_id int, poi_type string, lat double, lng double"), 10.0, room, levels).collect()
+    want = brute_nearest(sites, pois, 10.0)
+    assert {(r["lat"], r["lng"], r["poi_type"]): (round(r["b"]["km"], 6), r["n"]) for r in got} == {k: v[:2] for k, v in want.items()}
+    assert all(r["b"]["poi_id"] in want[r["lat"], r["lng"], r["poi_type"]][2] for r in got)
+
+
+def test_a_dense_city_is_not_read_whole(spark):
+    """Four times as many points in the same city: a site reads a little more of it, not four times as much."""
+    read = {}
+    for n in (10_000, 40_000):
+        pois = spark.range(n).select(F.col("id").alias("poi_id"), F.lit("metro").alias("poi_type"), (20 + F.rand(1) * 0.16).alias("lat"), (70 + F.rand(2) * 0.16).alias("lng"))
+        sites = spark.range(50).select((20.04 + F.rand(3) * 0.08).alias("lat"), (70.04 + F.rand(4) * 0.08).alias("lng"), F.lit("c").alias("city"))
+        pois.write.mode("overwrite").parquet(path := scratch_path(spark, "dense"))
+        out = lo.nearest_in_radius(sites, spark.read.parquet(path))
+        rows = out.collect()
+        assert len(rows) == 50 and all(r["n"] > 0.5 * n for r in rows)
+        read[n] = most_joined(out)
+    assert 0 < read[10_000] and read[40_000] < 2.6 * read[10_000] and read[40_000] < 0.2 * 50 * 40_000
+
+
+def most_joined(out):
+    """The most rows that a join of a finished query made."""
+    stack, most = [out._jdf.queryExecution().executedPlan()], 0
+    while stack:
+        node = stack.pop()
+        if "Join" in node.nodeName():
+            rows = node.metrics().get("numOutputRows")
+            most = max(most, rows.get().value()) if rows.isDefined() else most
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+        if "AdaptiveSparkPlan" in node.nodeName():
+            stack.append(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            stack.append(node.plan())
+    return most
