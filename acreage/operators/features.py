@@ -35,10 +35,6 @@ SPLIT = {"train": 0.7, "val": 0.3 * (1 - 0.333), "test": 0.3 * 0.333}
 ARRAY_SPLIT = {"train": 0.9 * (1 - 0.222), "val": 0.9 * 0.222, "test": 0.1}
 
 
-# up to this many keys a weighted median is folded in one task
-SMALL_KEYS = 5_000_000
-
-
 # ---- splitting -------------------------------------------------------------------------------
 
 def split(df: DataFrame, key: Sequence[str | Column], seed: int = 42, fractions: Mapping[str, float] = SPLIT,
@@ -83,13 +79,9 @@ def target_encode_fit(train: DataFrame, key: str, target: str = "price_usd") ->
             .agg(exact_mean(F.col(target)).alias(f"{key}_avg_price"), F.count("*").alias("n")))
 
 
-def middle_of(means: DataFrame, column: str, train: DataFrame, key: str) -> float | None:
-    """Median of the looked-up means over the training rows, each key weighted by its rows."""
-    small = means.limit(SMALL_KEYS + 1)  # a table of keys; only a huge one is not folded in one task
-    row = small.agg(F.count("*").alias("keys"), F.percentile(column, F.lit(0.5), F.col("n")).alias("middle")).first()
-    if row["keys"] <= SMALL_KEYS:
-        return row["middle"]
-    return quantiles(train.join(means.select(key, column), key), {"m": (column, 0.5)})["m"]
+def middle_of(means: DataFrame, column: str) -> float | None:
+    """Median of the looked-up means over the training rows: each key's mean counts as often as the key has rows, n."""
+    return quantiles(means, {"m": (column, 0.5)}, weight="n")["m"]
 
 
 def target_encode_apply(df: DataFrame, means: DataFrame, key: str, default: float | None) -> DataFrame:
@@ -229,7 +221,7 @@ def fit_tables(train: DataFrame, accuracy: int | None = None) -> FittedFeatures:
             tables[c] = table.select("label", "label_index", F.col("mean").alias(name))
             known = table.filter(F.col("n_mean") > 0).select(F.col("label").alias(c), F.col("mean").alias(name),
                                                              F.col("n_mean").alias("n"))
-            defaults[c] = middle_of(known, name, filled, c)
+            defaults[c] = middle_of(known, name)
         else:
             tables[c] = table.select("label", "label_index")
     return FittedFeatures(medians, defaults, tables)

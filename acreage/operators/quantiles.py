@@ -1,10 +1,13 @@
 """Exact quantiles at any size.
 
-The built-in ``percentile`` keeps every distinct value in the memory of one task. Here a column
-is narrowed down instead: every pass counts the rows of an interval in equal-width buckets and
-keeps the buckets that hold a wanted rank, until few rows are left; only those are sorted. Each
-pass reads a value once, whatever the number of columns and probabilities, and sends one row for
-each bucket. A column that is small from the start is sorted at once.
+The built-in ``percentile`` keeps every distinct value in the memory of one task. Here the values
+are written once, and a column is narrowed down: a mergeable quantile sketch brackets each wanted
+rank, the next pass counts what lies below the bracket and in equal-width buckets inside it, and
+the one after sorts the bucket that holds the rank. That is three scans of the written values,
+whatever the number of columns and probabilities; only a bucket that still has many rows (very
+uneven values) is divided again. Each pass sends one row for each bucket. If a sketch errs by more
+than its bound, the rank is not in its bracket; it is then looked for in the whole column, so the
+result is exact all the same. A column that is small from the start is sorted at once.
 """
 
 from __future__ import annotations
@@ -18,9 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from acreage.functions.scalars import quoted
-from acreage.session import local_frame
+from acreage.session import drop_path, local_frame, scratch_path
+
 SORTED_ROWS = 100_000
 BUCKETS = 2_048
+# of the sketch: its size, and by how much a rank may err, as a share of the rows (three times what is usual for the size)
+SKETCH, SLACK = 4_096, 0.002
 
 
 @dataclass
@@ -57,7 +63,7 @@ def _narrow(long: DataFrame, intervals: list[_Interval], buckets: int) -> list[_
     share = (F.col("x") * 0.5 - F.col("lo") * 0.5) / (F.col("hi") * 0.5 - F.col("lo") * 0.5)
     slot = F.least(F.lit(buckets - 1), F.floor(share * buckets).cast("int"))
     found = (_inside(long, intervals).groupBy("iv", slot.alias("slot"))
-             .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect())
+             .agg(F.sum("w").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect())
     out = []
     for i, v in enumerate(intervals):
         seen = v.below
@@ -72,7 +78,7 @@ def _narrow(long: DataFrame, intervals: list[_Interval], buckets: int) -> list[_
 def _sorted_values(long: DataFrame, intervals: list[_Interval]) -> dict[tuple[int, int], float]:
     """Sort the few distinct values left in each interval and read those at the ranks."""
     running = F.sum("n").over(Window.partitionBy("iv").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    upto = (_inside(long, intervals).groupBy("iv", "x").agg(F.count("*").alias("n")).withColumn("upto", running))
+    upto = (_inside(long, intervals).groupBy("iv", "x").agg(F.sum("w").alias("n")).withColumn("upto", running))
     wanted = [(i, k, k - v.below) for i, v in enumerate(intervals) for k in v.ranks]
     ranks = local_frame(long.sparkSession, wanted, "iv int, rank long, place long")
     rows = (upto.join(ranks, "iv").filter(F.col("upto") > F.col("place"))
@@ -80,6 +86,36 @@ def _sorted_values(long: DataFrame, intervals: list[_Interval]) -> dict[tuple[in
     return {(intervals[r["iv"]].column, r["rank"]): r["x"] for r in rows}
 
 
+def _bracketed(long: DataFrame, sketches: DataFrame, whole: list[_Interval], buckets: int) -> list[_Interval]:
+    """For each rank of a column the bucket of its sketch's bracket that holds it; the whole column where the bracket does not."""
+    asked = [(v.column, k, (k - v.below) / v.rows) for v in whole for k in v.ranks]
+    own = lambda c, share: F.max(F.when(F.col("id") == c, F.kll_sketch_get_quantile_double("sketch", F.lit(min(1.0, max(0.0, share))))))
+    ends = sketches.agg(*[own(c, share + side).alias(f"e{i}_{side > 0}") for i, (c, _, share) in enumerate(asked) for side in (-SLACK, SLACK or 1e-12)]).first()
+    brackets = [(i, c, rank, ends[2 * i], ends[2 * i + 1]) for i, (c, rank, _) in enumerate(asked)]
+    table = local_frame(long.sparkSession, [(i, c, lo, hi) for i, c, _, lo, hi in brackets], "iv int, id int, lo double, hi double")
+    # a share of 0 for a bracket of one value
+    share = F.coalesce(F.try_divide(F.col("x") * 0.5 - F.col("lo") * 0.5, F.col("hi") * 0.5 - F.col("lo") * 0.5), F.lit(0.0))
+    slot = F.when(F.col("x") < F.col("lo"), -1).otherwise(F.least(F.lit(buckets - 1), F.floor(share * buckets).cast("int")))
+    rows = (long.join(F.broadcast(table), "id").filter(F.col("x") <= F.col("hi")).groupBy("iv", slot.alias("slot"))  # a row for each rank asked for
+            .agg(F.sum("w").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect())
+    by_bracket: dict[int, list] = {}
+    for r in rows:
+        by_bracket.setdefault(r["iv"], []).append(r)
+    columns = {v.column: v for v in whole}
+    out: dict[tuple, _Interval] = {}
+    for i, c, rank, _, _ in brackets:
+        seen, held = columns[c].below, None
+        for r in sorted(by_bracket.get(i, ()), key=lambda r: r["slot"]):
+            if r["slot"] >= 0 and seen <= rank < seen + r["n"]:
+                held = _Interval(c, r["lo"], r["hi"], seen, r["n"])
+            seen += r["n"]
+        if held is None:
+            v = columns[c]
+            held = _Interval(c, v.lo, v.hi, v.below, v.rows)
+        out.setdefault((c, held.lo, held.hi, held.below), held).ranks.add(rank)
+    return list(out.values())
+
+
 def _select(long: DataFrame, intervals: list[_Interval], sorted_rows: int, buckets: int) -> dict[tuple[int, int], float]:
     done: dict[tuple[int, int], float] = {}
     few: list[_Interval] = []
@@ -97,11 +133,11 @@ def _select(long: DataFrame, intervals: list[_Interval], sorted_rows: int, bucke
 
 
 def quantiles(df: DataFrame, targets: Mapping[object, tuple[Column | str, float]], accuracy: int | None = None,
-              sorted_rows: int = SORTED_ROWS, buckets: int = BUCKETS) -> dict[object, float | None]:
+              sorted_rows: int = SORTED_ROWS, buckets: int = BUCKETS, weight: Column | str | None = None) -> dict[object, float | None]:
     """Quantiles by linear interpolation, nulls and NaN left out.
 
     ``targets`` names each wanted value as (column, probability). ``accuracy`` asks for one
-    approximate pass instead of exact values.
+    approximate pass instead of exact values. With ``weight``, a column of whole numbers, a row counts as so many rows; one with none or less is left out.
     """
     exprs: list[Column] = []
     ids: dict[str, int] = {}
@@ -115,19 +151,36 @@ def quantiles(df: DataFrame, targets: Mapping[object, tuple[Column | str, float]
         wanted[key] = (ids[label], float(p))
     if not wanted:
         return {}
-    values = df.select(*exprs)
+    spark = df.sparkSession
 
     if accuracy is not None:
-        row = values.agg(*[F.percentile_approx(f"v{c}", F.lit(p), accuracy).alias(f"q{i}")
-                           for i, (c, p) in enumerate(wanted.values())]).first()
+        if weight is not None:
+            raise ValueError("weighted quantiles are exact only")
+        row = df.select(*exprs).agg(*[F.percentile_approx(f"v{c}", F.lit(p), accuracy).alias(f"q{i}")
+                                      for i, (c, p) in enumerate(wanted.values())]).first()
         return {key: row[f"q{i}"] for i, key in enumerate(wanted)}
 
-    long = values.select(F.inline(F.array(*[F.struct(F.lit(i).alias("id"), F.col(f"v{i}").alias("x"))
-                                            for i in range(len(exprs))]))).filter(F.col("x").isNotNull())
+    rows = (F.col(weight) if isinstance(weight, str) else weight).cast("long") if weight is not None else F.lit(1).cast("long")
+    path = scratch_path(spark, "quantiles")
+    df.select(*exprs, rows.alias("w")).write.parquet(path)  # what made the rows is not run again for each pass
+    try:
+        return _exact(spark.read.parquet(path), len(exprs), wanted, sorted_rows, buckets, weight is None)
+    finally:
+        drop_path(spark, path)
+
+
+def _exact(values: DataFrame, columns: int, wanted: Mapping[object, tuple[int, float]], sorted_rows: int, buckets: int, sketched: bool) -> dict[object, float | None]:
+    """The wanted (column, probability) of the columns v0, v1, ... with the weight w."""
+    long = values.filter("w > 0").select("w", F.inline(F.array(*[F.struct(F.lit(i).alias("id"), F.col(f"v{i}").alias("x"))
+                                                                 for i in range(columns)]))).filter(F.col("x").isNotNull())
     bounded = F.when(F.abs("x") < math.inf, F.col("x"))
-    stats = {r["id"]: r for r in long.groupBy("id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("x") == -math.inf).alias("neg"),
-        F.count_if(F.col("x") == math.inf).alias("pos"), F.min(bounded).alias("lo"), F.max(bounded).alias("hi")).collect()}
+    weighed = lambda test: F.sum(F.when(test, F.col("w")).otherwise(0))
+    path = scratch_path(values.sparkSession, "quantile-stats")
+    long.groupBy("id").agg(
+        F.sum("w").alias("n"), weighed(F.col("x") == -math.inf).alias("neg"), weighed(F.col("x") == math.inf).alias("pos"), F.min(bounded).alias("lo"), F.max(bounded).alias("hi"),
+        *([F.kll_sketch_agg_double(bounded, F.lit(SKETCH)).alias("sketch")] if sketched else [])).write.parquet(path)
+    table = values.sparkSession.read.parquet(path)  # a row for each column
+    stats = {r["id"]: r for r in table.select("id", "n", "neg", "pos", "lo", "hi").collect()}
 
     # infinities sit at the ends of the order; the search runs over the finite values between
     found: dict[tuple[int, int], float] = {}
@@ -143,7 +196,12 @@ def quantiles(df: DataFrame, targets: Mapping[object, tuple[Column | str, float]
                 else:
                     search[c].ranks.add(k)
     finite_only = long.filter(F.abs("x") < math.inf)
-    found |= _select(finite_only, [v for v in search.values() if v.ranks], sorted_rows, buckets)
+    whole = [v for v in search.values() if v.ranks]
+    large = [v for v in whole if sketched and v.rows > sorted_rows and v.lo < v.hi]
+    if large:
+        whole = [v for v in whole if v not in large] + _bracketed(finite_only, table.select("id", "sketch"), large, buckets)
+    found |= _select(finite_only, whole, sorted_rows, buckets)
+    drop_path(values.sparkSession, path)
 
     out: dict[object, float | None] = {}
     for key, (c, p) in wanted.items():

@@ -79,7 +79,7 @@ def test_union_by_name(spark):
 
 def test_middle_of_weights_by_rows(spark):
     means = spark.createDataFrame([("a", 1.0, 5), ("b", 9.0, 1)], "city string, city_avg_price double, n long")
-    assert ft.middle_of(means, "city_avg_price", means.select(F.col("city")), "city") == 1.0
+    assert ft.middle_of(means, "city_avg_price") == 1.0
 
 
 def test_labels_of_one_prefix_are_numbered_in_many_tasks(spark):

@@ -43,3 +43,43 @@ def test_one_row_frame_and_approximation(spark):
     df = spark.range(1001).selectExpr("cast(id as double) as x")
     assert quantile_frame(df, {"q": ("x", 0.5)}).first()["q"] == 500.0
     assert quantiles(df, {"q": ("x", 0.5)}, accuracy=10_000)["q"] == pytest.approx(500, abs=1)
+
+
+def test_weights_count_as_rows(spark):
+    rng = np.random.default_rng(1)
+    values, counts = rng.lognormal(3, 2, 500), rng.integers(-1, 60, 500)
+    df = spark.createDataFrame([(float(v), int(n)) for v, n in zip(values, counts)] + [(math.nan, 50), (5.0, None)], "x double, n int")
+    want = pd.Series(np.repeat(values, np.maximum(counts, 0)))
+    for options in ({}, {"sorted_rows": 20, "buckets": 8}):
+        got = quantiles(df, {p: ("x", p) for p in PROBS}, weight="n", **options)
+        assert got == {p: pytest.approx(want.quantile(p), rel=1e-9) for p in PROBS}
+
+
+def test_a_rank_outside_its_bracket_is_found_all_the_same(spark, monkeypatch):
+    """A sketch as coarse as can be, and no slack."""
+    monkeypatch.setattr("acreage.operators.quantiles.SKETCH", 8)
+    monkeypatch.setattr("acreage.operators.quantiles.SLACK", 0.0)
+    pdf = frame()
+    got = quantiles(spark.createDataFrame(pdf).repartition(3), {(c, p): (c, p) for c in pdf for p in PROBS}, sorted_rows=30, buckets=8)
+    for (c, p), found in got.items():
+        assert found == pytest.approx(pdf[c].quantile(p), rel=1e-9, abs=1e-320)
+
+
+def test_what_made_the_rows_runs_once_and_three_scans_do(spark):
+    """The input is evaluated for one write; a million rows take the sketch, the bracket and the sorting."""
+    from pyspark.sql import functions as F
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    n = 1_000_000
+    df = spark.range(n).select(F.exp(F.rand(2) * 20).alias("x")).mapInArrow(count, "x double")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("quantiles", "quantiles")
+    got = quantiles(df, {p: ("x", p) for p in (0.01, 0.5, 0.99)})
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert seen.value == n
+    assert got[0.01] < got[0.5] < got[0.99] and got[0.5] == pytest.approx(math.exp(10), rel=0.05)
+    assert len(jobs.getJobIdsForGroup("quantiles")) < 30
