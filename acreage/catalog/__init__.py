@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("market", "cleaning", "profiling", "features", "accounts", "location", "texts", "modelling", "streams")
+MODULES = ("market", "cleaning", "profiling", "features", "accounts", "location", "texts", "modelling", "streams", "files")
 
 
 def all_entries() -> dict:
