@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from acreage.functions.scalars import num, round_out, with_price_per_sqm
 from acreage.operators import profiling as pf
+from acreage.operators.growing_profile import GrowingProfile
 from acreage.operators.features import area_features
 from acreage.plans.profile import treat_missing
 from acreage.plans.views import view, with_views
+from acreage.session import scratch_path
 
 NUMERIC = ("rooms", "area_sqm", "balcony", "building_age", "price_usd")
 TEXT = ("country", "city", "furnishing_status")
@@ -59,7 +61,25 @@ SELECT e."column", CAST(i AS INTEGER) AS bin, round(lo + i * ((hi - lo) / 30), 4
        coalesce(n, 0) AS n
 FROM e CROSS JOIN range(0, 30) r(i) LEFT JOIN b ON b."column" = e."column" AND b.bin = i"""
 
+def _grown(spark, sf):
+    """The profile of three parts that came one after the other, the second one twice."""
+    grown = GrowingProfile(spark, scratch_path(spark, "grown"))
+    rows = view(spark, sf, "raw_listings").withColumn("rooms", num(F.col("rooms_raw")))
+    for part in (0, 1, 2, 1):
+        grown.add(str(part), rows.filter(F.col("row_key") % 3 == part).select("rooms", num(F.col("sqft_raw")).alias("sqft"), num(F.col("year_raw")).alias("built"), "city_raw", "furnishing_raw"))
+    # distinct values of small sets are exact, and so is the middle of the rooms, far from any step
+    return grown.profile().select("column", "rows", "missing", "n_distinct", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max",
+                                  F.when(F.col("column") == "rooms", F.col("q50")).alias("q50"))
+
+
+_GROWN = """, g AS (SELECT TRY_CAST(rooms_raw AS DOUBLE) AS rooms, TRY_CAST(sqft_raw AS DOUBLE) AS sqft, TRY_CAST(year_raw AS DOUBLE) AS built, city_raw, furnishing_raw FROM raw_listings)
+""" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS "rows", count(*) - count({c}) AS missing, count(DISTINCT {c}) AS n_distinct, {f'round(avg({c}), 6)' if n else 'NULL'} AS mean,
+    {f'round(stddev_samp({c}), 6)' if n else 'NULL'} AS std, {f'min({c})' if n else 'NULL'} AS min, {f'max({c})' if n else 'NULL'} AS max, {'quantile_disc(rooms, 0.5)' if c == 'rooms' else 'NULL'} AS q50 FROM g"""
+    for c, n in (("rooms", True), ("sqft", True), ("built", True), ("city_raw", False), ("furnishing_raw", False)))
+
 ENTRIES = {
+    "growing_profile": (_grown, _sql(_GROWN, "raw_listings")),
     "missing_values": (
         lambda s, d: round_out(pf.missing(view(s, d, "raw_listings").select(*RAW)), {"missing_pct": 4}),
         _sql(f", m AS ({_MISSING}) SELECT \"column\", missing, round(missing * 100::DOUBLE / n, 4) AS missing_pct FROM m WHERE missing > 0",
