@@ -8,7 +8,7 @@ from acreage.functions.scalars import round_out
 from acreage.operators import location as lo
 from acreage.operators.market import city_coords, place_intensity
 from acreage.plans.views import view, with_views
-from acreage.session import scratch_path
+from acreage.session import scratch_path, stored
 
 
 def _views(spark, sf, *names):
@@ -97,6 +97,16 @@ def _refreshed(spark, sf):
     return _shown(lo.refresh_features(points, stored, lambda fresh: _features(spark, sf, fresh)))
 
 
+def _changed(spark, sf):
+    """Features stored before some points of interest, projects and a city's record changed; only the points that can see a change are computed again."""
+    points, pois, projects, safety, demand = _views(spark, sf, *_FEATURE_VIEWS)
+    old = (pois.filter("poi_id % 7 > 0"), projects.withColumn("weight", F.when(F.col("project_id") == 1, 99.0).otherwise(F.col("weight"))),
+           safety.withColumn("aqi", F.when(F.col("city") == "JAPAN", 1.0).otherwise(F.col("aqi"))), demand)
+    kept = stored(lo.location_features(points, *old).join(lo.feature_signatures(points, *old), "point_id"), "features")
+    now = stored(lo.feature_signatures(points, pois, projects, safety, demand), "signatures")
+    return _shown(lo.refresh_changed(points, kept, now, lambda stale: _features(spark, sf, stale)).drop("signature"))
+
+
 _FEATURE_SQL = with_views(_FEATURES + "SELECT point_id, city, " + ", ".join(f"round({c}, 5) AS {c}" for c in _REAL)
                           + ", poi_count, nearby_projects FROM allf", *_FEATURE_VIEWS)
 _IMPACT = " UNION ALL ".join(
@@ -149,6 +159,7 @@ ENTRIES = {
             {_RATING.format(x='livability_index')} AS livability_rating FROM z""", "points", "safety")),
     "location_features": (lambda s, d: _shown(_features(s, d)), _FEATURE_SQL),
     "refresh_features": (_refreshed, _FEATURE_SQL),
+    "refresh_changed": (_changed, _FEATURE_SQL),
     "refresh_all": (
         lambda s, d: lo.refresh_all(view(s, d, "points"), lambda p: _features(s, d, p), scratch_path(s, "features")),
         with_views("SELECT count(*) AS refreshed FROM points", "points")),

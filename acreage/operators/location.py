@@ -115,6 +115,17 @@ def _split_cells(places: DataFrame, km: float, room: int, levels: int) -> tuple[
     return cells, exploded.join(leaves, same, "left_semi")
 
 
+def _copied_around(cells: DataFrame, band: Column, km: float) -> DataFrame:
+    """Cells with the box of what they hold, each copied to all cells (_band, _cell) whose points can be within ``km`` of something in it."""
+    reach = F.greatest(geo.longitude_reach(F.col("south"), km), geo.longitude_reach(F.col("north"), km))
+    spread = cells.withColumn("_to", F.explode(F.sequence(band - 1, band + 1)))
+    around = geo.cells_in_band(F.col("_to"), km)
+    first = F.floor((F.col("west") - reach + 180.0) / 360.0 * around).cast("long")
+    last = F.floor((F.col("east") + reach + 180.0) / 360.0 * around).cast("long")
+    copied = spread.withColumn("_raw", F.explode(F.sequence(first, F.least(last, first + around - 1)))).withColumn("_cell", F.pmod("_raw", around))
+    return copied.drop("_raw", "_band").withColumnRenamed("_to", "_band")
+
+
 def nearest_in_radius(sites: DataFrame, pois: DataFrame, km: float = RADIUS_KM, room: int = CELL_ROOM, levels: int = CELL_LEVELS) -> DataFrame:
     """(lat, lng, city, poi_type, b, n): for each site and type with a point within ``km`` the nearest, as struct (km, poi_id), and how many there are.
 
@@ -124,14 +135,7 @@ def nearest_in_radius(sites: DataFrame, pois: DataFrame, km: float = RADIUS_KM,
     cells, members = _split_cells(_poi_places(pois, []), km, room, levels)
     site = [*SITE, "city", "poi_type"]
     top = cells.filter("_level = 0")
-    # the circle of a site can touch the cells around its own; a cell is copied to these
-    reach = F.greatest(geo.longitude_reach(F.col("south"), km), geo.longitude_reach(F.col("north"), km))
-    bands = F.sequence(F.col("_ci") - 1, F.col("_ci") + 1)
-    spread = top.withColumn("_band", F.explode(bands))
-    around = geo.cells_in_band(F.col("_band"), km)
-    first = F.floor((F.col("west") - reach + 180.0) / 360.0 * around).cast("long")
-    last = F.floor((F.col("east") + reach + 180.0) / 360.0 * around).cast("long")
-    spread = spread.withColumn("_raw", F.explode(F.sequence(first, F.least(last, first + around - 1)))).withColumn("_cell", F.pmod("_raw", around)).drop("_raw")
+    spread = _copied_around(top, F.col("_ci"), km)
     frontier = salted_join(_home_cell(sites.select(*SITE, "city"), km), spread, ["_band", "_cell"]).drop("_band", "_cell") \
         .withColumns({"counted": F.lit(False), "bound": F.lit(float("inf"))})
     box = [F.col(c) for c in ("lat", "lng", "south", "north", "west", "east")]
@@ -342,6 +346,47 @@ def refresh_features(points: DataFrame, stored: DataFrame, compute) -> DataFrame
     return kept.unionByName(compute(fresh))
 
 
+def _digest(*columns: str) -> Column:
+    """A sum of row hashes that does not depend on the order of rows; a repeated row counts again."""
+    return F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+
+
+def _cells_seen(sites: DataFrame, things: DataFrame, columns: Sequence[str], km: float, on: Sequence[str] = ()) -> DataFrame:
+    """(site columns, _seen, _sure): a digest of all things in the cells that a circle round the site can touch, and whether one of them is surely within the circle."""
+    cells = _home_cell(things, km).groupBy(*on, "_band", "_cell").agg(
+        _digest(*columns).alias("_d"), F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lng").alias("west"), F.max("lng").alias("east"), F.min(F.struct("lat", "lng")).alias("member"))
+    met = salted_join(_home_cell(sites, km), _copied_around(cells, F.col("_band"), km), [*on, "_band", "_cell"])
+    near = geo.haversine_km(F.col("lat"), F.col("lng"), F.col("member.lat"), F.col("member.lng")) <= km
+    return met.groupBy(*SITE, "city").agg(F.sum("_d").cast("string").alias("_seen"), F.max(near).alias("_sure"))
+
+
+def feature_signatures(points: DataFrame, pois: DataFrame, projects: DataFrame, safety: DataFrame, metrics: DataFrame, km: float = RADIUS_KM) -> DataFrame:
+    """(point_id, signature): a digest of everything that a point's features can follow from.
+
+    That is its place, the points of interest and its city's projects in the cells round it, its city's records, and, for a point that may have no point of interest in the radius, all of its city.
+    Work grows with points and occupied cells, not with pairs; only cells and cities are copied.
+    """
+    def by_city(things: DataFrame, name: str) -> DataFrame:
+        return things.groupBy("city").agg(_digest(*things.columns).cast("string").alias(name))
+    sites = points.select(*SITE, "city").distinct()
+    seen = _cells_seen(sites, pois, ["poi_id", "poi_type", "lat", "lng"], km).withColumnsRenamed({"_seen": "_pois", "_sure": "_near"})
+    built = _cells_seen(sites, projects, ["project_id", "weight", "lat", "lng"], km, on=["city"]).withColumnRenamed("_seen", "_projects").drop("_sure")
+    whole = sites.join(seen, [*SITE, "city"], "left").join(built, [*SITE, "city"], "left") \
+        .join(by_city(pois, "_all"), "city", "left").join(by_city(safety, "_safety"), "city", "left").join(by_city(metrics, "_demand"), "city", "left")
+    fallback = F.when(~F.coalesce("_near", F.lit(False)), F.col("_all"))
+    parts = [F.coalesce(c, F.lit("-")) for c in (F.col("_pois"), F.col("_projects"), F.col("_safety"), F.col("_demand"), fallback)]
+    signed = whole.withColumn("signature", F.sha2(F.concat_ws("|", F.col("lat").cast("string"), F.col("lng").cast("string"), F.coalesce("city", F.lit("-")), *parts), 256))
+    return salted_join(points.select("point_id", *SITE, "city"), signed.select(*SITE, "city", "signature"), [*SITE, "city"], "left").select("point_id", "signature")
+
+
+def refresh_changed(points: DataFrame, stored: DataFrame, signatures: DataFrame, compute) -> DataFrame:
+    """Stored features whose signature is still that of their point; all others are computed again. Both bear the signature."""
+    now = signatures.withColumnRenamed("signature", "_now")
+    kept = stored.join(now, "point_id").filter(F.col("signature") == F.col("_now")).drop("_now")
+    stale = points.join(kept.select("point_id"), "point_id", "left_anti")
+    return kept.unionByName(compute(stale).join(signatures, "point_id"))
+
+
 def refresh_all(points: DataFrame, compute, path: str) -> DataFrame:
     """Recompute and store every feature row; the result is the number stored."""
     compute(points).write.mode("overwrite").parquet(path)

@@ -202,3 +202,42 @@ def most_joined(out):
         if "QueryStage" in node.nodeName():
             stack.append(node.plan())
     return most
+
+
+def test_only_points_that_see_a_change_are_computed_again(spark):
+    """The features depend on the surroundings; a change recomputes the points near it, and in the city those that may have to look at all of it."""
+    rng = random.Random(9)
+    points = spark.createDataFrame([(i, "near" if i % 2 else "far", 20 + (i % 40) * 0.05, 70.0 + rng.random() * 0.02) for i in range(80)] + [(99, "near", 40.0, 10.0)],
+                                   "point_id int, city string, lat double, lng double")
+    spots = [(i, lo.POI_TYPES[i % 5], "near" if i % 2 else "far", 20 + (i % 50) * 0.04, 70.0 + rng.random() * 0.02) for i in range(100)]
+    poi_schema = "poi_id int, poi_type string, city string, lat double, lng double"
+    before = spark.createDataFrame(spots, poi_schema)
+    after = spark.createDataFrame(spots + [(500, "metro", "far", 20.001, 70.01)], poi_schema)
+    projects = spark.createDataFrame([(1, "near", 1.0, 20.5, 70.0), (2, "far", 2.0, 21.0, 70.0)], "project_id int, city string, weight double, lat double, lng double")
+    safety = spark.createDataFrame([("near", 1.0, 2.0, 3.0, 4.0, 5.0)], "city string, crime_index double, traffic_index double, aqi double, green_space_score double, noise_level double")
+    demand = spark.createDataFrame([("far", 1, 2, 3, 4, 5)], "city string, search_frequency int, prediction_requests int, interaction_count int, active_listings int, new_developments int")
+
+    def signed(pois, safe=safety, built=projects):
+        return {r["point_id"]: r["signature"] for r in lo.feature_signatures(points, pois, built, safe, demand).collect()}
+    old = signed(before)
+    assert len(old) == 81 and old == signed(before.repartition(5))
+    changed = {i for i, s in signed(after).items() if s != old[i]}
+    where = {r["point_id"]: (r["lat"], r["lng"]) for r in points.collect()}
+    within = {i for i, spot in where.items() if km(spot, (20.001, 70.01)) <= lo.RADIUS_KM}
+    assert within <= changed and len(changed) < 30 and 99 not in changed  # a change in another city than its own
+    assert 99 in {i for i, s in signed(spark.createDataFrame(spots[1:2] + spots[2:], poi_schema).filter("poi_id <> 1")).items() if s != old[i]}  # it looks at its whole city
+    warmer = {i for i, s in signed(before, safety.withColumn("aqi", F.lit(9.0))).items() if s != old[i]}
+    assert warmer == {i for i in where if i % 2}
+    built = {i for i, s in signed(before, built=projects.withColumn("weight", F.lit(7.0))).items() if s != old[i]}
+    assert built and all(abs(where[i][0] - (20.5 if i % 2 else 21.0)) < 0.3 for i in built)
+
+    kept = lo.location_features(points, before, projects, safety, demand).join(lo.feature_signatures(points, before, projects, safety, demand), "point_id")
+    computed = []
+
+    def compute(stale):
+        computed.extend(r["point_id"] for r in stale.select("point_id").collect())
+        return lo.location_features(stale, after, projects, safety, demand)
+    got = lo.refresh_changed(points, kept, lo.feature_signatures(points, after, projects, safety, demand), compute)
+    want = lo.location_features(points, after, projects, safety, demand)
+    assert sorted(map(str, got.drop("signature").select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert set(computed) == changed
