@@ -103,6 +103,17 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
 FROM k LEFT JOIN c USING (key) GROUP BY doc_id
 """
 
+#: Sets of runs of five words, pairs that share any, and everything that can be reached by links.
+OP5_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + least(5, len(w))], ' ') AS g FROM (SELECT *, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met.n >= 75 * (x.n + y.n - met.n)),
+reach AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT b, root FROM reach JOIN links ON a = doc_id)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
 OP8_BODY = """
 d AS (SELECT *, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
              CAST('0x' || md5(CAST(doc_id AS VARCHAR))[1:9] AS BIGINT) AS unit FROM docs),
@@ -200,7 +211,7 @@ ENTRIES = {
     "op2_pii": (op2_pii, None),
     "op3_quality_classifier": (op3_quality_classifier, None),
     "op4_license_scans": (op4_license_scans, None),
-    "op5_minhash_near_dedup": (op5_minhash_near_dedup, None),
+    "op5_minhash_near_dedup": (op5_minhash_near_dedup, OP5_SQL),
     "op6_suffix_array_dedup": (op6_suffix_array_dedup, None),
     "op7_lm_scoring": (op7_lm_scoring, None),
     "op8_mixing": (op8_mixing, OP8_SQL),
