@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from acreage.catalog.profiling import _MISSING
 from acreage.functions.scalars import round_out
 from acreage.operators import features as ft
 from acreage.operators import profiling as pf
+from acreage.operators.stages import PriceFeatures
 from acreage.plans.profile import profile
 from acreage.plans.unify import SOURCES, load_all, unify
 from acreage.plans.views import view, with_views
@@ -121,6 +123,15 @@ def _vectors(spark, sf):
     return rows.select("row_key", "split", F.round("label", 6).alias("label"), *[F.round(F.col("x")[i], 4).alias(f"x{i}") for i in range(len(ft.FEATURES))])
 
 
+def _saved_vectors(spark, sf):
+    """The same vectors from a feature stage fitted on the training rows, saved in a pipeline and read back."""
+    rows = durable(cf.parts(spark, sf), spread=True)
+    path = scratch_path(spark, "pipeline")
+    PipelineModel([PriceFeatures().fit(rows.filter("split = 'train'"))]).write().save(path)
+    out = PipelineModel.load(path).transform(rows).select("row_key", "split", "label", vector_to_array("features").alias("x"))
+    return out.select("row_key", "split", F.round("label", 6).alias("label"), *[F.round(F.col("x")[i], 4).alias(f"x{i}") for i in range(len(ft.FEATURES))])
+
+
 _RAW_FEATURES = cf._ENGINEERED[:cf._ENGINEERED.rindex("SELECT row_key, split")]
 _VECTOR_SQL = _RAW_FEATURES.rstrip().replace("SELECT row_key, split, co.i", "SELECT row_key, split, price_usd, co.i") + ",\nq AS (SELECT " + ", ".join(
     f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS m{i}, coalesce(nullif(quantile_cont(CAST({c} AS DOUBLE), 0.75) - quantile_cont(CAST({c} AS DOUBLE), 0.25), 0), 1) AS s{i}"
@@ -152,4 +163,5 @@ ENTRIES = {
         (SELECT count(*) FROM listings) AS "rows", CAST(5 AS BIGINT) AS head_rows
         FROM (SELECT unnest(['row_key', 'country', 'city', 'rooms', 'area_sqm', 'balcony', 'building_age', 'furnishing_status', 'price_usd']) AS column_name, unnest(range(0, 9)) AS column_index)""", "listings")),
     "feature_vectors": (_vectors, with_views(_VECTOR_SQL, "listings")),
+    "saved_feature_vectors": (_saved_vectors, with_views(_VECTOR_SQL, "listings")),
 }

@@ -6,6 +6,7 @@ The fits run with few, shallow trees; the settings of a full run are the default
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from acreage.operators import features as ft
 from acreage.operators import modelling as m
 from acreage.operators.boosting import Boosting, Settings
 from acreage.operators.market import coverage
+from acreage.operators.stages import TreeRegressor
 from acreage.plans.train import TrainConfig, prepared_splits, train
 from acreage.plans.views import with_views
 from acreage.session import durable, scratch_path
@@ -144,7 +146,16 @@ def _tree(leaves=None):
     return build
 
 
-def _tree_sql(leaves=None):
+def _tree_scores(spark, sf):
+    """The price in 100,000 that the same tree gives each listing, from a pipeline that was saved and read back."""
+    rows = listings(spark, sf).withColumn("label", F.col("price_usd") / 100000)
+    stages = [VectorAssembler(inputCols=list(_TREE_INPUTS), outputCol="features"), TreeRegressor(_TREE)]
+    path = scratch_path(spark, "pipeline")
+    Pipeline(stages=stages).fit(rows).write().save(path)
+    return PipelineModel.load(path).transform(rows.drop("label")).select("row_key", F.round("prediction", 5).alias("prediction"))
+
+
+def _tree_sql(leaves=None, scores=False):
     """Gradients as whole numbers; sums by value of each column; the best cut of the root, then of its children (of the better one only if there may be three leaves)."""
     l1, l2, least = (f"{_TREE[k]}::DOUBLE" for k in ("l1", "l2", "least_rows"))
 
@@ -164,14 +175,15 @@ def _tree_sql(leaves=None):
         return f"{name} AS (SELECT r.* EXCLUDE (path), CASE WHEN s.f IS NULL THEN r.path WHEN {value} <= s.x THEN 2 * r.path ELSE 2 * r.path + 1 END AS path FROM {source[0]} r LEFT JOIN {source[1]} s ON r.path = s.path)"
     names = "CASE f " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_TREE_INPUTS)) + " END"
     order = "WHERE path > 1" + (" QUALIFY row_number() OVER (ORDER BY gain DESC, path) = 1" if leaves == 3 else "")
+    nodes = f"""SELECT round(base, 6) AS base, path, feature, threshold, round(value, 6) AS value FROM b,
+            (SELECT path, {names} AS feature, x AS threshold, 0 AS value FROM s0 UNION ALL SELECT path, {names}, x, 0 FROM s1
+             UNION ALL SELECT path, NULL, NULL, -sign(g) * greatest(abs(g / 1048576::DOUBLE) - {l1}, 0::DOUBLE) / (h + {l2}) FROM leaf)"""
     return with_views(f""", y AS (SELECT *, price_usd / 100000 AS y FROM listings),
         b AS (SELECT CAST(sum(CAST(round_even(y * 1048576, 0) AS BIGINT)) AS BIGINT) / 1048576::DOUBLE / count(*) AS base FROM y),
         r0 AS (SELECT y.*, 1 AS path, CAST(round_even((base - y) * 1048576, 0) AS BIGINT) AS g FROM y, b),
         {level('r0', 's0')}, {below('r1', ('r0', 's0'))}, {level('r1', 's1_all')}, s1 AS (SELECT * FROM s1_all {order}), {below('r2', ('r1', 's1'))},
         leaf AS (SELECT path, CAST(sum(g) AS BIGINT) AS g, count(*) AS h FROM r2 GROUP BY path)
-        SELECT round(base, 6) AS base, path, feature, threshold, round(value, 6) AS value FROM b,
-            (SELECT path, {names} AS feature, x AS threshold, 0 AS value FROM s0 UNION ALL SELECT path, {names}, x, 0 FROM s1
-             UNION ALL SELECT path, NULL, NULL, -sign(g) * greatest(abs(g / 1048576::DOUBLE) - {l1}, 0::DOUBLE) / (h + {l2}) FROM leaf)""", "listings")
+        {"SELECT row_key, round(base - sign(l.g) * greatest(abs(l.g / 1048576::DOUBLE) - " + l1 + ", 0::DOUBLE) / (h + " + l2 + "), 5) AS prediction FROM r2 JOIN leaf l USING (path), b" if scores else nodes}""", "listings")
 
 
 def _coverage(spark, sf):
@@ -215,6 +227,7 @@ ENTRIES = {
         SELECT count(DISTINCT country) AS countries, count(DISTINCT city) AS cities FROM t""", "listings")),
     "level_wise_tree": (_tree(), _tree_sql()),
     "best_leaf_first_tree": (_tree(3), _tree_sql(3)),
+    "saved_tree_scores": (_tree_scores, _tree_sql(scores=True)),
     "tuned_trees_a": (_tuned(_SMALL.grid_a), None),
     "tuned_trees_b": (_tuned(_SMALL.grid_b), None),
     "early_stopped_trees": (_evaluated(_gbt_c), None),
