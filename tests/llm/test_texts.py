@@ -241,15 +241,16 @@ def passages_by_hand(rows, items, window=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 700])
-def test_passages(spark, docs, scratch, limit):
+@pytest.mark.parametrize("limit, piece", [(decontaminate.PART_WINDOWS, decontaminate.PIECE_WINDOWS), (20, 7), (1, 1)])
+def test_passages(spark, docs, scratch, limit, piece, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WINDOWS", piece)
     rng = np.random.default_rng(7)
     vocabulary = [f"v{i}" for i in range(300)]
     items = [(i, " ".join(rng.choice(vocabulary, int(n)))) for i, n in enumerate([20, 30, 13, 14, 5, 2, 40, 13])] + [(20, None), (21, "!!"), (None, "v1 v2"), (4, "v1 v2 v3 v4 v5 v6")]
     rows = [(i, "  ".join(rng.choice(vocabulary, 40)) + ", " + items[i % 8][1].upper() + " - " + " ".join(rng.choice(vocabulary, int(rng.integers(0, 400))))) for i in range(30)] + EDGES
     frame = docs(rows)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.judged(decontaminate.contamination(frame, bench, broadcast_bytes=limit))
+    out = decontaminate.judged(decontaminate.contamination(frame, bench, part_windows=limit))
     assert set(frame.columns) < set(out.columns)
     out = out.select("doc_id", *(f"_{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
     assert sorted([tuple(r) for r in out.collect()], key=str) == passages_by_hand(rows, items)
@@ -258,6 +259,23 @@ def test_passages(spark, docs, scratch, limit):
     assert left.columns == frame.columns and {r["doc_id"] for r in left.collect()} == {r[0] for r in passages_by_hand(rows, items) if not r[5]} and bad
 
 
+def test_passages_of_one_large_item(spark, docs, monkeypatch):
+    """One id holds the whole benchmark, words longer than any bound and the same window over and over."""
+    monkeypatch.setattr(decontaminate, "PIECE_WINDOWS", 64)
+    rng = np.random.default_rng(8)
+    long = ["x" * 70 + str(i) for i in range(5)]
+    words = [str(w) for w in rng.choice([f"v{i}" for i in range(200)] + long, 3000)]
+    items = [(1, " ".join(words)), (1, " ".join(["again"] * 500)), (2, " ".join(["again"] * 40)), (2, " ".join(words[100:120])), (3, long[0])]
+    rows = [(i, " ".join(words[i * 90:i * 90 + 11 + i]) + " other " + "again " * (3 * i) + long[i % 5].upper()) for i in range(30)] + [(40, "x" * 70), (41, "x" * 70 + "00")] + EDGES
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (decontaminate.PART_WINDOWS, 200):
+        shared = decontaminate.parts(bench, 13, limit, "item_id", "text")
+        assert all(sum(len(at) for _, at, _ in p.value.by_length.values()) <= limit for p in shared) and (len(shared) > 10) == (limit == 200)
+        out = decontaminate.judged(decontaminate.contamination(docs(rows), bench, part_windows=limit))
+        out = out.select("doc_id", *(f"_{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
+        assert sorted([tuple(r) for r in out.collect()], key=str) == passages_by_hand(rows, items)
+
+
 # sources
 
 def test_mixing(docs, scratch):
