@@ -380,6 +380,47 @@ def test_wrapped_licenses(docs, real, scratch):
     assert got == want + [(1000 + i, 1, ("BSD", "LGPL", "MIT")[i % 3]) for i in range(60)]
 
 
+REWORDED = [("MIT", "This package is made available under the terms of the MIT licence."), ("Apache-2.0", "This software is distributed under the Apache License, Version 2.0; see the license file."),
+            ("GPL", "this is free software: you may redistribute it and/or modify it under the GNU General Public License, either version 3 or any later version"),
+            ("LGPL", "The library is released under the GNU Lesser General Public License version 3 or later"),
+            ("BSD", "Redistribution and use in source and binary forms, changed or not, are permitted if the following conditions are met"),
+            ("MPL-2.0", "These files are subject to the terms of the Mozilla Public License v 2.0"), ("CC-BY", "Our work is licensed under a Creative Commons Attribution 4.0 License"),
+            ("CC-BY-SA", "Material is licensed under a Creative Commons Attribution-ShareAlike 4.0 License"), ("CC-BY-NC", "Pictures are licensed under a Creative Commons Attribution-NonCommercial 4.0 International license"),
+            ("CC0", "The text is dedicated to the public domain under CC0 1.0"), ("Proprietary", "No part of this book may be reproduced without prior written permission. All rights reserved.")]
+
+
+def test_reworded_licenses(docs, real, scratch):
+    """A reworded notice of each family, amid prose, under the name the classifier gives it."""
+    prose = [(10_000 + i, text) for i, (_, text) in enumerate(real[1])]
+    rows = [(i, f"{prose[i][1]}\n{text}\n{prose[i + 20][1]}") for i, (_, text) in enumerate(REWORDED)]
+    got = {(r["id"], r["line"], r["family"]) for r in licenses.scan_licenses(docs([*rows, *prose]), scratch).collect() if r["id"] < 10_000}
+    assert {(i, rows[i][1].split("\n").index(text), family) for i, (family, text) in enumerate(REWORDED)} <= got
+
+
+def test_license_windows_by_hand(spark, docs, real, scratch):
+    """Windows that the classifier passes, against numpy; the bound by which texts are left out loses none."""
+    known = licenses.templates(spark, scratch)
+    rows = [*real[1][:60], *[(500 + i, f"{real[1][i][1]} {text} {text}") for i, (_, text) in enumerate(REWORDED)], (600, " ".join(t for _, t in licenses.TEMPLATES)), (601, "MIT"), (602, "of the"), *EDGES]
+    model = licenses.fit(real[0], known, scratch, "doc_id", "text")
+    frame = licenses.texts(docs(rows), "doc_id", "text").withColumn("row", F.col("id"))
+    got = {(r["row"], r["start"]) for r in licenses.likely(frame.filter("id is not null"), model).collect()}
+    weights, start = {g: np.array(w, float) for g, w in model.rows}, np.array(model.intercepts, float)
+    want = set()
+    for name, text in rows:
+        words = re.findall("[a-z0-9]+", (text or "").translate(LOWER))
+        for at in range(0, len(words), licenses.STEP):
+            part = words[at:at + licenses.WINDOW]
+            found = {*part, *(f"{a} {b}" for a, b in zip(part, part[1:]))} & weights.keys()
+            z = (start + sum((weights[g] for g in found), np.zeros(len(start)))) / licenses.SCALE
+            p = np.exp(z - z.max())
+            if found and name is not None and 1 - p[-1] / p.sum() >= model.least:
+                want.add((name, at))
+    repeated = {name for name, n in Counter(name for name, _ in rows).items() if n > 1}
+    assert {x for x in got if x[0] not in repeated} == {x for x in want if x[0] not in repeated} and len(want) > 20
+    kept = {r["doc_id"] for r in docs(rows).filter(licenses.supported(licenses.words(F.col("text")), model)).collect()}
+    assert {name for name, _ in want} <= kept and len(kept) < len({name for name, _ in rows})
+
+
 # personal data
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
