@@ -12,7 +12,7 @@ from acreage.operators.growing_profile import GrowingProfile
 from acreage.operators.features import area_features
 from acreage.plans.profile import treat_missing
 from acreage.plans.views import view, with_views
-from acreage.session import scratch_path
+from acreage.session import scratch_path, stored
 
 NUMERIC = ("rooms", "area_sqm", "balcony", "building_age", "price_usd")
 TEXT = ("country", "city", "furnishing_status")
@@ -167,5 +167,5 @@ ENTRIES = {
     "table_shape": (
         lambda s, d: pf.shape(listings(s, d))[0].select("column", "rows"),
         _sql(_each(NUMERIC + TEXT, "SELECT '{c}' AS \"column\", count(*) AS rows FROM listings"))),
-    "profile_report": (lambda s, d: pf.profile_report(treat_missing(gaps(s, d).drop("row_key"))), None),
+    "profile_report": (lambda s, d: pf.profile_report(treat_missing(stored(gaps(s, d).drop("row_key"), "gaps"))), None),
 }

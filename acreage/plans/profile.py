@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from acreage.operators import profiling
+from acreage.session import stored
 from acreage.sources.files import read_listings, write_listings, write_stats
 
 
@@ -18,11 +19,13 @@ def treat_missing(df: DataFrame, accuracy: int | None = None) -> DataFrame:
 def profile(spark: SparkSession, path: str, output: str, fmt: str = "csv", accuracy: int | None = None) -> dict[str, DataFrame]:
     """Read, describe, fill gaps, find insights and save: statistics, report and the filled table.
 
-    Numbers in a CSV are typed by one inference pass. The filled table is written first and the
-    statistics read it back, so the file is parsed once.
+    Numbers in a CSV are typed by one inference pass; a second one parses the rows and writes them, and all
+    that follows reads what was written. The filled table is written first and the statistics read it back.
     """
     raw = spark.read.option("header", True).option("inferSchema", True).csv(path) if fmt == "csv" \
         else read_listings(spark, path, fmt=fmt)
+    if fmt == "csv":
+        raw = stored(raw, "raw")
     columns, head = profiling.shape(raw)
     before = profiling.missing(raw)
     write_listings(treat_missing(raw, accuracy), os.path.join(output, "processed"), partition_by=())

@@ -30,3 +30,26 @@ def test_the_raw_view_is_joined_once(spark, sf, monkeypatch):
     monkeypatch.setattr(cc, "view", lambda *_: counted)
     assert cc._all_shapes(spark, sf).count() > 100
     assert seen.value == 100
+
+
+def _counting(spark, df):
+    """The frame, and how many of its rows were made so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    return df.mapInArrow(count, df.schema), seen
+
+
+def test_views_that_are_read_many_times_are_joined_once(spark, sf, monkeypatch):
+    from acreage.catalog import modelling as cm, profiling as cp
+    rows = spark.createDataFrame(cf.view(spark, sf, "listings").limit(300).collect())
+    counted, seen = _counting(spark, rows)
+    monkeypatch.setattr(cm, "listings", lambda *_: counted)
+    assert cm._ridge(spark, sf).count() == 1 and seen.value == 300
+    assert cm._tree_scores(spark, sf).count() == 300 and seen.value == 600
+    raw, seen_raw = _counting(spark, spark.createDataFrame(cf.view(spark, sf, "raw_listings").limit(300).collect()))
+    monkeypatch.setattr(cp, "view", lambda *_: raw)
+    assert cp.ENTRIES["profile_report"][0](spark, sf).count() > 10 and seen_raw.value == 300
