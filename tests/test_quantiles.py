@@ -83,3 +83,13 @@ def test_what_made_the_rows_runs_once_and_three_scans_do(spark):
     assert seen.value == n
     assert got[0.01] < got[0.5] < got[0.99] and got[0.5] == pytest.approx(math.exp(10), rel=0.05)
     assert len(jobs.getJobIdsForGroup("quantiles")) < 30
+
+
+def test_intervals_are_looked_up_without_a_join(spark):
+    """Intervals of a column that overlap each get their values; the rows are not joined with the intervals."""
+    from acreage.operators import quantiles as q
+    long = spark.range(100).selectExpr("1L as w", "cast(id % 2 as int) as id", "cast(id as double) as x")
+    intervals = [q._Interval(0, 10.0, 20.0, 0, 6), q._Interval(0, 0.0, 98.0, 0, 50), q._Interval(1, 95.0, 99.0, 0, 3), q._Interval(0, 40.0, 44.0, 0, 3)]
+    inside = q._inside(long, intervals)
+    assert {r["iv"]: r["n"] for r in inside.groupBy("iv").agg({"x": "count"}).withColumnRenamed("count(x)", "n").collect()} == {0: 6, 1: 50, 2: 3, 3: 3}
+    assert "Join" not in inside._jdf.queryExecution().optimizedPlan().toString()
