@@ -19,10 +19,10 @@ WIDTH, SKETCH = 5, 64
 AT_LEAST = 30
 # An estimate from the union sketch is 0.75 +- 0.054; pairs below this are not read
 ESTIMATE = 0.5
-ROUNDS, BLOCK = 6, 256
+ROUNDS, BLOCK = 6, 512
 CROWD = 4
 # A round of hubs that links a smaller share of its pairs is the last; blocks decide the rest
-WORTH = 0.1
+WORTH = 0.5
 
 _SKETCHED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
@@ -53,6 +53,15 @@ def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.binary())], names=["cls", "members"])
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The values of whole sets, each with the 64-bit name of its class."""
+    for batch in batches:
+        sets = [unpack(x) for x in batch.column("members").to_pylist()]
+        if sets:
+            names = np.repeat(batch.column("name").to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(names)], names=["value", "name"])
+
+
 def estimate(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     """Share of the union's smallest ``size`` values that both sketches hold; exact if both sketches are whole sets."""
     both = np.intersect1d(a, b, assume_unique=True)
@@ -75,6 +84,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int, size: int) -> Iter
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
+_NAMED = ["a", "b", "crowd", "value", "x", "y"]
 Block = dict[str, np.ndarray]  # the columns of a block's rows
 
 
@@ -100,6 +110,8 @@ def _fitting(group: Block, percent: int, once: bool) -> tuple[np.ndarray, list[n
     common = shared(np.ones(len(flat), bool))
     fits = np.triu(common >= ESTIMATE * np.maximum.outer(ks, ks), 1) & (comps[:, None] != comps)
     fits &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
+    if "room" in group:
+        fits &= (n <= group["room"][:, None]) & (n[:, None] <= group["room"])
     if once:
         value = np.int64(group["value"][0]).view(np.uint64)
         prefix = np.concatenate([np.unpackbits(np.array([m], np.int64).view(np.uint8), bitorder="little")[:k].astype(bool) for m, k in zip(group["prefix"], ks)])
@@ -110,22 +122,22 @@ def _fitting(group: Block, percent: int, once: bool) -> tuple[np.ndarray, list[n
 
 
 def _pairs_in_block(group: Block, size: int, percent: int) -> list[tuple]:
-    """Pairs of a block whose estimate passes. A block with more than ``CROWD`` fitting pairs for each member names no pairs, but the members that have any, as a crowd: each with the first."""
+    """Pairs of a block whose estimate passes. A block with more than ``CROWD`` fitting pairs for each member names no pairs, but itself as a crowd."""
     fits, rows, _ = _fitting(group, percent, True)
     keys = group["cls"]
+    block = tuple(group[c][0] for c in ("value", "x", "y"))
     if fits.sum() > CROWD * len(rows):
-        members = np.flatnonzero(fits.any(0) | fits.any(1))
-        return [(keys[i], keys[members[0]], True) for i in members[1:]]
-    return [(keys[i], keys[j], False) for i, j in zip(*np.nonzero(fits)) if estimate(rows[i], rows[j], size) >= ESTIMATE]
+        return [(None, None, True, *block)]
+    return [(keys[i], keys[j], False, *block) for i, j in zip(*np.nonzero(fits)) if estimate(rows[i], rows[j], size) >= ESTIMATE]
 
 
 def _candidates_in_block(group: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
-    return pd.DataFrame(_pairs_in_block({c: group[c].to_numpy() for c in group}, size, percent), columns=["a", "b", "crowd"])
+    return pd.DataFrame(_pairs_in_block({c: group[c].to_numpy() for c in group}, size, percent), columns=_NAMED)
 
 
 def _links_in_block(group: Block, size: int, percent: int) -> list[tuple]:
     """Links between members of a block, by their whole sets; one for each two components that become one, those with the most common values first."""
-    fits, rows, common = _fitting(group, percent, False)
+    fits, rows, common = _fitting(group, percent, True)
     keys, packed, sets = group["cls"], group["members"], {}
     _, comps = np.unique(group["comp"], return_inverse=True)
     root = list(range(len(rows)))
@@ -172,20 +184,47 @@ def _by_block(frames: Iterator[pd.DataFrame], judge, names: list[str]) -> Iterat
 
 
 def _candidates(frames: Iterator[pd.DataFrame], size: int, percent: int) -> Iterator[pd.DataFrame]:
-    return _by_block(frames, lambda block: _pairs_in_block(block, size, percent), ["a", "b", "crowd"])
+    return _by_block(frames, lambda block: _pairs_in_block(block, size, percent), _NAMED)
 
 
-def _dealt(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """(value, cls, comp, own, x, y): in each list the members outside its largest component meet all others, part by part; inside a component nothing is open."""
+def _bounds(members: DataFrame, full: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(cls, n, room) of the members of lists that may have a link to another: the size, and the largest size that a linked set can have.
+
+    A value that no other member holds is in no intersection. So two sets have at most the smaller number of values held elsewhere in common, and a link needs
+    ``percent`` / (100 + ``percent``) of both sizes.
+    """
+    names = members.select("cls").distinct()
+    spread = full.join(names.hint("merge"), "cls").select(F.xxhash64("cls").alias("name"), "members").mapInArrow(_spread, "value long, name long")
+    own = spread.groupBy("value").agg(F.count("*").alias("times"), F.first("name").alias("name")).filter("times = 1").groupBy("name").agg(F.count("*").alias("own"))
+    held = F.col("n") - F.coalesce("own", F.lit(0))
+    return names.join(classes.select("cls", "n"), "cls").join(own, F.xxhash64("cls") == F.col("name"), "left").filter(100 * held >= percent * F.col("n")) \
+        .select("cls", "n", (F.floor(held * (100 + percent) / percent) - F.col("n")).alias("room"))
+
+
+def _dealt(members: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(value, cls, comp, n, room, own, x, y): in each list the members outside its largest component meet all others whose sizes allow a link, block by block; inside a component nothing is open.
+
+    A list of more than ``BLOCK`` members is cut into blocks: members outside by their room, those inside by their size. Members meet a block only if its smallest set fits their room and its largest
+    room fits their set, so sets without a partner of their size meet no block.
+    """
     shares = members.groupBy("value", "comp").agg(F.count("*").alias("n")).groupBy("value").agg(
-        F.max_by("comp", "n").alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n")).filter("inside < n") \
-        .select("value", "main", F.ceil((F.col("n") - F.col("inside")) / BLOCK).cast("int").alias("q"), F.ceil(F.col("inside") / BLOCK).cast("int").alias("p"))
+        F.max_by("comp", "n").alias("main"), F.max("n").alias("inside"), F.sum("n").alias("length")).filter("inside < length")
     outside = F.col("comp") != F.col("main")
-    place = F.xxhash64("cls")
-    own = F.when(outside, F.pmod(place, F.col("q"))).otherwise(F.col("q") + F.pmod(place, F.col("p"))).cast("int")
-    others = F.when(outside, F.sequence(F.lit(0), F.col("q") + F.col("p") - 1)).otherwise(F.sequence(F.lit(0), F.col("q") - 1))
-    return members.join(scratch.put(shares), "value").withColumn("own", own).withColumn("other", F.explode(others)) \
-        .select("value", "cls", "comp", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    side = F.when(outside, F.col("length") - F.col("inside")).otherwise(F.col("inside"))
+    # steps of a hundredth, or so wide that the sizes about one set's make one block for each BLOCK members
+    step = F.floor(100 * F.log(F.greatest(F.lit(1), F.when(outside, F.col("room")).otherwise(F.col("n")))) / F.greatest(F.lit(1.0), 58 * BLOCK / side))
+    sized = scratch.put(members.join(shares, "value").select("value", "cls", "comp", "n", "room", (F.col("length") > BLOCK).alias("long"), outside.alias("outside"),
+                                                             F.shiftleft(step + F.when(outside, 0).otherwise(1 << 20), 32).alias("at")))
+    whole = sized.filter("not long").select("value", "cls", "comp", "n", "room", *(F.lit(0).cast("long").alias(c) for c in ("own", "x", "y")))
+    long = sized.filter("long")
+    blocks = scratch.put(long.groupBy("value", "at", "outside").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("room"))
+                         .groupBy("value").agg(F.collect_list(F.struct("at", "outside", "parts", "low", "high", "room")).alias("blocks")))
+    met = F.filter("blocks", lambda y: (F.col("outside") | y["outside"]) & (y["low"] <= F.col("room")) & (y["room"] >= F.col("n")) & (100 * y["high"] >= percent * F.col("n")))
+    others = F.flatten(F.transform(met, lambda y: F.sequence(y["at"], y["at"] + y["parts"] - 1)))
+    own = F.col("at") + F.pmod(F.xxhash64("cls"), F.filter("blocks", lambda y: y["at"] == F.col("at"))[0]["parts"])
+    apart = long.join(blocks, "value").withColumn("own", own).select("value", "cls", "comp", "n", "room", "own", F.explode(others).alias("other")) \
+        .select("value", "cls", "comp", "n", "room", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    return whole.unionAll(apart)
 
 
 def grouped(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = 75, size: int = SKETCH, key: str = "doc_id",
@@ -203,10 +242,11 @@ def grouped(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int
        48 runs and has a chance of one in a million to lose a pair beyond, see AT_LEAST.
     3. In rounds, as long as they link a tenth of their pairs, each list compares its members with one of them, a hub that its hash picks: candidates are linear in the list. Before each pair is read in full,
        the estimate from the union of both sketches must pass; the exact sets decide. Lists whose members are all connected are done.
-    4. What a few rounds leave is compared in blocks of 256 x 256 sketches: in each list, the members outside its largest component with all others. Only pairs
+    4. Of what a few rounds leave, a set with too few values that any other set of an open list holds has no link (exact, by whole sets). The rest is compared in blocks of 512 x 512 sketches: in
+       each list, the members outside its largest component with those others whose size and number of values held elsewhere allow a link. Only pairs
        that the estimate passes leave a block, each once, and the exact sets decide.
-    5. A block with more than ``CROWD`` such pairs for each member (many variants of one text, most of them too far apart) names its members instead. Crowds that share a member are one;
-       its blocks hold whole sets, the exact sets decide where they lie, and only links that join two components leave a block. So what is written is linear in a crowd's size.
+    5. A block with more than ``CROWD`` such pairs for each member (many variants of one text, most of them too far apart) names itself instead. Such blocks are read again with
+       whole sets, the exact sets decide where they lie, and only links that join two components leave a block. So what is written is linear in the block's size.
 
     Texts without words (null, empty, white space) have 0 shingles and are linked with nothing; their component is their own id. Rows that share an
     id are documents of their own that show the same id. A null id takes part in linking, but never names a component unless nothing else does; its row is
@@ -224,7 +264,8 @@ def grouped(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int
     needed = F.when(F.col("k") <= ceil(size * percent / 100), F.ceil(F.col("k") * percent / 100)).otherwise(F.floor(F.col("k") * (AT_LEAST / SKETCH)))
     held = posted.join(lengths, "value").groupBy("cls", "k").agg(F.sort_array(F.collect_list(F.struct("length", "value"))).alias("held"))
     prefix = F.size("held") - needed + 1  # values that no other class retains come first and take their share of the prefix
-    lists = scratch.put(held.filter(prefix > 0).select("cls", F.explode(F.slice("held", 1, prefix.cast("int"))["value"]).alias("value")))
+    central = F.size("held") / F.col("k")
+    lists = scratch.put(held.filter(prefix > 0).select("cls", central.alias("central"), F.explode(F.slice("held", 1, prefix.cast("int"))["value"]).alias("value")))
     several = scratch.put(lists.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").select("value"))
     lists = scratch.put(lists.join(several, "value"))
 
@@ -238,17 +279,19 @@ def grouped(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int
         return scratch.put(near.select("a", "b", "members", "hub_members").mapInArrow(lambda it: _confirm(it, percent, size), "a binary, b binary"))
 
     def labelled() -> DataFrame:
-        return lists.join(roots, F.col("cls") == F.col("node"), "left").select("value", "cls", F.coalesce("root", "cls").alias("comp"))
+        return lists.join(roots, F.col("cls") == F.col("node"), "left").select("value", "cls", "central", F.coalesce("root", "cls").alias("comp"))
 
     links = scratch.put(lists.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0))
     roots = scratch.put(links.select(F.col("a").alias("node"), F.col("b").alias("root")))
+    n_lists = lists.count()
     open_lists = True
     for turn in range(ROUNDS):
-        members = scratch.put(labelled())
-        place = F.xxhash64("cls", F.lit(turn))
-        hubs = scratch.put(members.groupBy("value").agg(F.min_by(F.struct("cls", "comp"), place).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                           .filter("lo <> hi").select("value", F.col("hub.cls").alias("b"), F.col("hub.comp").alias("hub_comp")))
-        pairs = scratch.put(members.join(hubs, "value").filter("comp <> hub_comp").select(F.col("cls").alias("a"), "b").distinct())
+        members = scratch.put(labelled(), n_lists)
+        # the first hub is the member with the largest share of values that others retain, which variants of one text are most like
+        place = F.struct(F.lit(0.0) if turn else F.col("central"), F.xxhash64("cls", F.lit(turn)))
+        hubs = scratch.put(members.groupBy("value").agg(F.max_by(F.struct("cls", "comp"), place).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                           .filter("lo <> hi").select("value", F.col("hub.cls").alias("b"), F.col("hub.comp").alias("hub_comp")), n_lists)
+        pairs = scratch.put(members.join(hubs, "value").filter("comp <> hub_comp").select(F.col("cls").alias("a"), "b").distinct(), n_lists)
         if pairs.isEmpty():
             open_lists = False
             break
@@ -256,25 +299,29 @@ def grouped(docs: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int
         if found.isEmpty():
             break
         links = links.unionAll(found)
-        roots = scratch.put(components(links, scratch))
+        roots = scratch.put(components(links, scratch), 2 * links.count())
         if found.count() < WORTH * pairs.count():
             break
     if open_lists:
-        chosen = scratch.put(lists.groupBy("cls").agg(F.collect_list("value").alias("values")).join(classes.select("cls", "sketch", "n"), "cls").select(
-            "cls", "sketch", "n", F.expr("aggregate(transform(sketch, (x, i) -> if(array_contains(values, x), shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)").alias("prefix")))
-        near = scratch.put(_dealt(scratch.put(labelled()), scratch).join(chosen, "cls").repartition("value", "x", "y").sortWithinPartitions("value", "x", "y")
-                           .mapInPandas(lambda it: _candidates(it, size, percent), "a binary, b binary, crowd boolean"))
+        members = scratch.put(labelled().drop("central"), n_lists)
+        mixed = members.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("value")
+        members = scratch.put(members.join(mixed, "value"), n_lists)
+        bounds = scratch.put(_bounds(members, full, classes, percent), n_lists)
+        members = scratch.put(members.join(bounds, "cls"), n_lists)
+        chosen = scratch.put(lists.join(bounds, "cls", "left_semi").groupBy("cls").agg(F.collect_list("value").alias("values")).join(classes.select("cls", "sketch"), "cls").select(
+            "cls", "sketch", F.expr("aggregate(transform(sketch, (x, i) -> if(array_contains(values, x), shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)").alias("prefix")))
+        blocks = scratch.put(_dealt(members, scratch, percent))
+        near = scratch.put(blocks.join(chosen, "cls").repartition("value", "x", "y").sortWithinPartitions("value", "x", "y")
+                           .mapInPandas(lambda it: _candidates(it, size, percent), "a binary, b binary, crowd boolean, value long, x long, y long"))
         found = confirmed(near.filter("not crowd").select("a", "b"))
-        crowds = near.filter("crowd").select("a", "b")
+        crowds = near.filter("crowd").select("value", "x", "y")
         if not crowds.isEmpty():
-            # a crowd meets in many lists, but once here: in blocks of whole sets, of which only links leave
-            groups = scratch.put(components(crowds, scratch)).select(F.col("root").alias("value"), F.col("node").alias("cls"))
-            members = scratch.put(groups.join(roots, F.col("cls") == F.col("node"), "left").select("value", "cls", F.coalesce("root", "cls").alias("comp")))
-            blocks = _dealt(members, scratch).join(chosen.select("cls", "sketch", "n"), "cls").hint("merge").join(full, "cls")
-            found = found.unionAll(scratch.put(blocks.repartition("value", "x", "y").sortWithinPartitions("value", "x", "y").mapInPandas(
+            whole = blocks.join(crowds, ["value", "x", "y"]).join(chosen, "cls").hint("merge").join(full, "cls")
+            found = found.unionAll(scratch.put(whole.repartition("value", "x", "y").sortWithinPartitions("value", "x", "y").mapInPandas(
                 lambda it: _by_block(it, lambda block: _links_in_block(block, size, percent), ["a", "b"]), "a binary, b binary")))
         if not found.isEmpty():
-            roots = scratch.put(components(links.unionAll(found), scratch))
+            links = links.unionAll(found)
+            roots = scratch.put(components(links, scratch), 2 * links.count())
 
     named = classes.select("cls", "doc_id", "text_key").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", "text_key", F.coalesce("root", "cls").alias("comp"))
     lowest = scratch.put(named.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("low")))

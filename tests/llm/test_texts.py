@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acreage.llm import bottomk, decontaminate, importance, katz, licenses, line_dedup, mixture, pii, run_index
+from acreage.llm.graph import components
 from tests.llm.conftest import EDGES
 
 WHITE = " \t\n\x0b\f\r"
@@ -111,6 +112,35 @@ def test_groups_of_variants(docs, scratch, monkeypatch, block, crowd):
     assert found_groups(docs(rows), scratch) == groups_by_hand(rows)
 
 
+def test_sets_without_a_partner_meet_no_block(docs, scratch, monkeypatch):
+    """Variants that hold too many values of their own are compared with nobody, however many they are: rows in blocks grow with the group."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+
+    def variant(edits):
+        text = list(base)
+        for at in rng.choice(120, edits, replace=False):
+            text[at] = f"e{rng.integers(0, 10**9)}"
+        return " ".join(text)
+    rows = [(i, variant(1 + i % 2 * 7)) for i in range(120)]
+    dealt, made = bottomk._dealt, []
+
+    def counted(*args):
+        made.append((args[0].count(), dealt(*args).count()))
+        return dealt(*args)
+    monkeypatch.setattr(bottomk, "_dealt", counted)
+    monkeypatch.setattr(bottomk, "BLOCK", 8)
+    monkeypatch.setattr(bottomk, "ROUNDS", 1)
+    assert found_groups(docs(rows), scratch) == groups_by_hand(rows)
+    assert all(blocks <= 2 * members for members, blocks in made)
+
+
+def test_components_of_chains_and_stars(spark, scratch):
+    links = [(f"{a}".encode(), f"{b}".encode()) for a, b in [(1, 2), (3, 2), (3, 4), (5, 4), (6, 7), (6, 8), (9, 6), (20, 20)]]
+    out = components(spark.createDataFrame(links, "a binary, b binary"), scratch)
+    assert sorted((int(r["node"]), int(r["root"])) for r in out.collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6), (7, 6), (8, 6), (9, 6)]
+
+
 def test_blocks_that_span_frames_are_compared_whole():
     rng = np.random.default_rng(4)
     base = np.sort(rng.integers(-2**63, 2**63 - 1, 64))
