@@ -160,8 +160,33 @@ def match_lengths(text: np.ndarray) -> np.ndarray:
     return best
 
 
-def _index(part: pd.DataFrame, length: int) -> pd.DataFrame:
+def _paired(names: np.ndarray, contexts: list[bytes], length: int, width: int) -> np.ndarray:
+    """Which contexts may have a window in common with another of their anchor: equal windows have equal bytes on the longer side of it, at least half of what surrounds it.
+
+    The anchor is the last place of a context that has its hash: a later one would be the anchor of the last window.
+    """
+    text = np.frombuffer(b"".join(contexts), np.uint8)
+    sizes = np.array([len(c) for c in contexts])
+    ends = np.cumsum(sizes)
+    prefixes, at = Prefixes(text), np.full(len(contexts), -1)
+    owner = np.repeat(np.arange(len(contexts)), sizes)
+    hashes = prefixes.of(np.arange(len(text) - width + 1), width).view(np.int64)
+    equal = np.flatnonzero((hashes == names[owner[:len(hashes)]]) & (owner[:len(hashes)] == owner[width - 1:]))
+    np.maximum.at(at, owner[equal], equal)
+    half = (length - width + 1) // 2
+    paired = at < 0
+    for start in (at - half, at):
+        inside = np.flatnonzero((at >= 0) & (start >= ends - sizes) & (start + half + width <= ends))
+        _, which, times = np.unique(prefixes.of(start[inside], half + width), return_inverse=True, return_counts=True)
+        paired[inside[times[which] > 1]] = True
+    return paired
+
+
+def _index(part: pd.DataFrame, length: int, width: int) -> pd.DataFrame:
     """Windows of each context that stand elsewhere in the part: merged (start, end) of their bytes."""
+    part = part[_paired(part["anchor"].to_numpy(), part["bytes"].to_list(), length, width)]
+    if part.empty:
+        return pd.DataFrame([], columns=["anchor", "context", "runs"])
     contexts = part["bytes"].to_list()
     text = np.frombuffer(bytes([BETWEEN]).join(contexts) + bytes([BETWEEN, LAST]), np.uint8)
     best, out, at = match_lengths(text), [], 0
@@ -224,7 +249,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, widt
 
     1. Each window of ``length`` bytes has an anchor, the smallest hash of ``width`` bytes in it. Equal windows have equal anchors, so only contexts (the bytes of the
        windows that share an anchor) of an anchor met twice can repeat. Contexts met twice repeat as a whole; of each different context of an anchor, one copy is cut out of its text.
-    2. The contexts go by anchor into parts of about ``index_bytes``. Each part gets a run-length compressed Burrows-Wheeler transform, compared at its
+    2. The contexts go by anchor into parts of about ``index_bytes``. Those that share neither half around the anchor with another context have no window in common with one
+       and are left out, by an exact condition; what is left of each part gets a run-length compressed Burrows-Wheeler transform, compared at its
        run ends only; matching lengths stream along the part and mark windows met elsewhere.
     3. An anchor with more than ``hot`` different contexts would fill one part: the hashes (128 bits) of its contexts' windows are counted instead.
     4. The runs go back to all places of the context and are cut out of the texts.
@@ -246,7 +272,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, widt
     size = pieces.filter(F.col("contexts") <= hot).agg(F.sum(F.length("bytes"))).first()[0] or 0
     parts = int(size // index_bytes) + 1
     indexed = pieces.filter(F.col("contexts") <= hot).withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts))) \
-        .groupBy("part").applyInPandas(lambda p: _index(p, length), "anchor long, context long, runs array<struct<a:long,b:long>>")
+        .groupBy("part").applyInPandas(lambda p: _index(p, length, width), "anchor long, context long, runs array<struct<a:long,b:long>>")
     windows = pieces.filter(F.col("contexts") > hot).select("anchor", "context", "bytes").mapInArrow(
         lambda it: _window_hashes(it, length), "anchor long, context long, place long, h1 long, h2 long")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")

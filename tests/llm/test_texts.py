@@ -202,6 +202,31 @@ def test_repeats_with_short_strings(docs, scratch, hot, size):
     assert found_repeats(docs(rows), scratch, length=20, width=6, hot=hot, index_bytes=size) == repeats_by_hand(rows, 20)
 
 
+def test_contexts_left_out_of_an_index_share_no_window():
+    rng = np.random.default_rng(7)
+    length, width, left_out = 20, 6, 0
+    base = rng.integers(97, 99, 60).astype(np.uint8)
+    texts = []
+    for _ in range(60):
+        text = rng.integers(97, 101, 60).astype(np.uint8)
+        a, n = rng.integers(0, 30), rng.integers(5, 30)
+        text[a:a + n] = base[a:a + n]
+        texts.append(text)
+    found = {}
+    for text in texts:
+        prefixes = run_index.Prefixes(text)
+        for at, first, last in zip(*run_index.anchors(prefixes, len(text), length, width)):
+            found[text[first:last + length].tobytes(), int(at - first)] = int(prefixes.of(np.array([at]), width).view(np.int64)[0])
+    contexts, names = [c for c, _ in found], np.array(list(found.values()))
+    paired = run_index._paired(names, contexts, length, width)
+    for i, one in enumerate(contexts):
+        others = {c[k:k + length] for j, c in enumerate(contexts) if j != i and names[j] == names[i] for k in range(len(c) - length + 1)}
+        shared = any(one[k:k + length] in others for k in range(len(one) - length + 1))
+        assert paired[i] or not shared
+        left_out += bool(others) and not paired[i]
+    assert left_out
+
+
 def test_match_lengths():
     rng = np.random.default_rng(2)
     for n in (3, 9, 40, 300):
