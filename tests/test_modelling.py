@@ -38,6 +38,35 @@ def test_ridge_equals_the_closed_form(spark):
     assert model.intercept == pytest.approx(y.mean() - x.mean(0) @ want, abs=1e-5)
 
 
+class Asked(Exception):
+    """Stands for the fit that a query asks for; its arguments are what is looked at."""
+
+
+def test_queries_ask_for_whole_fits(spark, monkeypatch):
+    from acreage.catalog import modelling as c
+
+    def asked(*args, **options):
+        raise Asked(args[1:], options)
+    rows = spark.range(1).select(F.lit("train").alias("split"))
+    monkeypatch.setattr(c, "prepared_splits", lambda *_: (None, None, rows))
+    monkeypatch.setattr(c, "listings", lambda *_: rows)
+    for place in ((c, "train"), (m, "fit_tuned"), (m, "fit_stack")):
+        monkeypatch.setattr(*place, asked)
+
+    def of(name):
+        with pytest.raises(Asked) as found:
+            c.ENTRIES[name][0](spark, "")
+        return found.value.args
+    assert of("tuned_trees_a") == ((m.GRID_A,), {}) and of("tuned_trees_b") == ((m.GRID_B,), {})  # 20 draws in 3 folds
+    assert of("train_price_model") == ((TrainConfig(),), {})
+    (estimators,), options = of("stacked_trees")
+    assert not options and len(estimators) == 4 and [e.settings.trees for e in estimators[:2]] == [300, 300]
+    monkeypatch.setattr(m.GBTRegressor, "fit", lambda self, _: asked(None, self))
+    ((third,), _) = of("early_stopped_trees")
+    for e in (third, *estimators[2:]):
+        assert (e.getMaxIter(), e.getMaxDepth(), e.getValidationIndicatorCol()) == (300, 8, "hold_out")
+
+
 def test_draws_are_seeded_and_distinct():
     a = m.draw_settings(m.GRID_A, 20)
     assert a == m.draw_settings(m.GRID_A, 20) and len({str(s) for s in a}) == 20
