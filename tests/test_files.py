@@ -1,6 +1,7 @@
 """The files that the catalogue writes."""
 
 import glob
+import os
 
 from acreage.catalog import files as cf
 
@@ -17,6 +18,20 @@ def test_no_file_is_written_by_one_task(spark, sf, monkeypatch):
     assert cf._capped(spark, sf).groupBy("place").count().collect() and cf._capped(spark, sf).count() == 60
 
 
+def test_source_files_are_packed_and_the_joined_rows_go(spark, tmp_path, monkeypatch):
+    from acreage import session
+    raw = spark.range(3000).selectExpr("id as row_key", "concat('city \"', id % 50, '\", north') as city_raw", "'3' as rooms_raw", "concat(100 + id % 7, ' sqft') as sqft_raw", "'1' as price_raw",
+                                       "cast(id as string) as plain_price_raw", "'no' as parking_raw", "'0' as count_raw", "'1990' as year_raw", "'Furnished' as furnishing_raw")
+    monkeypatch.setattr(cf, "view", lambda *_: raw)
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    root = cf._data_folder(spark, "", ("india_rent", "poland"))
+    size = sum(os.path.getsize(p) for p in glob.glob(f"{root}/*/*/part-*"))
+    assert not glob.glob(f"{os.path.dirname(root)}/joined-*") and not glob.glob(f"{os.path.dirname(root)}/raw-*/part-*")
+    frames = [f for name in ("INDIA/*.csv", "POLAND/*.csv") for f in cf.fs.read_file_set(spark, f"{root}/{name}")]
+    text = sum(len(",".join(str(v) for v in r)) + 1 for f in frames for r in f.drop(cf.fs.FILE_PATH).collect())
+    assert [f.count() for f in frames] == [3000, 3000, 1500] and size < text / 3
+
+
 def test_the_raw_view_is_joined_once(spark, sf, monkeypatch):
     from acreage.catalog import cleaning as cc
     seen = spark.sparkContext.accumulator(0)
