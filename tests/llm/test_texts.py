@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import tracemalloc
 import zlib
@@ -453,6 +454,31 @@ def test_reworded_licenses(docs, real, scratch):
     assert {(i, rows[i][1].split("\n").index(text), family) for i, (family, text) in enumerate(REWORDED)} <= got
 
 
+def test_unknown_windows_are_those_of_all_texts(spark, docs, scratch):
+    """More texts than the sample of an earlier form, against plain Python; every window counts once, notices do not."""
+    rng = random.Random(4)
+    some = "the of and software licence permission notice shall be included in all copies or substantial portions part may version blue river stone".split()
+    rows = [(i, " ".join(rng.choice(some) for _ in range(rng.choice([5, 33, 90])))) for i in range(2_500)]
+    rows += [(3_000, rows[7][1]), (3_001, "Released under the MIT License."), *EDGES]
+    known = licenses.templates(spark, scratch)
+    codes = licenses.Codes(known)
+    assert len(codes.names) == len({g for r in known.collect() for g in [*r["words"], *(f"{a} {b}" for a, b in zip(r["words"], r["words"][1:]))]})
+    got = licenses.unknown_windows(docs(rows), known, codes, scratch, "text").collect()
+    of = {name: c for c, name in codes.names.items()}
+    want, templates = set(), [list(zip(r["words"], r["words"][1:])) for r in known.collect()]
+    for _, text in rows:
+        words = re.findall("[a-z0-9]+", (text or "").translate(LOWER))
+        # texts that may hold a notice are left to the other tests
+        if any(len(set(zip(words, words[1:])) & set(t)) * 2 >= len(set(t)) for t in templates):
+            continue
+        last = max(0, math.ceil((len(words) - licenses.WINDOW) / licenses.STEP))
+        want |= {tuple(words[k * licenses.STEP:k * licenses.STEP + licenses.WINDOW]) for k in range(last + 1) if words}
+    grams = Counter(tuple(sorted({of[g] for g in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))] if g in of})) for w in want)
+    found = Counter(tuple(sorted(r["grams"])) for r in got)
+    assert len(want) > 5_000 and not grams - found
+    assert abs(sum(r["train"] for r in got) / len(got) - 0.5) < 0.05
+
+
 def test_license_windows_by_hand(spark, docs, real, scratch):
     """Windows that the classifier passes, against numpy; the bound by which texts are left out loses none."""
     known = licenses.templates(spark, scratch)
